@@ -137,13 +137,14 @@ def test_qa_contexts(spark):
 def fake_client():
     def client(prompt, system_prompt=None, max_tokens=None, temperature=None):
         assert max_tokens == 400
+        if "QUESTION_1:" in prompt:
+            assert "a → b" in prompt
+            return "QUESTION_1:\nWhy does the job run late?\nQUESTION_2:\n[n] How many calls follow?"
         if "ROOT_CAUSES:" in prompt:
             return "ROOT_CAUSES:\n- late batch job\nIMPACTS:\n- more calls"
-        if "CAUSAL_CHAIN:" in prompt:
-            assert "Root causes: late batch job" in prompt and "Impacts: more calls" in prompt
-            return "CAUSAL_CHAIN:\n- a → b"
-        assert "a → b" in prompt
-        return "QUESTION_1:\nWhy does the job run late?\nQUESTION_2:\n[n] How many calls follow?"
+        assert "Root causes: late batch job" in prompt and "Impacts: more calls" in prompt
+        return "CAUSAL_CHAIN:\n- a → b"
+
     return client
 
 
