@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolens.functions.text import ascii_words
-from convolens.functions.turns import plain_text_rendering, user_or_system
+from convolens.functions.turns import plain_text_episode, user_or_system
+from convolens.scale import spread
 
 VIEWS: dict[str, str] = {}
 
@@ -16,6 +17,7 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "is", "that", "it", "was", "for",
               "with", "his", "they", "at", "be", "this", "from", "or", "by", "de", "la", "le"]
 LEXICON = [("that", 0.8), ("with", 0.4), ("from", -0.6), ("this", 0.1), ("que", 0.5), ("les", -0.9),
            ("ist", 0.7), ("und", -0.2), ("para", 0.3), ("der", -0.4), ("une", 0.25), ("which", -0.75)]
+KEYS = {"documents": "doc_id", "conversations": "conv_id"}
 OPENERS = ["Why", "How", "However", "What causes", "What date", "Who said", "Compare", ""]
 DOMAINS = ["Hotel", "Billing Support", "Retention Desk", "GDPR Requests", "Complaint Handling", "Telecom", "", None]
 
@@ -44,7 +46,8 @@ def case(key, values: list):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(rows, KEYS[name]) if name in KEYS else rows
 
 
 # --- turns: conversations with 1-based numbers and speaker names --------------------------
@@ -158,10 +161,10 @@ VIEWS["rendered"] = """
 
 
 def rendered(spark, folder):
-    numbered, plain, count = plain_text_rendering(F.col("conversation"))
-    return raw(spark, folder).select(
+    rows = raw(spark, folder).withColumn("e", plain_text_episode(F.col("conversation")))
+    return rows.select(
         "doc_id", "source", "domain", "transcript_id", "id",
-        numbered.alias("text_with_turns"), plain.alias("text"), count.cast("bigint").alias("turn_count"),
+        "e.text_with_turns", "e.text", F.col("e.turn_count").cast("bigint").alias("turn_count"),
     )
 
 

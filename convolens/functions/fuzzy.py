@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-_WORD_BITS = 63
+_WORD_BITS = 64
+_CELLS = 4_000_000
+_PAD = np.uint32(0xFFFFFFFF)
 
 
 def contained(a: Column, b: Column) -> Column:
@@ -29,83 +31,84 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _common_lengths(needle: str, windows: np.ndarray) -> np.ndarray:
-    """Longest common subsequence of ``needle`` with every window (one window per column).
+def _common_lengths(needles: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each needle (row) with each window of its length in ``text``.
 
-    The bit-parallel recurrence runs over all windows at once; needles beyond one machine word
-    use the row-by-row recurrence, also over all windows at once.
+    The bit-parallel recurrence runs over all windows of all needles at once. Needles beyond one
+    machine word use the table recurrence, also over all windows at once.
     """
-    needle_codes = _codes(needle)
-    m = len(needle_codes)
-    if m <= _WORD_BITS:
-        alphabet, inverse = np.unique(needle_codes, return_inverse=True)
-        masks = np.zeros(len(alphabet) + 1, dtype=np.uint64)
-        for bit, letter in enumerate(inverse):
-            masks[letter] |= np.uint64(1) << np.uint64(bit)
-        slot = np.minimum(np.searchsorted(alphabet, windows), len(alphabet) - 1)
-        slot = np.where(alphabet[slot] == windows, slot, len(alphabet))
-        state = np.full(windows.shape[1], (1 << m) - 1, dtype=np.uint64)
-        full = np.uint64((1 << m) - 1)
-        for row in slot:
-            hit = state & masks[row]
-            state = ((state + hit) | (state - hit)) & full
-        return m - np.bitwise_count(state).astype(np.int64)
-    best = np.zeros((m + 1, windows.shape[1]), dtype=np.int32)
-    for row in windows:
-        diagonal = best[0].copy()
+    k, m = needles.shape
+    n = len(text) - m + 1
+    if m > _WORD_BITS:
+        return np.stack([_long_common_lengths(needle, text, n) for needle in needles])
+    letters = np.unique(needles)
+    masks = np.zeros((k, len(letters) + 1), dtype=np.uint64)
+    for at in range(m):
+        masks[np.arange(k), np.searchsorted(letters, needles[:, at])] |= np.uint64(1) << np.uint64(at)
+    slot = np.minimum(np.searchsorted(letters, text), len(letters) - 1)
+    slot[letters[slot] != text] = len(letters)
+    at_char = masks[:, slot]
+    state = np.full((k, n), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(m):
+        hit = state & at_char[:, at:at + n]
+        state = (state + hit) | (state - hit)
+    used = np.uint64((1 << m) - 1)
+    return m - np.bitwise_count(state & used).astype(np.int64)
+
+
+def _long_common_lengths(needle: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    m = len(needle)
+    best = np.zeros((m + 1, n), dtype=np.int32)
+    for at in range(m):
+        row, diagonal = text[at:at + n], best[0].copy()
         for i in range(1, m + 1):
             above = best[i].copy()
-            best[i] = np.where(needle_codes[i - 1] == row, diagonal + 1, np.maximum(above, best[i - 1]))
+            best[i] = np.where(needle[i - 1] == row, diagonal + 1, np.maximum(above, best[i - 1]))
             diagonal = above
     return best[m].astype(np.int64)
 
 
-def _window_scores(needle: str, padded: np.ndarray, real: np.ndarray) -> np.ndarray:
-    """Scores of ``needle`` at every start in ``padded``; ``real`` marks true characters."""
-    m = len(needle)
-    windows = np.lib.stride_tricks.sliding_window_view(padded, m).T
-    inside = np.concatenate(([0], np.cumsum(real)))
-    lengths = inside[m:] - inside[:-m]
-    scores = 200.0 * _common_lengths(needle, windows) / (m + lengths)
-    scores[lengths == 0] = 0.0
-    return scores
-
+def _scan(needles: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Best window score of any needle in each text; all needles have one length, no text is shorter.
 
-_PAD = np.uint32(0xFFFFFFFF)
+    The texts lie in one array, with gaps so wide that no window touches two of them.
+    """
+    m = needles.shape[1]
+    gap = np.full(m - 1, _PAD)
+    padded = np.concatenate([part for codes in texts for part in (gap, codes)] + [gap])
+    ends = np.cumsum([m - 1 + len(codes) for codes in texts])
+    starts = np.concatenate(([0], ends[:-1]))
+    inside = np.concatenate(([0], np.cumsum(padded != _PAD)))
+    lengths = inside[m:] - inside[:-m]
+    best = np.zeros(len(texts))
+    step = max(1, _CELLS // len(padded))
+    for at in range(0, len(needles), step):
+        common = _common_lengths(needles[at:at + step], padded).max(axis=0)
+        best = np.maximum(best, np.maximum.reduceat(200.0 * common / (m + lengths), starts))
+    return best
 
 
 def best_scores(needles: list[str], texts: list[str]) -> np.ndarray:
-    """For every text, the best score of any needle. All texts are scanned in one sweep."""
+    """For every text, the best score of any needle."""
     best = np.zeros(len(texts))
+    by_length: dict[int, list[np.ndarray]] = {}
     for needle in dict.fromkeys(needles):
-        long_enough = [i for i, text in enumerate(texts) if len(text) >= len(needle) > 0]
-        if long_enough:
-            gap = len(needle) - 1
-            pieces, marks, starts, at = [], [], [], 0
-            for i in long_enough:
-                codes = _codes(texts[i])
-                pieces += [np.full(gap, _PAD), codes]
-                marks += [np.zeros(gap, bool), np.ones(len(codes), bool)]
-                starts.append(at)
-                at += gap + len(codes)
-            pieces.append(np.full(gap, _PAD))
-            marks.append(np.zeros(gap, bool))
-            scores = _window_scores(needle, np.concatenate(pieces), np.concatenate(marks))
-            best[long_enough] = np.maximum(best[long_enough], np.maximum.reduceat(scores, starts))
-        for i, text in enumerate(texts):
-            if 0 < len(text) <= len(needle):
-                best[i] = max(best[i], _one_score(text, needle))
+        if needle:
+            codes = _codes(needle)
+            by_length.setdefault(len(codes), []).append(codes)
+    codes = [_codes(text) for text in texts]
+    for m, group in by_length.items():
+        same = np.stack(group)
+        fitting = [i for i, text in enumerate(codes) if len(text) >= m]
+        if fitting:
+            found = _scan(same, [codes[i] for i in fitting])
+            best[fitting] = np.maximum(best[fitting], found)
+        for i, text in enumerate(codes):
+            if 0 < len(text) <= m:
+                best[i] = max(best[i], *(_scan(text[None, :], [needle])[0] for needle in group))
     return best
 
 
-def _one_score(needle: str, text: str) -> float:
-    gap = len(needle) - 1
-    codes = _codes(text)
-    padded = np.concatenate((np.full(gap, _PAD), codes, np.full(gap, _PAD)))
-    real = np.concatenate((np.zeros(gap, bool), np.ones(len(codes), bool), np.zeros(gap, bool)))
-    return float(_window_scores(needle, padded, real).max())
-
-
 @F.pandas_udf(DoubleType())
 def partial_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Score of two string columns."""

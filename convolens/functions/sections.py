@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .text import non_blank_lines, strip, word_count
+from .text import let, non_blank_lines, strip, word_count
 
 
 def header_category(line: Column) -> Column:
@@ -28,40 +28,42 @@ def bullet_text(line: Column) -> Column:
 def concepts(response: Column) -> Column:
     """Concepts of a response as ARRAY<STRUCT<category, pos, concept>>.
 
-    The category of the last header carries forward over the lines, as a fold within the row.
+    The category of a header holds for the lines up to the next header, so each header takes the
+    slice of lines behind it.
     """
-    lines = non_blank_lines(response)
-    entry = "struct<category:string,pos:int,concept:string>"
-    start = F.struct(
-        F.lit(None).cast("string").alias("current"),
-        F.lit(0).alias("pos"),
-        F.array().cast(f"array<{entry}>").alias("found"),
-    )
 
-    def step(state: Column, line: Column) -> Column:
-        header = header_category(line)
-        concept = bullet_text(line)
-        keep = header.isNull() & concept.isNotNull() & state["current"].isNotNull()
-        item = F.struct(
-            state["current"].alias("category"), state["pos"].alias("pos"), concept.alias("concept")
-        ).cast(entry)
-        return F.struct(
-            F.coalesce(header, state["current"]).alias("current"),
-            (state["pos"] + 1).alias("pos"),
-            F.when(keep, F.concat(state["found"], F.array(item))).otherwise(state["found"]).alias("found"),
+    def between(lines: Column) -> Column:
+        marks = F.filter(
+            F.transform(lines, lambda line, i: F.struct(header_category(line).alias("category"), i.alias("at"))),
+            lambda mark: mark["category"].isNotNull(),
         )
+        return let(marks, lambda heads: F.flatten(F.transform(heads, lambda head, k: of_header(lines, heads, head, k))))
+
+    def of_header(lines: Column, heads: Column, head: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(heads, k + 1)["at"], F.size(lines))
+        own = F.slice(lines, head["at"] + 2, end - head["at"] - 1)
+        items = F.transform(own, lambda line, i: F.struct(
+            head["category"].alias("category"),
+            (head["at"] + 1 + i).alias("pos"),
+            bullet_text(line).alias("concept"),
+        ))
+        return F.filter(items, lambda item: item["concept"].isNotNull())
 
-    return F.aggregate(lines, start, step, lambda state: state["found"])
+    return let(non_blank_lines(response), between)
 
 
 def concept_map(response: Column) -> Column:
     """MAP<category, ARRAY<concept>> with all three categories present."""
-    found = concepts(response)
 
-    def of(name: str) -> Column:
+    def of(found: Column, name: str) -> Column:
         return F.transform(F.filter(found, lambda c: c["category"] == name), lambda c: c["concept"])
 
-    return F.create_map(*[part for name in fixed.CATEGORIES for part in (F.lit(name), of(name))])
+    return let(
+        concepts(response),
+        lambda found: F.create_map(
+            *[part for name in fixed.CATEGORIES for part in (F.lit(name), of(found, name))]
+        ),
+    )
 
 
 def question_sections(response: Column) -> Column:

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
 
 # Python's idea of white space: wider than Java's \s, so it is spelled out.
-_SPACES = r"\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SPACE_CODES = [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SPACE_CHARS = "".join(map(chr, _SPACE_CODES))
+_SPACES = "".join(rf"\x{{{code:x}}}" for code in _SPACE_CODES)
 _WORD_CHAR = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it any number of times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces and newlines included."""
-    return F.regexp_replace(text, rf"^[{_SPACES}]+|[{_SPACES}]+\z", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def words(text: Column) -> Column:
@@ -67,11 +77,15 @@ def keywords(query: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
+def tidy_lines(text: Column) -> Column:
+    """The text with every line trimmed and blank lines removed; NULL becomes empty."""
+    breaks = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{_SPACES}]*\n[{_SPACES}]*", "\n")
+    return strip(breaks)
+
+
 def non_blank_lines(text: Column) -> Column:
     """Trimmed lines without the blank ones; NULL text gives no lines."""
-    return F.filter(
-        F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda line: line != ""
-    )
+    return F.filter(F.split(tidy_lines(text), "\n"), lambda line: line != "")
 
 
 def excerpt(text: Column, n: int = fixed.EXCERPT_CHARS) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .text import non_blank_lines, strip
+from .text import let, strip, tidy_lines
 
 
 def user_or_system(speaker: Column) -> Column:
@@ -23,11 +23,8 @@ def speaker_has(speaker: Column, part: str) -> Column:
 def split_plain_text(text: Column) -> Column:
     """Turns of a plain transcript: a line that begins with a known speaker label opens one."""
     labels = "|".join(fixed.SPEAKER_LABELS)
-    joined = F.array_join(non_blank_lines(text), "\n")
-    turns = F.transform(
-        F.split(joined, rf"\n(?=(?:{labels}):)"), lambda t: F.replace(t, F.lit("\n"), F.lit(" "))
-    )
-    return F.filter(turns, lambda t: t != "")
+    one_line_each = F.regexp_replace(tidy_lines(text), rf"\n(?!(?:{labels}):)", " ")
+    return F.filter(F.split(one_line_each, "\n"), lambda turn: turn != "")
 
 
 def number_turns(lines: Column) -> Column:
@@ -42,54 +39,54 @@ def label_turn(speaker: Column, text: Column) -> Column:
     return F.concat(speaker, F.lit(": "), text)
 
 
-def plain_text_turns(text: Column) -> Column:
-    """Structured turns of a plain transcript; text without any line is one unknown turn."""
+def _labelled_turns(lines: Column) -> Column:
     pattern = "^(" + "|".join(fixed.SPEAKER_LABELS) + "):"
-    split = F.transform(
-        split_plain_text(text),
+    return F.transform(
+        lines,
         lambda line, i: F.struct(
             (i + 1).alias("number"),
             F.nullif(F.regexp_extract(line, pattern, 1), F.lit("")).alias("speaker"),
-            F.when(
-                line.rlike(pattern), strip(F.regexp_replace(line, pattern, ""))
-            ).otherwise(line).alias("text"),
+            strip(F.regexp_replace(line, pattern, "")).alias("text"),
         ),
     )
-    single = F.array(
-        F.struct(F.lit(1).alias("number"), F.lit("Unknown").alias("speaker"), text.alias("text"))
-    )
-    return F.when(F.size(split) > 0, split).otherwise(single)
 
 
-def plain_text_rendering(text: Column) -> tuple[Column, Column, Column]:
-    """(text with turn numbers, raw text, turn count) of a plain transcript."""
-    lines = split_plain_text(text)
-    found = F.size(lines) > 0
-    return (
-        F.when(found, number_turns(lines)).otherwise(F.concat(F.lit("Turn 1: Unknown: "), text)),
-        F.when(found, F.array_join(lines, "\n")).otherwise(text),
-        F.when(found, F.size(lines)).otherwise(1),
-    )
+def plain_text_episode(text: Column) -> Column:
+    """Struct of ``turns, text, text_with_turns, turn_count`` of a plain transcript.
 
+    Text without any line is one turn of an unknown speaker.
+    """
+    single = F.array(F.struct(
+        F.lit(1).alias("number"), F.lit("Unknown").alias("speaker"), text.alias("text")
+    ))
 
-def turn_from_line(line: Column) -> Column:
-    """``Turn N: Speaker: Text`` as a struct, NULL for any other line.
+    def episode(lines: Column) -> Column:
+        found = F.size(lines) > 0
+        return F.struct(
+            F.when(found, _labelled_turns(lines)).otherwise(single).alias("turns"),
+            F.when(found, F.array_join(lines, "\n")).otherwise(text).alias("text"),
+            F.when(found, number_turns(lines))
+            .otherwise(F.concat(F.lit("Turn 1: Unknown: "), text)).alias("text_with_turns"),
+            F.when(found, F.size(lines)).otherwise(1).alias("turn_count"),
+        )
 
-    Everything after the second colon is text, colons included.
-    """
-    number = strip(F.replace(F.substring_index(line, ":", 1), F.lit("Turn "), F.lit("")))
-    is_turn = line.startswith("Turn ") & line.rlike("^[^:]*:[^:]*:") & number.rlike(r"^[+-]?\d+\z")
-    return F.when(
-        is_turn,
-        F.struct(
-            number.try_cast("bigint").alias("number"),
-            strip(F.regexp_extract(line, "^[^:]*:([^:]*):", 1)).alias("speaker"),
-            strip(F.regexp_extract(line, "(?s)^[^:]*:[^:]*:(.*)", 1)).alias("text"),
-        ),
-    )
+    return let(split_plain_text(text), episode)
 
 
 def parse_turns(transcript: Column) -> Column:
-    """All turns of a turn-numbered transcript, in the order of their lines."""
-    parsed = F.transform(non_blank_lines(transcript), turn_from_line)
-    return F.filter(parsed, lambda t: t.isNotNull() & t["number"].isNotNull())
+    """All ``Turn N: Speaker: Text`` lines of a transcript, in order; other lines are left out.
+
+    Everything after the second colon is text, colons included.
+    """
+    lines = F.filter(F.split(tidy_lines(transcript), "\n"), lambda line: line.startswith("Turn "))
+    parts = F.filter(F.transform(lines, lambda line: F.split(line, ":", 3)), lambda p: F.size(p) == 3)
+
+    def turn(p: Column) -> Column:
+        number = strip(F.replace(p[0], F.lit("Turn "), F.lit("")))
+        return F.struct(
+            F.when(number.rlike(r"^[+-]?\d+\z"), number.try_cast("bigint")).alias("number"),
+            strip(p[1]).alias("speaker"),
+            strip(p[2]).alias("text"),
+        )
+
+    return F.filter(F.transform(parts, turn), lambda t: t["number"].isNotNull())

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed
 from ..functions.literals import python_list_as_json
-from ..functions.text import strip
-from ..functions.turns import plain_text_rendering, plain_text_turns
+from ..functions.text import let, strip
+from ..functions.turns import label_turn, number_turns, plain_text_episode
 from ..scale import broadcast_if_small, cut
 
 _CORRUPT = "_corrupt"
@@ -100,6 +100,21 @@ def list_turns(items: Column) -> Column:
     return F.transform(items, turn)
 
 
+def _list_episode(items: Column) -> Column:
+    """Struct of ``turns, text, text_with_turns, turn_count`` of a list of turns."""
+
+    def episode(turns: Column) -> Column:
+        spoken = F.transform(turns, lambda t: label_turn(t["speaker"], t["text"]))
+        return F.struct(
+            turns.alias("turns"),
+            F.array_join(spoken, "\n").alias("text"),
+            number_turns(spoken).alias("text_with_turns"),
+            F.size(turns).alias("turn_count"),
+        )
+
+    return let(list_turns(items), episode)
+
+
 def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
     """Parse the conversation column: ``turns, text, text_with_turns, turn_count, raw_format, error``.
 
@@ -108,27 +123,19 @@ def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
     """
     listed = F.when(strip(F.col(raw)).startswith("["), F.col(raw))
     as_json = "array<variant>"
-    parsed = (
+    items = F.coalesce(F.col("_list"), F.from_json("_literal.json", as_json))
+    return (
         rows.withColumn("_list", F.from_json(listed, as_json))
         .withColumn("_literal", python_list_as_json(F.when(F.col("_list").isNull(), listed)))
-        .withColumn("_items", F.coalesce("_list", F.from_json("_literal.json", as_json)))
+        .withColumn("_items", items)
         .withColumn("_is_list", F.col("_items").isNotNull())
-    )
-    numbered, plain, count = plain_text_rendering(F.col(raw))
-    spoken = F.transform("turns", lambda t: F.concat(t["speaker"], F.lit(": "), t["text"]))
-    with_number = F.transform("turns", lambda t: F.concat(
-        F.lit("Turn "), t["number"].cast("string"), F.lit(": "), t["speaker"], F.lit(": "), t["text"]))
-    is_list = F.col("_is_list")
-    return (
-        parsed.withColumn("turns", F.when(is_list, list_turns(F.col("_items"))).otherwise(plain_text_turns(F.col(raw))))
-        .withColumns({
-            "text": F.when(is_list, F.array_join(spoken, "\n")).otherwise(plain),
-            "text_with_turns": F.when(is_list, F.array_join(with_number, "\n")).otherwise(numbered),
-            "turn_count": F.when(is_list, F.size("turns")).otherwise(count),
-            "raw_format": F.when(is_list, "list").otherwise("str"),
-            "error": F.col("_literal.error"),
-        })
-        .drop("_list", "_literal", "_items", "_is_list")
+        .withColumn("_episode", F.when(F.col("_is_list"), _list_episode(F.col("_items")))
+                    .otherwise(plain_text_episode(F.col(raw))))
+        .select(
+            *rows.columns, "_episode.*",
+            F.when(F.col("_is_list"), "list").otherwise("str").alias("raw_format"),
+            F.col("_literal.error").alias("error"),
+        )
     )
 
 

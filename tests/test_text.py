@@ -48,10 +48,13 @@ def test_plain_text_split(spark):
     expected = ["intro more", "Agent: hi there", "Customer: yo agent: no"]
     assert one(spark, raw, turns.split_plain_text) == expected
     assert one(spark, " \n \n", turns.split_plain_text) == []
-    numbered, plain, count = turns.plain_text_rendering(F.col("v"))
-    row = spark.createDataFrame([(raw,), (" ",)], "v string").select(numbered, plain, count).collect()
-    assert row[0][0].split("\n")[1] == "Turn 2: Agent: hi there" and row[0][2] == 3
-    assert tuple(row[1]) == ("Turn 1: Unknown:  ", " ", 1)
+    rows = spark.createDataFrame([(raw,), (" ",)], "v string").select(turns.plain_text_episode(F.col("v")).alias("e"))
+    first, blank = [r.e for r in rows.collect()]
+    assert first.text_with_turns.split("\n")[1] == "Turn 2: Agent: hi there" and first.turn_count == 3
+    assert [(t.number, t.speaker, t.text) for t in first.turns] == [
+        (1, None, "intro more"), (2, "Agent", "hi there"), (3, "Customer", "yo agent: no")]
+    assert (blank.text_with_turns, blank.text, blank.turn_count) == ("Turn 1: Unknown:  ", " ", 1)
+    assert [tuple(t) for t in blank.turns] == [(1, "Unknown", " ")]
 
 
 def test_parse_turns(spark):
