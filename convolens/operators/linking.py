@@ -51,9 +51,11 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
     """Many needles: meet on the first characters of the needle, then verify.
 
     A text that contains a needle contains its first ``_ANCHOR`` characters (all of a shorter
-    needle), so an equi-join on those finds every candidate. Only keys move in it.
+    needle), so an equi-join on those finds every candidate. Only keys move in it. At most
+    ``_ANCHOR`` sizes of beginnings occur, and only those are cut from the texts.
     """
     anchored = needles.withColumn("gram", F.substring("term", 1, _ANCHOR))
+    sizes = [r[0] for r in anchored.select(F.char_length("gram")).distinct().collect()]
     sides = [
         qa.select("qa_pos", F.lit(side == "response").alias("is_response"),
                   F.lower(F.coalesce(side, F.lit(""))).alias("text"))
@@ -64,7 +66,7 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
     grams = F.array_distinct(F.flatten(F.transform(
         starts,
         lambda i: F.transform(
-            F.array(*[F.lit(n) for n in range(1, _ANCHOR + 1)]),
+            F.array(*[F.lit(n) for n in sizes]),
             lambda n: F.substring(F.col("text"), i, n),
         ),
     )))
