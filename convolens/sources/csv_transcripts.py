@@ -12,7 +12,7 @@ from ..functions.text import let, strip
 from ..functions.turns import label_turn, number_turns, plain_text_episode
 from ..scale import broadcast_if_small, cut
 
-_CORRUPT = "_corrupt"
+_OVERFLOW = "_overflow"
 
 
 @dataclass(frozen=True)
@@ -30,10 +30,7 @@ class LoadedTranscripts:
 
 
 def _reader(spark: SparkSession):
-    return (
-        spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-    )
+    return spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -140,30 +137,34 @@ def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
 
 
 def load_transcripts(spark: SparkSession, path: str) -> LoadedTranscripts:
-    """Read transcripts; empty conversations are skipped, unreadable rows are kept apart."""
+    """Read transcripts; empty conversations are skipped, unreadable rows are kept apart.
+
+    Cells missing at the end of a row are null; a row with more cells than the header has is
+    malformed, which one column beyond the header shows.
+    """
     header = _reader(spark).option("header", False).csv(path).limit(1).collect()
     names = [str(n) for n in header[0]] if header else []
     fields = [f"c{i} string" for i in range(len(names))]
-    rows = _reader(spark).option("header", True).schema(", ".join([*fields, f"{_CORRUPT} string"])).csv(path)
+    rows = _reader(spark).option("header", True).schema(", ".join([*fields, f"{_OVERFLOW} string"])).csv(path)
     rows = _numbered(rows)
     columns = {
         name: F.when(~F.col(f"c{i}").isin(fixed.CSV_NULLS), F.col(f"c{i}"))
         for i, name in reversed(list(enumerate(names)))
     }
     picked = rows.select(
-        "row_index", F.col(_CORRUPT).alias("corrupt"),
+        "row_index", F.col(_OVERFLOW).isNotNull().alias("broken"),
         pick_id(columns, F.col("row_index")).alias("id"),
         pick(columns, fixed.CONVERSATION_COLUMNS).alias("conversation"),
         pick_domain(columns).alias("domain"),
     )
-    broken = F.col("corrupt").isNotNull()
+    broken = F.col("broken")
     parsed = with_episode(picked.where(~broken & (F.coalesce("conversation", F.lit("")) != "")))
     episodes = parsed.where("error is null").select(
         "id", "text", "text_with_turns", "domain", "turn_count",
         F.struct("row_index", "raw_format").alias("metadata"), "turns",
     )
     rejected = (
-        picked.where(broken).select("row_index", F.lit("malformed CSV record").alias("error"))
+        picked.where(broken).select("row_index", F.lit("more cells than columns").alias("error"))
         .unionByName(parsed.where("error is not null").select("row_index", "error"))
     )
     return LoadedTranscripts(episodes, rejected)

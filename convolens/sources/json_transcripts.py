@@ -84,10 +84,9 @@ def _dialogues_of_list(items: Column, whole: Column, domain: str | None) -> Colu
     )
 
 
-def _dialogues_of_object(fields: Column) -> Column:
+def _dialogues_of_object(fields: Column, dialogs: Column) -> Column:
     """``Transcript``, ``dialogs``, or the first list of objects or strings."""
     transcript = F.try_element_at(fields, F.lit("Transcript"))
-    dialogs = F.try_variant_get(F.try_element_at(fields, F.lit("dialogs")), "$", _OBJECT)
 
     def looks_like_turns(value: Column) -> Column:
         first = F.try_variant_get(value, "$[0]", "variant")
@@ -134,10 +133,12 @@ def read_utterances(spark: SparkSession, path: str, domain: str | None = None) -
     documents = files.withColumns({
         "items": F.when(strip(F.col("value")).startswith("["), F.from_json("value", _LIST)),
         "fields": F.when(strip(F.col("value")).startswith("{"), F.from_json("value", _OBJECT)),
+        # A variant sorts its keys, so the dialogues are read as a map, which keeps their order.
+        "dialogs": F.from_json("value", f"dialogs {_OBJECT}")["dialogs"],
         "whole": F.try_parse_json("value"),
     })
     of_list = _dialogues_of_list(F.col("items"), F.col("whole"), domain)
-    of_object = _dialogues_of_object(F.col("fields"))
+    of_object = _dialogues_of_object(F.col("fields"), F.col("dialogs"))
     chosen = F.when(F.col("items").isNotNull(), of_list).when(F.col("fields").isNotNull(), of_object)
     return _explode(documents.select("source", F.posexplode(chosen).alias("dialog_pos", "d")))
 

@@ -20,10 +20,11 @@ def read_qa_pairs(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         if lines:
             rows = reader.json(path)
         else:
-            texts = spark.read.text(path).where("trim(value) <> ''")
-            lists = texts.groupBy(F.col("_metadata.file_path").alias("_file")).agg(
-                F.min_by("value", F.monotonically_increasing_id()).alias("head")
-            ).where(F.ltrim("head").startswith("["))
+            texts = spark.read.text(path).where("trim(value) <> ''").select(
+                F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_line"),
+                F.substring(F.ltrim("value"), 1, 1).alias("start"),
+            )
+            lists = texts.groupBy("_file").agg(F.min_by("start", "_line").alias("start")).where("start = '['")
             rows = (
                 reader.option("multiLine", True).json(path).withColumn("_file", F.col("_metadata.file_path"))
                 .withColumn("qa_pos", F.monotonically_increasing_id()).join(lists, "_file", "left_semi")
