@@ -81,12 +81,12 @@ def _linked(spark, d):
 
 @query("j1_link_qa", B.sql("SELECT cluster_id, qa_pos FROM linked_all", *_LINK))
 def j1(spark, d):
-    return linking.match_pairs(B.clusters(spark, d), B.qa(spark, d))
+    return linking.match_pairs(B.clusters(spark, d), B.qa(spark, d)).select("cluster_id", "qa_pos")
 
 
 @query("j1_link_qa_anchored", B.sql("SELECT cluster_id, qa_pos FROM linked_all", *_LINK))
 def j1_anchored(spark, d):
-    return linking.match_pairs(B.clusters(spark, d), B.qa(spark, d), inline_rows=0)
+    return linking.match_pairs(B.clusters(spark, d), B.qa(spark, d), inline_rows=0).select("cluster_id", "qa_pos")
 
 
 @query("d2_dedupe_qa", B.sql("SELECT cluster_id, qa_pos, md5(query) AS query, md5(response) AS response FROM linked", *_LINK))

@@ -55,23 +55,22 @@ def cluster(rows: DataFrame, k: int | None = None, seed: int = 42, restarts: int
     equal numbers.
     """
     k = cluster_count(rows) if k is None else k
-    points = rows.select("id", array_to_vector(F.col("embedding")).alias("features"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
+    points = rows.withColumn("_features", array_to_vector(F.col("embedding")))
+    trained = points.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fits = (
-            KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="raw").fit(points)
+            KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="_raw").fit(trained)
             for i in range(restarts)
         )
         model = min(fits, key=lambda fit: fit.summary.trainingCost)
-        assigned = cut(model.transform(points).select("id", "raw"))
     finally:
-        points.unpersist()
-    order = (
-        assigned.groupBy("raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+        trained.unpersist()
+    assigned = model.transform(points)
+    numbers = cut(
+        assigned.groupBy("_raw").agg(F.count("*").alias("n"), F.min("id").alias("first"))
         .agg(F.array_sort(F.collect_list(
-            F.struct((-F.col("n")).alias("n"), "first", "raw"))).alias("ranked"))
+            F.struct((-F.col("n")).alias("n"), "first", "_raw"))).alias("ranked"))
         .select(F.posexplode("ranked").alias("cluster", "c"))
-        .select(F.col("c.raw").alias("raw"), "cluster")
+        .select(F.col("c._raw").alias("_raw"), "cluster")
     )
-    numbered = assigned.join(broadcast_if_small(order), "raw").select("id", "cluster")
-    return rows.join(numbered, "id")
+    return assigned.join(broadcast_if_small(numbers), "_raw").select(*rows.columns, "cluster")

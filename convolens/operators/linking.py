@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import strip
 from ..scale import INLINE_ROWS, cut, footprint, has_at_most
-from .profile import first_per_group
+from .profile import first_rows
 
 _INLINE_BYTES = 1024 * 1024
 _ANCHOR = 4
@@ -33,18 +33,17 @@ def _match_inline(needles: DataFrame, qa: DataFrame) -> DataFrame:
     """Few needles: they ride along as one array value and each pair is tested where it lies."""
     array = needles.agg(F.collect_list(F.struct("cluster_id", "term", "in_response"))).scalar()
     carried = qa.select(
-        "qa_pos",
-        F.lower(F.coalesce("query", F.lit(""))).alias("q"),
-        F.lower(F.coalesce("response", F.lit(""))).alias("r"),
-        array.alias("needles"),
+        "*",
+        F.lower(F.coalesce("query", F.lit(""))).alias("_q"),
+        F.lower(F.coalesce("response", F.lit(""))).alias("_r"),
+        array.alias("_needles"),
     )
     hits = F.filter(
-        "needles",
-        lambda n: F.contains(F.col("q"), n["term"]) | (n["in_response"] & F.contains(F.col("r"), n["term"])),
-    )
-    return carried.select(
-        "qa_pos", F.explode(F.array_distinct(F.transform(hits, lambda n: n["cluster_id"]))).alias("cluster_id")
+        "_needles",
+        lambda n: F.contains(F.col("_q"), n["term"]) | (n["in_response"] & F.contains(F.col("_r"), n["term"])),
     )
+    found = F.array_distinct(F.transform(hits, lambda n: n["cluster_id"]))
+    return carried.select(F.explode(found).alias("cluster_id"), *qa.columns)
 
 
 def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
@@ -77,11 +76,11 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
         .select("qa_pos", "is_response", "cluster_id", "term")
     )
     verified = candidates.join(texts, ["qa_pos", "is_response"]).where(F.contains("text", F.col("term")))
-    return verified.select("qa_pos", "cluster_id").distinct()
+    return verified.select("qa_pos", "cluster_id").distinct().join(qa, "qa_pos").select("cluster_id", *qa.columns)
 
 
 def match_pairs(clusters: DataFrame, qa: DataFrame, inline_rows: int = INLINE_ROWS) -> DataFrame:
-    """(cluster_id, qa_pos) of every match, by the way that suits the number of needles."""
+    """Every match as ``cluster_id`` and the pair, by the way that suits the number of needles."""
     needles = cut(_needles(clusters))
     if has_at_most(needles, inline_rows) and footprint(needles) <= _INLINE_BYTES:
         return _match_inline(needles, qa)
@@ -99,15 +98,12 @@ def dedupe_queries(linked: DataFrame) -> DataFrame:
 
 def link_qas(clusters: DataFrame, qa: DataFrame, inline_rows: int = INLINE_ROWS) -> DataFrame:
     """Linked pairs per cluster, duplicates of a query removed. Clusters without a pair have no row."""
-    pairs = match_pairs(clusters, qa, inline_rows)
-    return dedupe_queries(pairs.join(qa, "qa_pos").select("cluster_id", *qa.columns))
+    return dedupe_queries(match_pairs(clusters, qa, inline_rows))
 
 
 def qa_context(linked: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` pairs per cluster as an ordered array."""
-    first = first_per_group(
-        linked.select("cluster_id", "qa_pos", "query", "response"), "cluster_id", [F.asc("qa_pos")], n
-    )
+    first = first_rows(linked.select("cluster_id", "qa_pos", "query", "response"), "cluster_id", "qa_pos", n)
     return first.groupBy("cluster_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "query", "response"))),

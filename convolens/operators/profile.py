@@ -15,7 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed
-from ..functions.text import ascii_words, unicode_words, without
+from ..functions.text import unicode_words, without
 from ..functions.vectors import cosine
 from ..scale import INLINE_ROWS, broadcast_if_small, cut, has_at_most
 
@@ -32,6 +32,18 @@ def first_per_group(df: DataFrame, group: str | list[str], order: list[Column],
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
+def first_rows(df: DataFrame, group: str, key: str, n: int, score: str | None = None) -> DataFrame:
+    """First ``n`` wide rows per group, by falling ``score`` and then by ``key``.
+
+    Only the keys and scores are sorted; the few winners then fetch their rows.
+    """
+    narrow = df.select(group, key, *([score] if score else []))
+    order = ([F.desc(score)] if score else []) + [F.asc(key)]
+    winners = cut(first_per_group(narrow, group, order, n))
+    rest = df.drop(score) if score else df
+    return rest.join(broadcast_if_small(winners), [group, key])
+
+
 def cluster_sizes(utterances: DataFrame) -> DataFrame:
     return utterances.groupBy("cluster").agg(F.count("*").alias("size"))
 
@@ -42,10 +54,13 @@ def speaker_counts(utterances: DataFrame) -> DataFrame:
 
 
 def speaker_distribution(utterances: DataFrame) -> DataFrame:
-    """Speaker -> count per cluster. Speakers are the normalised names, so the map stays small."""
+    """Speaker -> count per cluster, and the cluster's size from the same pass.
+
+    Speakers are the normalised names, so the map stays small.
+    """
     entries = F.array_sort(F.collect_list(F.struct("speaker", "n")))
     return speaker_counts(utterances).groupBy("cluster").agg(
-        F.map_from_entries(entries).alias("speaker_distribution")
+        F.map_from_entries(entries).alias("speaker_distribution"), F.sum("n").alias("size")
     )
 
 
@@ -62,10 +77,9 @@ def exemplars(utterances: DataFrame, k: int = fixed.N_EXEMPLARS,
     Similarity is compared at nine digits and ties go to the smaller id.
     """
     centers = broadcast_if_small(cut(centroids(utterances)) if centers is None else centers)
-    scored = utterances.join(centers, "cluster").withColumn(
-        "similarity", F.round(cosine(F.col("embedding"), F.col("centroid")), 9)
-    ).drop("centroid")
-    return first_per_group(scored, "cluster", [F.desc("similarity"), F.asc("id")], k)
+    similarity = F.round(cosine(F.col("embedding"), F.col("centroid")), 9)
+    scored = utterances.join(centers, "cluster").withColumn("similarity", similarity).drop("centroid")
+    return first_rows(scored, "cluster", "id", k, score="similarity")
 
 
 def tone(utterances: DataFrame, lexicon: DataFrame, sample: int = fixed.TONE_SAMPLE) -> DataFrame:
@@ -74,9 +88,7 @@ def tone(utterances: DataFrame, lexicon: DataFrame, sample: int = fixed.TONE_SAM
     ``lexicon`` has ``word`` and ``polarity``. A text scores the mean of its known words, 0 when
     it has none.
     """
-    first = first_per_group(
-        utterances.select("cluster", "id", "text"), "cluster", [F.asc("id")], sample
-    )
+    first = first_rows(utterances.select("cluster", "id", "text"), "cluster", "id", sample)
     hits = (
         first.select("cluster", "id", F.explode_outer(unicode_words(F.col("text"))).alias("word"))
         .join(lexicon.select("word", "polarity"), "word", "left")
@@ -266,10 +278,9 @@ def profile_clusters(utterances: DataFrame, ontology: Mapping[str, Sequence[floa
     )
     moods = tone(utterances, lexicon).select("cluster", "tone")
     joined = (
-        cluster_sizes(utterances)
+        speaker_distribution(utterances)
         .join(centers, "cluster").join(labels, "cluster").join(texts, "cluster")
         .join(phrases, "cluster", "left").join(moods, "cluster", "left")
-        .join(speaker_distribution(utterances), "cluster", "left")
     )
     if outcomes is None:
         joined = joined.withColumn("success_rate", F.lit(None).cast("double"))

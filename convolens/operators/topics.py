@@ -6,7 +6,7 @@ Words are counted on the map side first, so a frequent word or a large group mov
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import ascii_words, ngrams, strip, without
@@ -34,25 +34,23 @@ def topic_counts(qa: DataFrame, by: list[str] | None = None,
     holds ``action_label`` (and the ``by`` columns); the label counts twice for both sides.
     """
     by = by or []
-    sides = [
-        ("query", 0, fixed.QUERY_TOPIC_STOP_WORDS),
-        ("response", 1, fixed.RESPONSE_TOPIC_STOP_WORDS),
-    ]
-    per_side = [
-        qa.select(
-            *by,
-            F.posexplode(
-                F.slice(without(ascii_words(F.col(side), 4), stop), 1, fixed.TOPIC_WORDS_PER_TEXT)
-            ).alias("at", "topic"),
-            F.struct(F.lit(phase).alias("phase"), F.col("qa_pos").cast("bigint").alias("qa_pos")).alias("seen"),
-        ).select(
-            *by, "topic",
-            F.lit(1 - phase).cast("bigint").alias("q"), F.lit(phase).cast("bigint").alias("r"),
-            F.struct("seen.phase", "seen.qa_pos", F.col("at").cast("bigint").alias("at")).alias("seen"),
-        )
-        for side, phase, stop in sides
-    ]
-    terms = per_side[0].unionByName(per_side[1])
+
+    def side(text: str, phase: int, stop: list[str]) -> Column:
+        kept = F.slice(without(ascii_words(F.col(text), 4), stop), 1, fixed.TOPIC_WORDS_PER_TEXT)
+        return F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda word, at: F.struct(
+            word.alias("topic"),
+            F.lit(1 - phase).cast("bigint").alias("q"),
+            F.lit(phase).cast("bigint").alias("r"),
+            F.struct(
+                F.lit(phase).alias("phase"), F.col("qa_pos").cast("bigint").alias("qa_pos"),
+                at.cast("bigint").alias("at"),
+            ).alias("seen"),
+        ))
+
+    both = F.concat(
+        side("query", 0, fixed.QUERY_TOPIC_STOP_WORDS), side("response", 1, fixed.RESPONSE_TOPIC_STOP_WORDS)
+    )
+    terms = qa.select(*by, F.inline(both))
     if actions is not None:
         bump = F.lit(fixed.ACTION_BUMP).cast("bigint")
         label = strip(F.lower("action_label"))
