@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from convolens.functions.fuzzy import contained, keyword_scores
 from convolens.functions.text import keywords
 from convolens.operators import evidence
+from convolens.scale import spread
 
 from . import bindings as B
 from .normalise import keywords_sql
@@ -96,7 +97,7 @@ def x3_exact(spark, d):
 @query("x3_partial_ratio")
 def x3(spark, d):
     following = B.table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("text"))
-    asked = B.cand(spark, d).join(following, ["conv_id", "turn"])
+    asked = spread(B.cand(spark, d), ["conv_id", "turn", "pos"]).join(following, ["conv_id", "turn"])
     best = keyword_scores(keywords(F.col("full_query")), F.array("text"))
     return asked.select("conv_id", "turn", "pos", F.round(F.get(best, F.lit(0)), 6).alias("score"))
 

@@ -161,7 +161,7 @@ def _words_sql(column, n):
 
 @query("x1_ascii_words", f"SELECT word, count(*) AS n FROM (SELECT unnest({_words_sql('text', 4)}) AS word FROM documents) GROUP BY 1")
 def x1(spark, d):
-    words = B.table(spark, d, "documents").select(F.explode(ascii_words(F.col("text"), 4)).alias("word"))
+    words = B.texts(spark, d, "documents").select(F.explode(ascii_words(F.col("text"), 4)).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -171,7 +171,7 @@ SELECT gram, count(*) AS n FROM (
                 || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
   FROM (SELECT {_words_sql('text', 3)} AS w FROM conversations)) GROUP BY 1""")
 def x2(spark, d):
-    tokens = B.table(spark, d, "conversations").select(ascii_words(F.col("text"), 3).alias("w"))
+    tokens = B.texts(spark, d, "conversations").select(ascii_words(F.col("text"), 3).alias("w"))
     grams = tokens.select(F.explode(F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))).alias("gram"))
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
