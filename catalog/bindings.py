@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from convolens.functions.text import ascii_words
 from convolens.functions.turns import plain_text_episode, user_or_system
+from convolens.operators.explode import explode_values
 from convolens.scale import spread
 
 VIEWS: dict[str, str] = {}
@@ -257,7 +258,7 @@ VIEWS["clusters"] = """
 
 
 def clusters(spark, folder):
-    words = texts(spark, folder, "documents").select(F.explode(ascii_words(F.col("text"), 4)).alias("word"))
+    words = explode_values(texts(spark, folder, "documents"), [], ascii_words(F.col("text"), 4), "word")
     top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(24)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))).alias("w"))
     rows = ranked.select(F.posexplode("w").alias("at", "w")).select(F.floor(F.col("at") / 3).alias("cluster_id"), "at", "w.word")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from convolens.functions.fuzzy import contained, keyword_scores
 from convolens.functions.text import keywords
 from convolens.operators import evidence
+from convolens.operators.explode import explode_values
 from convolens.scale import spread
 
 from . import bindings as B
@@ -90,7 +91,7 @@ FROM (SELECT c.conv_id, c.turn, c.pos, t.text, {keywords_sql('c.full_query')} AS
 def x3_exact(spark, d):
     following = B.table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("text"))
     asked = B.cand(spark, d).join(following, ["conv_id", "turn"])
-    words = asked.select("conv_id", "turn", "pos", "text", F.explode(keywords(F.col("full_query"))).alias("keyword"))
+    words = explode_values(asked, ["conv_id", "turn", "pos", "text"], keywords(F.col("full_query")), "keyword")
     return words.select("conv_id", "turn", "pos", "keyword", contained(F.col("keyword"), F.col("text")).alias("hit"))
 
 

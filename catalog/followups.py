@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from convolens.functions import fixed, prompts, sections
 from convolens.functions.text import strip
 from convolens.operators import completion, followups, linking, topics
+from convolens.operators.explode import explode_positions, explode_values
 from convolens.plans import jobs
 
 from . import bindings as B
@@ -149,7 +150,7 @@ _CONCEPTS = ("answers", "concept_lines", "concepts")
 
 @query("w4_concept_sections", B.sql("SELECT conv_id, turn, category, count(*) AS n FROM concepts GROUP BY 1, 2, 3", *_CONCEPTS))
 def w4(spark, d):
-    found = B.answers(spark, d).select("conv_id", "turn", F.explode(sections.concepts(F.col("concepts_answer"))).alias("c"))
+    found = explode_values(B.answers(spark, d), ["conv_id", "turn"], sections.concepts(F.col("concepts_answer")), "c")
     return found.groupBy("conv_id", "turn", F.col("c.category").alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -184,20 +185,20 @@ _QUESTIONS = ("answers", "sections", "section_lines", "questions")
 
 @query("x14_sections", B.sql(r"SELECT conv_id, turn, sequence, md5(regexp_replace(section, '\s+$', '')) AS section FROM sections", *_QUESTIONS))
 def x14(spark, d):
-    at = B.answers(spark, d).select("conv_id", "turn", F.posexplode(sections.question_sections(F.col("questions_answer"))).alias("p", "s"))
+    at = explode_positions(B.answers(spark, d), ["conv_id", "turn"], sections.question_sections(F.col("questions_answer")), "p", "s")
     return at.select("conv_id", "turn", (F.col("p") + 1).alias("sequence"), F.md5(F.regexp_replace("s", r"\s+\z", "")).alias("section"))
 
 
 @query("f19_followup_lines", B.sql(f"SELECT conv_id, turn, sequence, count(*) AS n FROM section_lines WHERE {_OK} GROUP BY 1, 2, 3", *_QUESTIONS))
 def f19(spark, d):
-    at = B.answers(spark, d).select("conv_id", "turn", F.posexplode(sections.question_sections(F.col("questions_answer"))).alias("p", "s"))
+    at = explode_positions(B.answers(spark, d), ["conv_id", "turn"], sections.question_sections(F.col("questions_answer")), "p", "s")
     lines = at.select("conv_id", "turn", (F.col("p") + 1).alias("sequence"), F.explode(F.split("s", "\n")).alias("line"))
     return lines.where(sections.is_followup_line(strip(F.col("line")))).groupBy("conv_id", "turn", "sequence").agg(F.count("*").alias("n"))
 
 
 @query("w5_first_question", B.sql(f"SELECT conv_id, turn, sequence, arg_min(line, spot) AS line FROM section_lines WHERE {_OK} GROUP BY 1, 2, 3", *_QUESTIONS))
 def w5(spark, d):
-    at = B.answers(spark, d).select("conv_id", "turn", F.posexplode(sections.question_sections(F.col("questions_answer"))).alias("p", "s"))
+    at = explode_positions(B.answers(spark, d), ["conv_id", "turn"], sections.question_sections(F.col("questions_answer")), "p", "s")
     return at.select("conv_id", "turn", (F.col("p") + 1).alias("sequence"), sections.first_question(F.col("s")).alias("line")).where("line is not null")
 
 
@@ -209,7 +210,8 @@ def x15(spark, d):
 
 @query("m11_followups", B.sql("SELECT conv_id, turn, sequence, question, category FROM questions", *_QUESTIONS))
 def m11(spark, d):
-    return B.answers(spark, d).select("conv_id", "turn", F.inline(sections.followups(F.col("questions_answer"))))
+    found = explode_values(B.answers(spark, d), ["conv_id", "turn"], sections.followups(F.col("questions_answer")), "f")
+    return found.select("conv_id", "turn", "f.*")
 
 
 def _enriched(spark, d):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from convolens.functions import events, turns as T
 from convolens.functions.text import ascii_words, excerpt, keywords, ngrams
 from convolens.operators.events import with_event_overrides
+from convolens.operators.explode import explode_positions, explode_values
 from convolens.sources.csv_transcripts import pick, pick_domain, pick_id
 
 from . import bindings as B
@@ -39,7 +40,7 @@ def p5(spark, d):
 
 @query("p6_split_turns", B.sql("SELECT doc_id, unnest(ts) AS turn, generate_subscripts(ts, 1) AS number FROM split_docs", "raw", "split_docs"))
 def p6(spark, d):
-    split = B.raw(spark, d).select("doc_id", F.posexplode(T.split_plain_text(F.col("conversation"))).alias("p", "turn"))
+    split = explode_positions(B.raw(spark, d), ["doc_id"], T.split_plain_text(F.col("conversation")), "p", "turn")
     return split.select("doc_id", "turn", (F.col("p") + 1).alias("number"))
 
 
@@ -64,12 +65,12 @@ def p11(spark, d):
 @query("p12_flatten", B.sql("SELECT doc_id AS conv_id, unnest(ts) AS text, generate_subscripts(ts, 1) - 1 AS pos FROM split_docs", "raw", "split_docs"))
 def p12(spark, d):
     dialogues = B.raw(spark, d).select("doc_id", T.split_plain_text(F.col("conversation")).alias("turns"))
-    return dialogues.select(F.col("doc_id").alias("conv_id"), F.posexplode("turns").alias("pos", "text"))
+    return explode_positions(dialogues, [F.col("doc_id").alias("conv_id")], F.col("turns"), "pos", "text")
 
 
 @query("p13_parse_turns", B.sql("SELECT doc_id, number, speaker, text FROM doc_turns", "raw", "split_docs", "rendered", "doc_turns"))
 def p13(spark, d):
-    parsed = B.rendered(spark, d).select("doc_id", F.explode(T.parse_turns(F.col("text_with_turns"))).alias("t"))
+    parsed = explode_values(B.rendered(spark, d), ["doc_id"], T.parse_turns(F.col("text_with_turns")), "t")
     return parsed.select("doc_id", "t.number", "t.speaker", "t.text")
 
 
@@ -161,7 +162,7 @@ def _words_sql(column, n):
 
 @query("x1_ascii_words", f"SELECT word, count(*) AS n FROM (SELECT unnest({_words_sql('text', 4)}) AS word FROM documents) GROUP BY 1")
 def x1(spark, d):
-    words = B.texts(spark, d, "documents").select(F.explode(ascii_words(F.col("text"), 4)).alias("word"))
+    words = explode_values(B.texts(spark, d, "documents"), [], ascii_words(F.col("text"), 4), "word")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -172,7 +173,7 @@ SELECT gram, count(*) AS n FROM (
   FROM (SELECT {_words_sql('text', 3)} AS w FROM conversations)) GROUP BY 1""")
 def x2(spark, d):
     tokens = B.texts(spark, d, "conversations").select(ascii_words(F.col("text"), 3).alias("w"))
-    grams = tokens.select(F.explode(F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))).alias("gram"))
+    grams = explode_values(tokens, [], F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3)), "gram")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -195,4 +196,4 @@ def keywords_sql(column):
 SELECT conv_id, turn, pos, unnest(k) AS keyword, generate_subscripts(k, 1) - 1 AS at
 FROM (SELECT conv_id, turn, pos, {keywords_sql('full_query')} AS k FROM cand)""", "cand"))
 def f18(spark, d):
-    return B.cand(spark, d).select("conv_id", "turn", "pos", F.posexplode(keywords(F.col("full_query"))).alias("at", "keyword"))
+    return explode_positions(B.cand(spark, d), ["conv_id", "turn", "pos"], keywords(F.col("full_query")), "at", "keyword")

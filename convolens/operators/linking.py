@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import strip
 from ..scale import INLINE_ROWS, cut, footprint, has_at_most
+from .explode import explode_values
 from .profile import first_rows
 
 _INLINE_BYTES = 1024 * 1024
@@ -43,7 +44,7 @@ def _match_inline(needles: DataFrame, qa: DataFrame) -> DataFrame:
         lambda n: F.contains(F.col("_q"), n["term"]) | (n["in_response"] & F.contains(F.col("_r"), n["term"])),
     )
     found = F.array_distinct(F.transform(hits, lambda n: n["cluster_id"]))
-    return carried.select(F.explode(found).alias("cluster_id"), *qa.columns)
+    return explode_values(carried, qa.columns, found, "cluster_id").select("cluster_id", *qa.columns)
 
 
 def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
         ),
     )))
     candidates = (
-        texts.where("text <> ''").select("qa_pos", "is_response", F.explode(grams).alias("gram"))
+        explode_values(texts.where("text <> ''"), ["qa_pos", "is_response"], grams, "gram")
         .join(anchored, "gram")
         .where("in_response or not is_response")
         .select("qa_pos", "is_response", "cluster_id", "term")

@@ -18,6 +18,7 @@ from ..functions import fixed
 from ..functions.text import unicode_words, without
 from ..functions.vectors import cosine
 from ..scale import INLINE_ROWS, broadcast_if_small, cut, has_at_most
+from .explode import explode_values
 
 
 def first_per_group(df: DataFrame, group: str | list[str], order: list[Column], n: int,
@@ -120,7 +121,7 @@ def phrase_scores(utterances: DataFrame, top_n: int = fixed.N_KEY_PHRASES,
         "cluster", without(unicode_words(F.col("text")), stop).alias("tokens")
     )
     counts = (
-        texts.select("cluster", F.explode("tokens").alias("term"))
+        explode_values(texts, ["cluster"], F.col("tokens"), "term")
         .groupBy("cluster", "term").agg(F.count("*").alias("n"))
     )
     vocabulary = cut(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed
 from ..functions.text import ascii_words, ngrams, strip, without
+from .explode import explode_positions, explode_values
 from .profile import first_per_group
 
 
@@ -50,7 +51,7 @@ def topic_counts(qa: DataFrame, by: list[str] | None = None,
     both = F.concat(
         side("query", 0, fixed.QUERY_TOPIC_STOP_WORDS), side("response", 1, fixed.RESPONSE_TOPIC_STOP_WORDS)
     )
-    terms = qa.select(*by, F.inline(both))
+    terms = explode_values(qa, by, both, "term").select(*by, "term.*")
     if actions is not None:
         bump = F.lit(fixed.ACTION_BUMP).cast("bigint")
         label = strip(F.lower("action_label"))
@@ -86,10 +87,8 @@ def phrases(qa: DataFrame, by: list[str] | None = None, n: int = fixed.N_PHRASES
         F.lower(F.substring(F.coalesce("response", F.lit("")), 1, fixed.PHRASE_RESPONSE_CHARS)),
     )
     tokens = qa.select(*by, "qa_pos", ascii_words(combined, 3).alias("w"))
-    found = tokens.select(
-        *by, "qa_pos",
-        F.posexplode(F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))).alias("at", "phrase"),
-    )
+    grams = F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))
+    found = explode_positions(tokens, [*by, "qa_pos"], grams, "at", "phrase")
     seen = F.min(F.struct(F.col("qa_pos").cast("bigint"), "at")).alias("first_seen")
     counted = found.groupBy(*by, "phrase").agg(F.count("*").alias("n"), seen)
     return _top(counted, by, "n", n).select(*by, "rank", "phrase", "n")

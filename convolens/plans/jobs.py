@@ -100,6 +100,7 @@ def cluster_topics(clusters: DataFrame, linked: DataFrame) -> DataFrame:
 def run_followups(clusters: DataFrame, qa: DataFrame, client_factory: Callable | None = None,
                   output_csv: str | None = None) -> DataFrame:
     """Clusters and pairs -> topics, concepts, fused text and follow-up questions per cluster."""
+    clusters = cut(clusters)
     linked = cut(linking.link_qas(clusters, qa))
     none = F.array().cast("array<string>")
     rows = (
@@ -108,7 +109,7 @@ def run_followups(clusters: DataFrame, qa: DataFrame, client_factory: Callable |
         .join(linking.qa_context(linked), "cluster_id", "left")
         .withColumn("topics", F.coalesce("topics", none))
     )
-    enriched = followups.select_concepts(rows, client_factory)
+    enriched = followups.select_concepts(cut(rows), client_factory)
     enriched = followups.fuse(enriched, client_factory)
     enriched = followups.generate_followups(enriched, client_factory)
     if output_csv:

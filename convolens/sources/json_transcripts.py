@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed
 from ..functions.text import strip
 from ..functions.turns import split_plain_text, user_or_system
+from ..operators.explode import explode_positions
 
 _LIST = "array<variant>"
 _OBJECT = "map<string,variant>"
@@ -111,10 +112,8 @@ def _turn_list(turns: Column) -> Column:
 
 def _explode(dialogues: DataFrame) -> DataFrame:
     """(source, dialog_pos, dialogue) -> utterances with their speaker, empty ones dropped."""
-    turns = dialogues.select(
-        "source", "dialog_pos", F.col("d.id").alias("conv_id"),
-        F.posexplode(_turn_list(F.col("d.turns"))).alias("pos", "t"),
-    )
+    keep = ["source", "dialog_pos", F.col("d.id").alias("conv_id")]
+    turns = explode_positions(dialogues, keep, _turn_list(F.col("d.turns")), "pos", "t")
     return turns.select(
         "source", "dialog_pos", "conv_id", "pos",
         turn_speaker(F.col("t")).alias("speaker"), turn_text(F.col("t")).alias("text"),
@@ -140,7 +139,7 @@ def read_utterances(spark: SparkSession, path: str, domain: str | None = None) -
     of_list = _dialogues_of_list(F.col("items"), F.col("whole"), domain)
     of_object = _dialogues_of_object(F.col("fields"), F.col("dialogs"))
     chosen = F.when(F.col("items").isNotNull(), of_list).when(F.col("fields").isNotNull(), of_object)
-    return _explode(documents.select("source", F.posexplode(chosen).alias("dialog_pos", "d")))
+    return _explode(explode_positions(documents, ["source"], chosen, "dialog_pos", "d"))
 
 
 def read_dialogue_lines(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
