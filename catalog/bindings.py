@@ -38,6 +38,14 @@ def sql_case(key: str, values: list) -> str:
     return f"CASE {key} {arms} END"
 
 
+def sql_fill(template: str, **values: str) -> str:
+    """SQL text of a prompt template with an expression for each slot."""
+    text = "'" + template.replace("'", "''") + "'"
+    for name, expression in values.items():
+        text = text.replace("{" + name + "}", f"' || {expression} || '")
+    return f"({text})"
+
+
 def case(key, values: list):
     chain = None
     for i, v in enumerate(values):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from convolens.functions import fixed, rules
+from convolens.functions import fixed, prompts, rules
 from convolens.operators import evidence, judging
 from convolens.operators.generation import dedupe, keep_length_band
 
@@ -152,7 +152,16 @@ def scoring_client():
     return client
 
 
-@query("m6_judge_client")
+_PROMPT = B.sql_fill(prompts.JUDGE_PROMPT, query="query", event="'refund'", context="substring(full_query, 1, 500)")
+_GRADED = f"""SELECT conv_id, turn, pos, n % 5 > 0 AND n % 7 > 0 AS ok, 1 + n % 4 AS depth, 1 + n % 3 AS clear
+  FROM (SELECT conv_id, turn, pos, length({_PROMPT}) AS n FROM cand)"""
+
+
+@query("m6_judge_client", B.sql(f"""
+SELECT conv_id, turn, pos, CASE WHEN ok THEN depth ELSE 1 END AS causal_depth, CASE WHEN ok THEN clear ELSE 1 END AS clarity,
+  CASE WHEN ok THEN 5 ELSE 1 END AS business_value, CASE WHEN ok THEN round((depth + clear + 5) / 3.0::DOUBLE, 2) ELSE 1 END AS aggregate_score,
+  CASE WHEN ok AND (depth + clear + 5) / 3.0::DOUBLE > 3.5 THEN 'ACCEPT' ELSE 'REJECT' END AS decision,
+  CASE WHEN ok THEN 'by length' ELSE '{fixed.FAILED_REASON}' END AS reasoning FROM ({_GRADED})""", "cand"))
 def m6_client(spark, d):
     rows = B.cand(spark, d).select(
         "conv_id", "turn", "pos", "query", F.lit("refund").alias("event_type"), F.col("full_query").alias("context"))

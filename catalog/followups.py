@@ -13,20 +13,20 @@ from .normalise import _words_sql
 from .registry import query
 
 
-def _side(text, stop, phase, source):
+def _side(text, stop, phase, source, by):
     keep = f"list_filter({_words_sql(text, 4)}, lambda w: w NOT IN ({B.quoted(stop)}))[1:5]"
-    return f"""SELECT unnest(w) AS topic, {1 - phase} AS q, {phase} AS r, {phase} AS phase, qa_pos,
-        generate_subscripts(w, 1) - 1 AS spot FROM (SELECT qa_pos, {keep} AS w FROM {source})"""
+    return f"""SELECT {by} unnest(w) AS topic, {1 - phase} AS q, {phase} AS r, {phase} AS phase, qa_pos,
+        generate_subscripts(w, 1) - 1 AS spot FROM (SELECT {by} qa_pos, {keep} AS w FROM {source})"""
 
 
-def _terms(source):
-    sides = [_side("query", fixed.QUERY_TOPIC_STOP_WORDS, 0, source), _side("response", fixed.RESPONSE_TOPIC_STOP_WORDS, 1, source)]
+def _terms(source, by=""):
+    sides = [_side("query", fixed.QUERY_TOPIC_STOP_WORDS, 0, source, by), _side("response", fixed.RESPONSE_TOPIC_STOP_WORDS, 1, source, by)]
     return " UNION ALL ".join(sides)
 
 
-def _counts(terms):
-    return f"""SELECT topic, sum(q)::BIGINT AS query_count, sum(r)::BIGINT AS response_count, min(row(phase, qa_pos, spot)) AS seen,
-      sum(q)::DOUBLE * 0.6::DOUBLE + sum(r)::DOUBLE * 0.4::DOUBLE AS score FROM ({terms}) GROUP BY topic"""
+def _counts(terms, by=""):
+    return f"""SELECT {by} topic, sum(q)::BIGINT AS query_count, sum(r)::BIGINT AS response_count, min(row(phase, qa_pos, spot)) AS seen,
+      sum(q)::DOUBLE * 0.6::DOUBLE + sum(r)::DOUBLE * 0.4::DOUBLE AS score FROM ({terms}) GROUP BY {by} topic"""
 
 
 @query("a6_topic_scores", B.sql(f"""
@@ -95,11 +95,24 @@ def d2(spark, d):
     return _linked(spark, d).select("cluster_id", "qa_pos", F.md5("query").alias("query"), F.md5("response").alias("response"))
 
 
+B.VIEWS["cluster_topics"] = f"""
+  SELECT cluster_id, topic, score, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, seen) AS rank FROM (
+    {_counts(_terms('linked', 'cluster_id,') + ' UNION ALL SELECT cluster_id, action_label, 2, 2, 2, 0, 0 FROM clusters', 'cluster_id,')})
+  QUALIFY rank <= 8"""
+
+
+@query("a6_topics_by_cluster", B.sql("SELECT cluster_id, rank, topic, round(score, 6) AS score FROM cluster_topics", *_LINK, "cluster_topics"))
+def a6_grouped(spark, d):
+    clusters = B.clusters(spark, d).select("cluster_id", "action_label")
+    ranked = topics.topics(_linked(spark, d), by=["cluster_id"], actions=clusters)
+    return ranked.select("cluster_id", "rank", "topic", F.round("score", 6).alias("score"))
+
+
 _CONTEXT = "(SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY qa_pos) AS rank FROM linked)"
 
 
-def _block(n, q, r, empty):
-    return f"""SELECT c.cluster_id, md5(coalesce(s.t, '{empty}')) AS context FROM clusters c LEFT JOIN (
+def _block_text(n, q, r, empty):
+    return f"""SELECT c.cluster_id, coalesce(s.t, '{empty}') AS context FROM clusters c LEFT JOIN (
       SELECT cluster_id, string_agg('Q' || rank || ': ' || {q} || chr(10) || 'A' || rank || ': ' || {r} || chr(10) || chr(10), '' ORDER BY rank) AS t
       FROM {_CONTEXT} WHERE rank <= {n} GROUP BY 1) s USING (cluster_id)"""
 
@@ -108,6 +121,12 @@ def _cut(n):
     return f"CASE WHEN length(response) > {n} THEN substring(response, 1, {n}) || '...' ELSE response END"
 
 
+_FOR_CONCEPTS = _block_text(3, "substring(query, 1, 60)", "substring(response, 1, 120) || '...'", "No QA data available")
+_FOR_FUSION = _block_text(3, "query", _cut(150), "No QA data available")
+_FOR_FOLLOWUPS = _block_text(2, "query", _cut(100), "No additional context")
+_HASHED = "SELECT cluster_id, md5(context) AS context FROM ({})"
+
+
 def _contexts(spark, d):
     context = linking.qa_context(_linked(spark, d))
     return B.clusters(spark, d).select("cluster_id", "action_label").join(context, "cluster_id", "left")
@@ -119,17 +138,17 @@ def w8(spark, d):
     return at.select("cluster_id", (F.col("p") + 1).alias("rank"), F.md5("qa.query").alias("query"))
 
 
-@query("x11_concept_context", B.sql(_block(3, "substring(query, 1, 60)", "substring(response, 1, 120) || '...'", "No QA data available"), *_LINK))
+@query("x11_concept_context", B.sql(_HASHED.format(_FOR_CONCEPTS), *_LINK))
 def x11(spark, d):
     return _contexts(spark, d).select("cluster_id", F.md5(prompts.qa_for_concepts(F.col("qas"))).alias("context"))
 
 
-@query("x12_fusion_context", B.sql(_block(3, "query", _cut(150), "No QA data available"), *_LINK))
+@query("x12_fusion_context", B.sql(_HASHED.format(_FOR_FUSION), *_LINK))
 def x12(spark, d):
     return _contexts(spark, d).select("cluster_id", F.md5(prompts.qa_for_fusion(F.col("qas"))).alias("context"))
 
 
-@query("x13_followup_context", B.sql(_block(2, "query", _cut(100), "No additional context"), *_LINK))
+@query("x13_followup_context", B.sql(_HASHED.format(_FOR_FOLLOWUPS), *_LINK))
 def x13(spark, d):
     return _contexts(spark, d).select("cluster_id", F.md5(prompts.qa_for_followups(F.col("qas"))).alias("context"))
 
@@ -293,24 +312,34 @@ def j6(spark, d):
     return completion.cost_by_model(B.usage(spark, d)).withColumn("cost", F.round("cost", 6))
 
 
-def _prompted(name, make):
-    @query(name)
+def _prompted(name, template, context, make, **slots):
+    first = lambda n: f"(SELECT coalesce(string_agg(topic, ', ' ORDER BY rank), '') FROM cluster_topics t WHERE t.cluster_id = c.cluster_id AND rank <= {n})"
+    filled = B.sql_fill(template, action="c.action_label", seed="c.action_label", fused="c.action_label", qas="x.context",
+                        **{slot: value if isinstance(value, str) else first(value) for slot, value in slots.items()})
+
+    @query(name, B.sql(f"SELECT c.cluster_id, md5({filled}) AS prompt FROM clusters c JOIN ({context}) x USING (cluster_id)", *_LINK, "cluster_topics"))
     def run(spark, d):
-        linked = _linked(spark, d)
-        rows = _contexts(spark, d).join(jobs.cluster_topics(B.clusters(spark, d), linked), "cluster_id", "left")
-        return rows.select("cluster_id", make(rows).alias("prompt"))
+        rows = _contexts(spark, d).join(jobs.cluster_topics(B.clusters(spark, d), _linked(spark, d)), "cluster_id", "left")
+        return rows.select("cluster_id", F.md5(make(rows)).alias("prompt"))
+
+
+_prompted("x17_prompt_seed", prompts.SEED_PROMPT, _FOR_CONCEPTS, lambda r: prompts.expand_seed(r["action_label"]))
+_prompted("x18_prompt_concepts", prompts.CONCEPT_PROMPT, _FOR_CONCEPTS,
+          lambda r: prompts.select_concepts(r["action_label"], r["topics"], r["qas"]), topics=5)
+_prompted("x19_prompt_fusion", prompts.FUSION_PROMPT, _FOR_FUSION,
+          lambda r: prompts.fuse(r["action_label"], r["topics"], F.create_map(
+              F.lit("causal"), r["topics"], F.lit("impact"), F.array(r["action_label"]), F.lit("pattern"), F.array().cast("array<string>")), r["qas"]),
+          topics=4, causal=2, impact="c.action_label", pattern="''")
+_prompted("x20_prompt_followups", prompts.FOLLOWUP_PROMPT, _FOR_FOLLOWUPS,
+          lambda r: prompts.ask_followups(r["action_label"], r["topics"], r["action_label"], r["qas"]), topics=5)
 
 
-_prompted("x17_prompt_seed", lambda r: prompts.expand_seed(r["action_label"]))
-_prompted("x18_prompt_concepts", lambda r: prompts.select_concepts(r["action_label"], r["topics"], r["qas"]))
-_prompted("x19_prompt_fusion", lambda r: prompts.fuse(
-    r["action_label"], r["topics"], F.create_map(F.lit("causal"), r["topics"]), r["qas"]))
-_prompted("x20_prompt_followups", lambda r: prompts.ask_followups(r["action_label"], r["topics"], r["action_label"], r["qas"]))
+_JUDGE = B.sql_fill(prompts.JUDGE_PROMPT, query="query", event="'general'", context="substring(transcript, 1, 500)")
 
 
-@query("x21_prompt_judge")
+@query("x21_prompt_judge", B.sql(f"SELECT doc_id, md5({_JUDGE}) AS prompt FROM pairs", "raw", "split_docs", "rendered", "pairs"))
 def x21(spark, d):
-    return B.pairs(spark, d).select("doc_id", prompts.judge(F.col("query"), F.lit("general"), F.col("transcript")).alias("prompt"))
+    return B.pairs(spark, d).select("doc_id", F.md5(prompts.judge(F.col("query"), F.lit("general"), F.col("transcript"))).alias("prompt"))
 
 
 def section_client():

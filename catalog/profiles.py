@@ -223,7 +223,7 @@ def x10(spark, d):
     return B.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(lines_or(answer, F.col("text"))).alias("at", "line"))
 
 
-@query("m1_embed")
+@query("m1_embed", "SELECT doc_id, 256 AS dimensions, 1.0::DOUBLE AS unit FROM documents")
 def m1(spark, d):
     rows = embed(B.table(spark, d, "documents").select("doc_id", "text"))
     return rows.select("doc_id", F.size("embedding").alias("dimensions"),

@@ -11,68 +11,12 @@ from . import fixed
 from .text import excerpt, shorten
 
 
-def _qa_block(qas: Column, n: int, query: callable, response: callable, empty: str) -> Column:
-    parts = F.transform(
-        F.slice(qas, 1, n),
-        lambda qa, i: F.concat(
-            F.lit("Q"), (i + 1).cast("string"), F.lit(": "), query(F.coalesce(qa["query"], F.lit(""))),
-            F.lit("\nA"), (i + 1).cast("string"), F.lit(": "),
-            response(F.coalesce(qa["response"], F.lit(""))), F.lit("\n\n"),
-        ),
-    )
-    text = F.array_join(parts, "")
-    return F.when(F.coalesce(text, F.lit("")) == "", empty).otherwise(text)
-
-
-def qa_for_concepts(qas: Column) -> Column:
-    """Three pairs, query cut at 60 and response at 120 characters, always with an ellipsis."""
-    return _qa_block(
-        qas, 3,
-        lambda q: F.substring(q, 1, 60),
-        lambda r: F.concat(F.substring(r, 1, 120), F.lit("...")),
-        "No QA data available",
-    )
-
-
-def qa_for_fusion(qas: Column) -> Column:
-    """Three pairs, responses over 150 characters cut."""
-    return _qa_block(qas, 3, lambda q: q, lambda r: shorten(r, 150), "No QA data available")
-
-
-def qa_for_followups(qas: Column) -> Column:
-    """Two pairs, responses over 100 characters cut."""
-    return _qa_block(qas, 2, lambda q: q, lambda r: shorten(r, 100), "No additional context")
-
-
-def fill(template: str, **values: Column) -> Column:
-    """Replace ``{name}`` slots; the template is split so that values are never scanned."""
-    parts, rest = [], template
-    while rest:
-        head, brace, tail = rest.partition("{")
-        if head:
-            parts.append(F.lit(head))
-        if not brace:
-            break
-        name, _, rest = tail.partition("}")
-        parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
-    return F.concat(*parts)
-
-
-def _first(items: Column, n: int) -> Column:
-    return F.coalesce(F.array_join(F.slice(items, 1, n), ", "), F.lit(""))
-
-
-def expand_seed(seed: Column, n: int = fixed.QUERIES_PER_SEED) -> Column:
-    return fill(
-        f"Write {n} different, specific causal questions that build on this one: '{{seed}}'. "
-        "Aim at root causes and effects on the business. One question per line, nothing else.",
-        seed=seed,
-    )
+SEED_PROMPT = (
+    f"Write {fixed.QUERIES_PER_SEED} different, specific causal questions that build on this one: '{{seed}}'. "
+    "Aim at root causes and effects on the business. One question per line, nothing else."
+)
 
-
-def select_concepts(action: Column, topics: Column, qas: Column) -> Column:
-    return fill(
-        """You know billing, subscriptions, refunds, payments and contact centers well.
+CONCEPT_PROMPT = """You know billing, subscriptions, refunds, payments and contact centers well.
 Name concepts behind the cluster below that its questions and answers do not state themselves.
 
 Cluster: {action}
@@ -95,15 +39,9 @@ IMPACTS:
 
 PATTERNS:
 - ...
-""",
-        action=action, topics=_first(topics, 5), qas=qa_for_concepts(qas),
-    )
-
+"""
 
-def fuse(action: Column, topics: Column, concepts: Column, qas: Column) -> Column:
-    """``concepts`` is the MAP<category, ARRAY<STRING>> of ``sections.concept_map``."""
-    return fill(
-        """Explain how the issue below comes about, from the concepts and the evidence given.
+FUSION_PROMPT = """Explain how the issue below comes about, from the concepts and the evidence given.
 
 Cluster: {action}
 Topics: {topics}
@@ -128,19 +66,9 @@ INSIGHTS:
 
 INVESTIGATION:
 - ...
-""",
-        action=action,
-        topics=_first(topics, 4),
-        causal=_first(F.element_at(concepts, F.lit("causal")), 2),
-        impact=_first(F.element_at(concepts, F.lit("impact")), 2),
-        pattern=_first(F.element_at(concepts, F.lit("pattern")), 2),
-        qas=qa_for_fusion(qas),
-    )
-
+"""
 
-def ask_followups(action: Column, topics: Column, fused: Column, qas: Column) -> Column:
-    return fill(
-        """Write three follow-up questions for analysts of the cluster below. Each must need domain
+FOLLOWUP_PROMPT = """Write three follow-up questions for analysts of the cluster below. Each must need domain
 knowledge, rest on the evidence or the concepts, and lead to an investigation.
 
 Cluster: {action}
@@ -165,17 +93,11 @@ QUESTION_2:
 
 QUESTION_3:
 ...
-""",
-        action=action, topics=_first(topics, 5), fused=fused, qas=qa_for_followups(qas),
-    )
-
+"""
 
 JUDGE_ROLE = "You grade causal questions about customer-service transcripts."
 
-
-def judge(query: Column, event: Column, context: Column) -> Column:
-    return fill(
-        """Grade the question on three scales from 1 to 5.
+JUDGE_PROMPT = """Grade the question on three scales from 1 to 5.
 
 Question: {query}
 Event: {event}
@@ -187,6 +109,79 @@ business_value: 5 can be acted on, 3 helps general analysis, 1 is of no use.
 
 Grade each scale on its own, give a short reason, and mark down what the transcript cannot answer.
 Answer as a JSON object with the fields causal_depth, clarity, business_value, aggregate_score,
-decision (ACCEPT or REJECT) and reasoning.""",
-        query=query, event=event, context=excerpt(context),
+decision (ACCEPT or REJECT) and reasoning."""
+
+
+def _qa_block(qas: Column, n: int, query: callable, response: callable, empty: str) -> Column:
+    parts = F.transform(
+        F.slice(qas, 1, n),
+        lambda qa, i: F.concat(
+            F.lit("Q"), (i + 1).cast("string"), F.lit(": "), query(F.coalesce(qa["query"], F.lit(""))),
+            F.lit("\nA"), (i + 1).cast("string"), F.lit(": "),
+            response(F.coalesce(qa["response"], F.lit(""))), F.lit("\n\n"),
+        ),
+    )
+    text = F.array_join(parts, "")
+    return F.when(F.coalesce(text, F.lit("")) == "", empty).otherwise(text)
+
+
+def qa_for_concepts(qas: Column) -> Column:
+    """Three pairs, query cut at 60 and response at 120 characters, always with an ellipsis."""
+    return _qa_block(
+        qas, 3,
+        lambda q: F.substring(q, 1, 60),
+        lambda r: F.concat(F.substring(r, 1, 120), F.lit("...")),
+        "No QA data available",
+    )
+
+
+def qa_for_fusion(qas: Column) -> Column:
+    """Three pairs, responses over 150 characters cut."""
+    return _qa_block(qas, 3, lambda q: q, lambda r: shorten(r, 150), "No QA data available")
+
+
+def qa_for_followups(qas: Column) -> Column:
+    """Two pairs, responses over 100 characters cut."""
+    return _qa_block(qas, 2, lambda q: q, lambda r: shorten(r, 100), "No additional context")
+
+
+def fill(template: str, **values: Column) -> Column:
+    """Replace ``{name}`` slots; the template is split so that values are never scanned."""
+    parts, rest = [], template
+    while rest:
+        head, brace, tail = rest.partition("{")
+        if head:
+            parts.append(F.lit(head))
+        if not brace:
+            break
+        name, _, rest = tail.partition("}")
+        parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts)
+
+
+def _first(items: Column, n: int) -> Column:
+    return F.coalesce(F.array_join(F.slice(items, 1, n), ", "), F.lit(""))
+
+
+def expand_seed(seed: Column) -> Column:
+    return fill(SEED_PROMPT, seed=seed)
+
+
+def select_concepts(action: Column, topics: Column, qas: Column) -> Column:
+    return fill(CONCEPT_PROMPT, action=action, topics=_first(topics, 5), qas=qa_for_concepts(qas))
+
+
+def fuse(action: Column, topics: Column, concepts: Column, qas: Column) -> Column:
+    """``concepts`` is the MAP<category, ARRAY<STRING>> of ``sections.concept_map``."""
+    two = {name: _first(F.element_at(concepts, F.lit(name)), 2) for name in fixed.CATEGORIES}
+    return fill(FUSION_PROMPT, action=action, topics=_first(topics, 4), qas=qa_for_fusion(qas), **two)
+
+
+def ask_followups(action: Column, topics: Column, fused: Column, qas: Column) -> Column:
+    return fill(
+        FOLLOWUP_PROMPT, action=action, topics=_first(topics, 5), fused=fused, qas=qa_for_followups(qas)
     )
+
+
+def judge(query: Column, event: Column, context: Column) -> Column:
+    return fill(JUDGE_PROMPT, query=query, event=event, context=excerpt(context))
