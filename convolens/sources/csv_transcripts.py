@@ -29,8 +29,8 @@ class LoadedTranscripts:
         return loaded.select("total_loaded", errors.scalar().alias("parse_errors"))
 
 
-def _reader(spark: SparkSession):
-    return spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
+def _reader(spark: SparkSession, multi_line: bool = True):
+    return spark.read.option("multiLine", multi_line).option("quote", '"').option("escape", '"')
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -136,16 +136,17 @@ def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
     )
 
 
-def load_transcripts(spark: SparkSession, path: str) -> LoadedTranscripts:
+def load_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> LoadedTranscripts:
     """Read transcripts; empty conversations are skipped, unreadable rows are kept apart.
 
     Cells missing at the end of a row are null; a row with more cells than the header has is
-    malformed, which one column beyond the header shows.
+    malformed, which one column beyond the header shows. Cells that hold line breaks need
+    ``multi_line``, which reads each file in one task; without it large files are split.
     """
     header = _reader(spark).option("header", False).csv(path).limit(1).collect()
     names = [str(n) for n in header[0]] if header else []
     fields = [f"c{i} string" for i in range(len(names))]
-    rows = _reader(spark).option("header", True).schema(", ".join([*fields, f"{_OVERFLOW} string"])).csv(path)
+    rows = _reader(spark, multi_line).option("header", True).schema(", ".join([*fields, f"{_OVERFLOW} string"])).csv(path)
     rows = _numbered(rows)
     columns = {
         name: F.when(~F.col(f"c{i}").isin(fixed.CSV_NULLS), F.col(f"c{i}"))

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from convolens.sources import sinks
 from convolens.sources.csv_transcripts import load_transcripts
@@ -58,6 +59,19 @@ def test_csv_alternative_columns_and_several_files(spark, tmp_path):
     assert all(r.text == f"Caller: line {r.metadata.row_index}" and r.domain == f"B{r.metadata.row_index}" for r in rows)
 
 
+def test_csv_row_index_over_file_blocks(spark, tmp_path):
+    write(tmp_path / "t.csv", "text\n" + "".join(f"Agent: row {i}\n" for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        loaded = load_transcripts(spark, str(tmp_path / "t.csv"), multi_line=False)
+        rows = loaded.episodes.select("id", "text", "metadata.row_index").collect()
+        assert loaded.episodes.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 400
+    assert all(r.text == f"Agent: row {r.row_index}" and r.id == f"T_{r.row_index:04d}" for r in rows)
+
+
 def test_csv_missing_file(spark, tmp_path):
     with pytest.raises(AnalysisException):
         load_transcripts(spark, str(tmp_path / "none.csv"))
