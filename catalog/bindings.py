@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from convolens.functions.text import ascii_words
 from convolens.functions.turns import plain_text_episode, user_or_system
 from convolens.operators.explode import explode_values
-from convolens.scale import spread
+from convolens.operators.profile import centroids
+from convolens.scale import cut, spread
 
 VIEWS: dict[str, str] = {}
 
@@ -236,13 +237,12 @@ VIEWS["ontology"] = "SELECT cluster AS pos, 'label_' || cluster AS label, centro
 
 
 def ontology(spark, folder):
-    from convolens.operators.profile import centroids
-
-    return centroids(utter(spark, folder)).select(
+    labels = centroids(utter(spark, folder)).select(
         F.col("cluster").alias("pos"),
         F.concat(F.lit("label_"), F.col("cluster").cast("string")).alias("label"),
         F.col("centroid").alias("vector"),
     )
+    return cut(labels)
 
 
 VIEWS["lexicon"] = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {p}::DOUBLE)" for w, p in LEXICON) + ") t(word, polarity)"
