@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -30,6 +32,41 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet into the shared folder and read them back.
+
+    Like ``cut``, but later readers prune columns and push filters down. ``clear`` deletes the
+    tables; it also runs when Python ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _KEPT.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that ``keep`` wrote; frames that read them can no longer be evaluated."""
+    for owner, path in list(_KEPT):
+        if owner is spark:
+            _KEPT.remove((owner, path))
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@atexit.register
+def _clear_all() -> None:
+    for owner in {id(o): o for o, _ in _KEPT}.values():
+        try:
+            clear(owner)
+        except Exception:  # the session ended before; its folder is the cluster's to clean
+            continue
+
+
 def footprint(df: DataFrame) -> int:
     """Size in bytes of the rows written as JSON, an upper estimate of what a broadcast ships."""
     size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
