@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact
+from convolens.llm import exact, toxicity
 
 QUERIES: dict = {}
 
@@ -26,3 +26,9 @@ def table(spark, folder: str, name: str):
     FROM d WINDOW g AS (PARTITION BY h)""")
 def op1(spark, folder):
     return exact.duplicate_groups(table(spark, folder, "documents"))
+
+
+@query("op10_toxicity")
+def op10(spark, folder):
+    documents = table(spark, folder, "documents")
+    return toxicity.score_documents(documents, toxicity.learn(documents, table(spark, folder, "labels")))
