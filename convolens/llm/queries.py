@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact, toxicity
+from convolens.llm import exact, simhash, toxicity
 
 QUERIES: dict = {}
 
@@ -32,3 +32,8 @@ def op1(spark, folder):
 def op10(spark, folder):
     documents = table(spark, folder, "documents")
     return toxicity.score_documents(documents, toxicity.learn(documents, table(spark, folder, "labels")))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark, folder):
+    return simhash.near_groups(table(spark, folder, "documents"))
