@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact, simhash, toxicity
+from convolens.llm import exact, mixing, simhash, toxicity
 
 QUERIES: dict = {}
 
@@ -37,3 +37,8 @@ def op10(spark, folder):
 @query("op3_simhash_near_dedup")
 def op3(spark, folder):
     return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@query("op2_mixing")
+def op2(spark, folder):
+    return mixing.mixture(table(spark, folder, "documents"))
