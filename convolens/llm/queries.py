@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact, mixing, simhash, toxicity
+from convolens.llm import exact, mixing, packing, simhash, toxicity
 
 QUERIES: dict = {}
 
@@ -42,3 +42,8 @@ def op3(spark, folder):
 @query("op2_mixing")
 def op2(spark, folder):
     return mixing.mixture(table(spark, folder, "documents"))
+
+
+@query("op8_packing")
+def op8(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
