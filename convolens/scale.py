@@ -35,6 +35,14 @@ def cut(df: DataFrame) -> DataFrame:
 _KEPT: list[tuple[SparkSession, str]] = []
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; ``clear`` deletes what is written there."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{kind}-{uuid.uuid4().hex}"
+    _KEPT.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet into the shared folder and read them back.
 
@@ -42,10 +50,8 @@ def keep(df: DataFrame) -> DataFrame:
     tables; it also runs when Python ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    path = shared_path(spark, "kept")
     df.write.parquet(path)
-    _KEPT.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
