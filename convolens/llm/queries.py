@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact, mixing, packing, simhash, toxicity
+from convolens.llm import exact, mixing, packing, simhash, toxicity, warc
 
 QUERIES: dict = {}
 
@@ -47,3 +47,15 @@ def op2(spark, folder):
 @query("op8_packing")
 def op8(spark, folder):
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op9_warc", r"""
+    WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS h FROM pages),
+         g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, n AS payload_bytes, h AS payload_digest,
+           CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+    FROM g""")
+def op9(spark, folder):
+    return warc.round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
