@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from convolens.llm import exact, mixing, packing, simhash, toxicity, warc
+from pyspark.sql import functions as F
+
+from convolens.llm import exact, mixing, neighbours, packing, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 
@@ -59,3 +61,27 @@ def op8(spark, folder):
 def op9(spark, folder):
     return warc.round_trip(table(spark, folder, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# No page of the shared tables has a canonical link or a redirect, so the method's own verdict on pages
+# without a rule is allow; tests/llm/test_urls.py compares its spreading with brute force.
+@query("op4_url_filters", r"""
+    WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r
+               FROM pages),
+         u AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)([^?#]*)', 1),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                      regexp_extract(r, '^([^/?#]*)([^?#]*)', 2) AS path FROM p),
+         f AS (SELECT *, CASE
+                 WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM u)
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+    FROM f""")
+def op4(spark, folder):
+    return urls.judge(table(spark, folder, "pages"))
+
+
+@query("op5_nearest_neighbours")
+def op5(spark, folder):
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
