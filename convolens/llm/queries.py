@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolens.llm import exact, mixing, neighbours, packing, simhash, toxicity, urls, warc
+from convolens.llm import exact, licenses, mixing, neighbours, packing, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 
@@ -85,3 +85,8 @@ def op4(spark, folder):
 @query("op5_nearest_neighbours")
 def op5(spark, folder):
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query("op7_license_scan")
+def op7(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
