@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolens.llm import exact, licenses, mixing, neighbours, packing, simhash, toxicity, urls, warc
+from convolens.llm import exact, licenses, mixing, neighbours, packing, pitman_yor, simhash, toxicity, urls, warc
 
 QUERIES: dict = {}
 
@@ -90,3 +90,8 @@ def op5(spark, folder):
 @query("op7_license_scan")
 def op7(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op6_language_model")
+def op6(spark, folder):
+    return pitman_yor.score_texts(table(spark, folder, "documents"))
