@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -136,36 +137,78 @@ def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
     )
 
 
-def load_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> LoadedTranscripts:
-    """Read transcripts; empty conversations are skipped, unreadable rows are kept apart.
+def transcripts_of_rows(rows: DataFrame, columns: dict[str, Column], broken: Column | None = None,
+                        prefix: Column | None = None) -> LoadedTranscripts:
+    """Episodes of raw rows, which have ``row_index`` and, for several files, ``source``.
 
-    Cells missing at the end of a row are null; a row with more cells than the header has is
-    malformed, which one column beyond the header shows. Cells that hold line breaks need
-    ``multi_line``, which reads each file in one task; without it large files are split.
+    ``columns`` maps the names of the header to the cells; ``broken`` marks rows that have too many.
+    A row without an id is named by its position, after ``prefix`` if that is given.
     """
-    header = _reader(spark).option("header", False).csv(path).limit(1).collect()
-    names = [str(n) for n in header[0]] if header else []
-    fields = [f"c{i} string" for i in range(len(names))]
-    rows = _reader(spark, multi_line).option("header", True).schema(", ".join([*fields, f"{_OVERFLOW} string"])).csv(path)
-    rows = _numbered(rows)
-    columns = {
-        name: F.when(~F.col(f"c{i}").isin(fixed.CSV_NULLS), F.col(f"c{i}"))
-        for i, name in reversed(list(enumerate(names)))
-    }
+    kept = [c for c in ("source",) if c in rows.columns]
+    own = pick_id(columns, F.col("row_index"))
+    if prefix is not None:
+        own = F.when(pick(columns, fixed.ID_COLUMNS).isNull(), F.concat_ws("#", prefix, own)).otherwise(own)
     picked = rows.select(
-        "row_index", F.col(_OVERFLOW).isNotNull().alias("broken"),
-        pick_id(columns, F.col("row_index")).alias("id"),
-        pick(columns, fixed.CONVERSATION_COLUMNS).alias("conversation"),
-        pick_domain(columns).alias("domain"),
+        *kept, "row_index", (F.lit(False) if broken is None else broken).alias("broken"), own.alias("id"),
+        pick(columns, fixed.CONVERSATION_COLUMNS).alias("conversation"), pick_domain(columns).alias("domain"),
     )
-    broken = F.col("broken")
-    parsed = with_episode(picked.where(~broken & (F.coalesce("conversation", F.lit("")) != "")))
+    parsed = with_episode(picked.where(~F.col("broken") & (F.coalesce("conversation", F.lit("")) != "")))
     episodes = parsed.where("error is null").select(
         "id", "text", "text_with_turns", "domain", "turn_count",
-        F.struct("row_index", "raw_format").alias("metadata"), "turns",
+        F.struct(*kept, "row_index", "raw_format").alias("metadata"), "turns",
     )
     rejected = (
-        picked.where(broken).select("row_index", F.lit("more cells than columns").alias("error"))
-        .unionByName(parsed.where("error is not null").select("row_index", "error"))
+        picked.where("broken").select(*kept, "row_index", F.lit("more cells than columns").alias("error"))
+        .unionByName(parsed.where("error is not null").select(*kept, "row_index", "error"))
     )
     return LoadedTranscripts(episodes, rejected)
+
+
+def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header. Header cells hold no line breaks.
+
+    Numbers rise along a file, so the first line is that of the smallest number; only one line a
+    file reaches the driver, which lists the files anyway.
+    """
+    lines = spark.read.text(path).where("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"))
+    firsts = lines.groupBy("file").agg(F.min_by("value", "at").alias("value")).orderBy("file").collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for file, line in firsts:
+        cells = next(csv.reader([line.removeprefix("\ufeff").rstrip("\r")]), [])
+        out.setdefault(tuple(cells), []).append(file)
+    return out
+
+
+def _load(spark: SparkSession, paths: str | list[str], names: tuple[str, ...], multi_line: bool,
+          several: bool) -> LoadedTranscripts:
+    fields = [f"c{i} string" for i in range(len(names))]
+    schema = ", ".join([*fields, f"{_OVERFLOW} string"])
+    rows = _numbered(_reader(spark, multi_line).option("header", True).schema(schema).csv(paths))
+    columns = {
+        name: F.when(~F.col(f"c{i}").isin(fixed.CSV_NULLS), F.col(f"c{i}"))
+        for i, name in reversed(list(enumerate(names)))
+    }
+    if several:
+        rows = rows.withColumnRenamed("_file", "source")
+    return transcripts_of_rows(rows, columns, F.col(_OVERFLOW).isNotNull(), F.col("source") if several else None)
+
+
+def load_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> LoadedTranscripts:
+    """Read transcripts; empty conversations are skipped, unreadable rows are kept apart.
+
+    Each file is read by its own header; files of equal headers are scanned together. With several
+    files, rows name their file in ``metadata`` and in an id that is their position. Cells missing at
+    the end of a row are null; a row with more cells than the header has is malformed, which one
+    column beyond the header shows. Cells that hold line breaks need ``multi_line``, which reads each
+    file in one task; without it large files are split.
+    """
+    headers = _headers(spark, path)
+    several = sum(map(len, headers.values())) > 1
+    if len(headers) <= 1:
+        return _load(spark, path, next(iter(headers), ()), multi_line, several)
+    parts = [_load(spark, files, names, multi_line, several) for names, files in headers.items()]
+    episodes, rejected = parts[0].episodes, parts[0].rejected
+    for part in parts[1:]:
+        episodes, rejected = episodes.unionByName(part.episodes), rejected.unionByName(part.rejected)
+    return LoadedTranscripts(episodes, rejected)

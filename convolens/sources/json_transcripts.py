@@ -1,7 +1,15 @@
-"""Transcripts in JSON files of varying shape, as one row per utterance."""
+"""Transcripts in JSON files of varying shape, as one row per utterance.
+
+Lists are read element by element, so that a document may be longer than one value of the variant type
+can hold. Of repeated keys the last counts, for which the readers set
+``spark.sql.variant.allowDuplicateKeys``. A document or line that cannot be read is rejected with its
+reason; it never vanishes.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
@@ -9,9 +17,17 @@ from ..functions.text import strip
 from ..functions.turns import split_plain_text, user_or_system
 from ..operators.explode import explode_positions
 
+
+@dataclass(frozen=True)
+class LoadedUtterances:
+    """``utterances`` of the documents, ``rejected`` documents or lines: ``source, dialog_pos, error``."""
+
+    utterances: DataFrame
+    rejected: DataFrame
+
+
 _LIST = "array<variant>"
 _OBJECT = "map<string,variant>"
-_DIALOGUE = "struct<id:string,turns:variant>"
 
 
 def _get(value: Column, key: str) -> Column:
@@ -56,10 +72,17 @@ def turn_speaker(turn: Column) -> Column:
 
 def _dialogue(entry: Column, position: Column) -> Column:
     given = _text(_get(entry, "transcript_id"))
-    return F.struct(
-        F.coalesce(given, position.cast("string")).alias("id"),
-        _first_truthy(entry, fixed.DIALOGUE_TURN_KEYS).alias("turns"),
-    )
+    return _one(F.coalesce(given, position.cast("string")), _first_truthy(entry, fixed.DIALOGUE_TURN_KEYS))
+
+
+def _one(conv_id: Column, turns: Column, items: Column | None = None) -> Column:
+    """A dialogue: its turns as one value, or as a list of their own."""
+    listed = F.lit(None).cast(_LIST) if items is None else items
+    return F.struct(conv_id.alias("id"), turns.alias("turns"), listed.alias("items"))
+
+
+def _none() -> Column:
+    return F.lit(None).cast("variant")
 
 
 def _in_domain(entry: Column, domain: str | None) -> Column:
@@ -73,7 +96,7 @@ def _is_object(value: Column) -> Column:
     return _kind(value).startswith("OBJECT")
 
 
-def _dialogues_of_list(items: Column, whole: Column, domain: str | None) -> Column:
+def _dialogues_of_list(items: Column, domain: str | None) -> Column:
     """A list of dialogues, or a list of turns; the first item tells which."""
     first = F.get(items, F.lit(0))
     is_dialogues = _is_object(first) & _first_present(first, fixed.DIALOGUE_KEYS).isNotNull()
@@ -81,72 +104,116 @@ def _dialogues_of_list(items: Column, whole: Column, domain: str | None) -> Colu
     numbered = F.transform(items, lambda e, i: F.struct(e.alias("e"), i.alias("i")))
     wanted = F.filter(numbered, lambda n: _is_object(n["e"]) & _in_domain(n["e"], domain))
     return F.when(is_dialogues, F.transform(wanted, lambda n: _dialogue(n["e"], n["i"]))).when(
-        is_turns, F.array(F.struct(F.lit("0").alias("id"), whole.alias("turns")))
+        is_turns, F.array(_one(F.lit("0"), _none(), items))
     )
 
 
-def _dialogues_of_object(fields: Column, dialogs: Column) -> Column:
+def _last(fields: Column, key: str) -> Column:
+    """The value of a key, the last one where it is repeated."""
+    return F.try_element_at(F.filter(F.map_entries(fields), lambda e: e["key"] == key), F.lit(-1))["value"]
+
+
+def _dialogues_of_object(fields: Column, dialogs: Column, transcript: Column) -> Column:
     """``Transcript``, ``dialogs``, or the first list of objects or strings."""
-    transcript = F.try_element_at(fields, F.lit("Transcript"))
 
     def looks_like_turns(value: Column) -> Column:
         first = F.try_variant_get(value, "$[0]", "variant")
         return _kind(value).startswith("ARRAY") & (_is_object(first) | (_kind(first) == "STRING"))
 
+    def has(key: str) -> Column:
+        return F.map_contains_key(fields, F.lit(key))
+
     other = F.get(F.filter(F.map_values(fields), looks_like_turns), F.lit(0))
-    one = F.when(F.map_contains_key(fields, F.lit("Transcript")), transcript).otherwise(other)
-    many = F.transform(
-        F.map_entries(dialogs), lambda d: F.struct(d["key"].alias("id"), d["value"].alias("turns"))
-    )
-    is_many = F.map_contains_key(fields, F.lit("dialogs")) & ~F.map_contains_key(fields, F.lit("Transcript"))
-    return F.when(is_many, many).otherwise(F.array(F.struct(F.lit("0").alias("id"), one.alias("turns"))))
+    many = F.transform(F.map_entries(dialogs), lambda d: _one(d["key"], d["value"]))
+    listed = F.array(_one(F.lit("0"), _last(fields, "Transcript"), transcript))
+    return F.when(transcript.isNotNull() | has("Transcript"), listed).when(has("dialogs"), many).otherwise(
+        F.array(_one(F.lit("0"), other)))
 
 
-def _turn_list(turns: Column) -> Column:
+def _turn_list(dialogue: Column) -> Column:
     """Turns as a list; a dialogue given as one string is split like plain text."""
+    turns = dialogue["turns"]
     plain = F.transform(split_plain_text(_text(turns)), lambda line: F.to_variant_object(F.array(line)))
-    return F.when(
+    return F.coalesce(dialogue["items"], F.when(
         _kind(turns) == "STRING", F.transform(plain, lambda v: F.try_variant_get(v, "$[0]", "variant"))
-    ).otherwise(F.try_variant_get(turns, "$", _LIST))
+    ).otherwise(F.try_variant_get(turns, "$", _LIST)))
 
 
 def _explode(dialogues: DataFrame) -> DataFrame:
     """(source, dialog_pos, dialogue) -> utterances with their speaker, empty ones dropped."""
     keep = ["source", "dialog_pos", F.col("d.id").alias("conv_id")]
-    turns = explode_positions(dialogues, keep, _turn_list(F.col("d.turns")), "pos", "t")
+    turns = explode_positions(dialogues, keep, _turn_list(F.col("d")), "pos", "t")
     return turns.select(
         "source", "dialog_pos", "conv_id", "pos",
         turn_speaker(F.col("t")).alias("speaker"), turn_text(F.col("t")).alias("text"),
     ).where("text is not null")
 
 
-def read_utterances(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
-    """Utterances of JSON documents, one document per file.
-
-    ``source, dialog_pos, pos`` give the reading order. A JSON document cannot be split, so this
-    is for files of moderate size, many at a time; use ``read_dialogue_lines`` for large input.
-    """
-    files = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source"), F.col("value")
-    )
-    documents = files.withColumns({
-        "items": F.when(strip(F.col("value")).startswith("["), F.from_json("value", _LIST)),
-        "fields": F.when(strip(F.col("value")).startswith("{"), F.from_json("value", _OBJECT)),
+def utterances_of_documents(files: DataFrame, domain: str | None = None) -> LoadedUtterances:
+    """Utterances of JSON documents, rows of ``source`` and ``value``."""
+    _keep_last_of_repeated_keys(files.sparkSession)
+    text = strip(F.col("value"))
+    documents = files.select("source", "value").withColumns({
+        "items": F.when(text.startswith("["), F.from_json("value", _LIST)),
+        "fields": F.when(text.startswith("{"), F.from_json("value", _OBJECT)),
         # A variant sorts its keys, so the dialogues are read as a map, which keeps their order.
         "dialogs": F.from_json("value", f"dialogs {_OBJECT}")["dialogs"],
-        "whole": F.try_parse_json("value"),
+        "transcript": F.from_json("value", f"Transcript {_LIST}")["Transcript"],
     })
-    of_list = _dialogues_of_list(F.col("items"), F.col("whole"), domain)
-    of_object = _dialogues_of_object(F.col("fields"), F.col("dialogs"))
-    chosen = F.when(F.col("items").isNotNull(), of_list).when(F.col("fields").isNotNull(), of_object)
-    return _explode(explode_positions(documents, ["source"], chosen, "dialog_pos", "d"))
+    of_list = _dialogues_of_list(F.col("items"), domain)
+    of_object = _dialogues_of_object(F.col("fields"), F.col("dialogs"), F.col("transcript"))
+    is_object = F.col("fields").isNotNull() | F.col("transcript").isNotNull() | F.col("dialogs").isNotNull()
+    chosen = F.when(F.col("items").isNotNull(), of_list).when(is_object, of_object)
+    read = F.col("items").isNotNull() | is_object
+    rejected = documents.where(~F.coalesce(read, F.lit(False)) & (F.coalesce(text, F.lit("")) != "")).select(
+        "source", F.lit(None).cast("bigint").alias("dialog_pos"),
+        F.when(text.startswith("[") | text.startswith("{"), "no valid JSON").otherwise("no list or object").alias("error"))
+    return LoadedUtterances(_explode(explode_positions(documents, ["source"], chosen, "dialog_pos", "d")), rejected)
+
+
+def utterances_of_lines(lines: DataFrame, domain: str | None = None) -> LoadedUtterances:
+    """Utterances of JSON dialogues, rows of ``source, dialog_pos, value``."""
+    _keep_last_of_repeated_keys(lines.sparkSession)
+    parsed = lines.select("source", "dialog_pos", "value", F.try_parse_json("value").alias("entry"))
+    good = F.coalesce(_is_object(F.col("entry")), F.lit(False))
+    rejected = parsed.where(~good & (strip(F.coalesce("value", F.lit(""))) != "")).select(
+        "source", "dialog_pos", F.when(F.col("entry").isNull(), "no valid JSON").otherwise("no object").alias("error"))
+    kept = parsed.where(good & _in_domain(F.col("entry"), domain))
+    dialogues = kept.select("source", "dialog_pos", _dialogue(F.col("entry"), F.col("dialog_pos")).alias("d"))
+    return LoadedUtterances(_explode(dialogues), rejected)
+
+
+def load_utterances(spark: SparkSession, path: str, domain: str | None = None, lines: bool = False) -> LoadedUtterances:
+    """Utterances of JSON documents, one per file, or with ``lines`` of one dialogue per line.
+
+    ``source, dialog_pos, pos`` give the reading order. A JSON document cannot be split, so the first
+    form is for files of moderate size, many at a time; files of lines split at line ends. A dialogue
+    without an id is named by its position, and by its file as well when there are several.
+    """
+    files = spark.read.text(path, wholetext=not lines)
+    source = F.col("_metadata.file_path").alias("source")
+    several = len(files.inputFiles()) > 1
+    if lines:
+        numbered = files.select(source, F.monotonically_increasing_id().alias("dialog_pos"), F.col("value"))
+        loaded = utterances_of_lines(numbered, domain)
+    else:
+        loaded = utterances_of_documents(files.select(source, F.col("value")), domain)
+    if not several:
+        return loaded
+    unnamed = F.col("conv_id") == F.col("dialog_pos").cast("string")
+    named = F.when(unnamed, F.concat_ws("#", "source", "conv_id")).otherwise(F.col("conv_id"))
+    return LoadedUtterances(loaded.utterances.withColumn("conv_id", named), loaded.rejected)
+
+
+def read_utterances(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
+    """The utterances of ``load_utterances``; ask that function for what could not be read."""
+    return load_utterances(spark, path, domain).utterances
 
 
 def read_dialogue_lines(spark: SparkSession, path: str, domain: str | None = None) -> DataFrame:
-    """Utterances of JSON Lines files with one dialogue per line; files split at line ends."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("dialog_pos"),
-        F.try_parse_json("value").alias("entry"),
-    )
-    kept = lines.where(_is_object(F.col("entry")) & _in_domain(F.col("entry"), domain))
-    return _explode(kept.select("source", "dialog_pos", _dialogue(F.col("entry"), F.col("dialog_pos")).alias("d")))
+    """As ``read_utterances``, for JSON Lines."""
+    return load_utterances(spark, path, domain, lines=True).utterances
+
+
+def _keep_last_of_repeated_keys(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", True)

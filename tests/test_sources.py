@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from convolens.sources import sinks
 from convolens.sources.csv_transcripts import load_transcripts
-from convolens.sources.json_transcripts import read_dialogue_lines, read_utterances
+from convolens.sources.json_transcripts import load_utterances, read_dialogue_lines, read_utterances
 from convolens.sources.qa_pairs import read_qa_pairs
 
 
@@ -157,3 +157,45 @@ def test_metrics_sink(spark, tmp_path):
     assert json.loads(part.read_text()) == {
         "clusters_found": 2, "duration_seconds": 0.5,
         "clusters": {"0": {"label": "inform", "size": 3, "summary": "s0"}, "1": {"label": "request", "size": 2, "summary": "s1"}}}
+
+
+def test_json_list_longer_than_one_value_may_be(spark, tmp_path):
+    turns = [{"text": f"turn {i} " + "x" * 7000} for i in range(20_000)]
+    (tmp_path / "long.json").write_text(json.dumps(turns))
+    loaded = load_utterances(spark, str(tmp_path))
+    assert loaded.utterances.count() == 20_000 and loaded.rejected.count() == 0
+    (tmp_path / "long.json").write_text(json.dumps({"Transcript": turns}))
+    assert load_utterances(spark, str(tmp_path)).utterances.count() == 20_000
+
+
+def test_json_rejects_what_it_cannot_read(spark, tmp_path):
+    documents = {
+        "a.json": '[{"text": "first", "text": "last"}]', "b.json": '{"Transcript": [{"text": "x"}], "Transcript": [{"text": "y"}]}',
+        "c.json": "{broken", "d.json": "", "e.json": '"text"',
+    }
+    for name, text in documents.items():
+        (tmp_path / name).write_text(text)
+    loaded = load_utterances(spark, str(tmp_path))
+    assert sorted(r.text for r in loaded.utterances.collect()) == ["last", "y"]
+    assert len({r.conv_id for r in loaded.utterances.collect()}) == 2
+    assert sorted((r.source[-6:], r.error) for r in loaded.rejected.collect()) == [
+        ("c.json", "no valid JSON"), ("e.json", "no list or object")]
+
+
+def test_json_lines_reject_what_they_cannot_read(spark, tmp_path):
+    lines = ['{"transcript_id": "t", "turns": [{"text": "a"}]}', "{bad", "[1]", "", '{"turns": [{"text": "b"}], "turns": [{"text": "c"}]}']
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    loaded = load_utterances(spark, str(tmp_path), lines=True)
+    assert [r.text for r in loaded.utterances.orderBy("dialog_pos").collect()] == ["a", "c"]
+    assert [(r.dialog_pos, r.error) for r in loaded.rejected.orderBy("dialog_pos").collect()] == [(1, "no valid JSON"), (2, "no object")]
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("transcript_id,conversation,domain\nA1,Agent: hi,Hotel\n,Agent: no id,Hotel\nA3,x,y,z\n")
+    (tmp_path / "b.csv").write_text("domain,conversation,transcript_id\nBank,Agent: ho,B1\n,Agent: own,\n")
+    (tmp_path / "c.csv").write_text("domain,conversation,transcript_id\nTaxi,,C1\n")
+    loaded = load_transcripts(spark, str(tmp_path))
+    got = {(r.id if "#" not in r.id else r.id[-12:], r.text, r.domain) for r in loaded.episodes.collect()}
+    assert got == {("A1", "Agent: hi", "Hotel"), ("a.csv#T_0001", "Agent: no id", "Hotel"),
+                   ("B1", "Agent: ho", "Bank"), ("b.csv#T_0001", "Agent: own", "General")}
+    assert [r.source[-5:] for r in loaded.rejected.collect()] == ["a.csv"]
