@@ -11,7 +11,7 @@ from convolens.functions.text import ascii_words
 from convolens.functions.turns import plain_text_episode, user_or_system
 from convolens.operators.explode import explode_values
 from convolens.operators.profile import centroids
-from convolens.scale import cut, spread
+from convolens.scale import cut
 
 VIEWS: dict[str, str] = {}
 
@@ -19,7 +19,6 @@ STOP_WORDS = ["the", "and", "of", "to", "in", "is", "that", "it", "was", "for",
               "with", "his", "they", "at", "be", "this", "from", "or", "by", "de", "la", "le"]
 LEXICON = [("that", 0.8), ("with", 0.4), ("from", -0.6), ("this", 0.1), ("que", 0.5), ("les", -0.9),
            ("ist", 0.7), ("und", -0.2), ("para", 0.3), ("der", -0.4), ("une", 0.25), ("which", -0.75)]
-KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]}
 OPENERS = ["Why", "How", "However", "What causes", "What date", "Who said", "Compare", ""]
 DOMAINS = ["Hotel", "Billing Support", "Retention Desk", "GDPR Requests", "Complaint Handling", "Telecom", "", None]
 
@@ -27,7 +26,7 @@ DOMAINS = ["Hotel", "Billing Support", "Retention Desk", "GDPR Requests", "Compl
 def sql(select: str, *names: str) -> str:
     if not names:
         return select
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names) + "\n" + select
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in names) + "\n" + select
 
 
 def quoted(values: list[str]) -> str:
@@ -59,11 +58,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def texts(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table for heavy text work, spread over the cores when its file is a single split."""
-    return spread(table(spark, folder, name), KEYS[name])
-
-
 # --- turns: conversations with 1-based numbers and speaker names --------------------------
 VIEWS["turns"] = """
   SELECT conv_id, turn, turn + 1 AS number, text,
@@ -145,7 +139,7 @@ def raw(spark, folder):
             F.when(k == 0, "Customer: ").when(k == 1, "Agent: ").when(k == 2, "  ").otherwise("Support: "), line
         )
 
-    return texts(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id", "source", "lang",
         F.when(doc % 3 != 0, F.concat(F.lit("D"), doc.cast("string"))).alias("transcript_id"),
         F.when(doc % 5 != 0, F.col("source")).alias("id"),
@@ -218,7 +212,7 @@ VIEWS["utter"] = """
 
 
 def utter(spark, folder):
-    docs = texts(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     vectors = table(spark, folder, "embeddings").withColumnRenamed("vec_id", "doc_id")
     speaker = case(F.col("doc_id") % 4, ["Customer", "agent", "CLIENT", None])
     return docs.join(vectors, "doc_id").select(
@@ -266,7 +260,7 @@ VIEWS["clusters"] = """
 
 
 def clusters(spark, folder):
-    words = explode_values(texts(spark, folder, "documents"), [], ascii_words(F.col("text"), 4), "word")
+    words = explode_values(table(spark, folder, "documents"), [], ascii_words(F.col("text"), 4), "word")
     top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(24)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "word"))).alias("w"))
     rows = ranked.select(F.posexplode("w").alias("at", "w")).select(F.floor(F.col("at") / 3).alias("cluster_id"), "at", "w.word")
@@ -292,7 +286,7 @@ VIEWS["answers"] = """
 def answers(spark, folder):
     text = F.col("text")
     swap = lambda old, new: F.replace(text, F.lit(old), F.lit(new))
-    return texts(spark, folder, "conversations").select(
+    return table(spark, folder, "conversations").select(
         "conv_id", "turn",
         F.concat(F.lit("Intro line\nROOT_CAUSES:\n- "), swap("\n", "\n- "), F.lit("\n\nIMPACTS:\n• "),
                  swap(". ", ".\n• "), F.lit("\nPatterns\n- "), text).alias("concepts_answer"),

@@ -169,11 +169,11 @@ def m6_client(spark, d):
 
 
 @query("r1_report", B.sql(f"""
-SELECT s.doc_id::VARCHAR AS "Query_ID", p.query AS "Query", 'general' AS "Query_Category", 2 + p.doc_id % 4 AS "Complexity_Level",
+SELECT p.doc_id::VARCHAR AS "Query_ID", p.query AS "Query", 'general' AS "Query_Category", 2 + p.doc_id % 4 AS "Complexity_Level",
   CASE WHEN e.agent_turn IS NULL THEN 'N/A' WHEN e.customer_response_turn IS NULL THEN 'Turn ' || e.agent_turn
        ELSE 'Turns ' || e.agent_turn || '-' || e.customer_response_turn END AS "Evidence_Location",
-  'from labels' AS "Remarks", s.aggregate_score AS "Validation_Score", e.evidence_quality AS "Evidence_Quality", 'antecedent' AS "Lehnert_Category"
-FROM pairs p JOIN ({_JUDGED}) s USING (doc_id) JOIN ({EXACT_EVIDENCE}) e USING (doc_id)""", *EXACT_VIEWS, "scores"))
+  CASE WHEN s.doc_id IS NULL THEN '{fixed.FAILED_REASON}' ELSE 'from labels' END AS "Remarks", coalesce(s.aggregate_score, 1.0::DOUBLE) AS "Validation_Score", e.evidence_quality AS "Evidence_Quality", 'antecedent' AS "Lehnert_Category"
+FROM pairs p LEFT JOIN ({_JUDGED}) s USING (doc_id) LEFT JOIN ({EXACT_EVIDENCE}) e USING (doc_id)""", *EXACT_VIEWS, "scores"))
 def r1(spark, d):
     pairs = B.pairs(spark, d)
     queries = pairs.select("doc_id", "query", F.lit("general").alias("event_type"),

@@ -6,25 +6,24 @@ from convolens.functions.fuzzy import contained, keyword_scores
 from convolens.functions.text import keywords
 from convolens.operators import evidence
 from convolens.operators.explode import explode_values
-from convolens.scale import spread
 
 from . import bindings as B
 from .normalise import keywords_sql
 from .registry import query
 
-EXACT_VIEWS = ("raw", "split_docs", "rendered", "doc_turns", "pairs")
-_BEST = f"""
+EXACT_VIEWS = ("raw", "split_docs", "rendered", "doc_turns", "pairs", "best_turn")
+B.VIEWS["best_turn"] = f"""
   SELECT doc_id, min(number) AS agent_turn FROM (
     SELECT p.doc_id, t.number, t.text, p.k FROM (SELECT doc_id, {keywords_sql('query')} AS k FROM pairs) p
     JOIN doc_turns t USING (doc_id) WHERE contains(lower(t.speaker), 'agent'))
   WHERE length(text) > 0 AND len(list_filter(k, lambda w: contains(lower(text), w) OR contains(w, lower(text)))) > 0
   GROUP BY doc_id"""
-EXACT_EVIDENCE = f"""
+EXACT_EVIDENCE = """
   SELECT p.doc_id, b.agent_turn, c.customer_response_turn,
          CASE WHEN b.agent_turn IS NULL THEN 'weak' ELSE 'strong' END AS evidence_quality,
          CASE WHEN b.agent_turn IS NULL THEN 0.0::DOUBLE WHEN c.customer_response_turn IS NULL THEN 0.5 ELSE 1.0 END AS grounding_confidence
-  FROM pairs p LEFT JOIN ({_BEST}) b USING (doc_id)
-  LEFT JOIN (SELECT t.doc_id, min(t.number) AS customer_response_turn FROM doc_turns t JOIN ({_BEST}) b USING (doc_id)
+  FROM pairs p LEFT JOIN best_turn b USING (doc_id)
+  LEFT JOIN (SELECT t.doc_id, min(t.number) AS customer_response_turn FROM doc_turns t JOIN best_turn b USING (doc_id)
              WHERE t.number > b.agent_turn AND contains(lower(t.speaker), 'customer') GROUP BY 1) c USING (doc_id)"""
 
 
@@ -38,41 +37,42 @@ def m12(spark, d):
     return evidence.ground(B.pairs(spark, d)).drop("query", "transcript", "domain")
 
 
-_ASKED = f"""SELECT t.conv_id, {keywords_sql('t.text')} AS k FROM turns t
-  JOIN (SELECT conv_id, min(number) AS number FROM turns WHERE speaker = 'Customer' GROUP BY 1) f USING (conv_id, number)"""
+_ASKED = f"""SELECT conv_id, number AS query_number, {keywords_sql('text')} AS k FROM turns WHERE speaker = 'Customer'"""
 _W3 = f"""
-SELECT conv_id, min(number) AS agent_turn, 100.0::DOUBLE AS score FROM (
-  SELECT a.conv_id, a.k, t.number, lower(t.text) AS text FROM ({_ASKED}) a JOIN turns t USING (conv_id) WHERE contains(lower(t.speaker), 'agent'))
-WHERE length(text) > 0 AND len(list_filter(k, lambda w: contains(text, w) OR contains(w, text))) > 0 GROUP BY conv_id"""
+SELECT conv_id, query_number, min(number) AS agent_turn, 100.0::DOUBLE AS score FROM (
+  SELECT a.conv_id, a.query_number, a.k, t.number, lower(t.text) AS text FROM ({_ASKED}) a JOIN turns t USING (conv_id) WHERE contains(lower(t.speaker), 'agent'))
+WHERE length(text) > 0 AND len(list_filter(k, lambda w: contains(text, w) OR contains(w, text))) > 0 GROUP BY conv_id, query_number"""
 
 
-def _first_questions(spark, d):
-    """The first customer turn of every conversation as its query."""
+def _questions(spark, d):
+    """Every customer turn as a query to its conversation."""
     asked = B.turns(spark, d).where("speaker = 'Customer'")
-    return asked.groupBy("conv_id").agg(F.min_by("text", "number").alias("query")).select(
-        F.col("conv_id").alias("query_id"), "conv_id", "query")
+    return asked.select(F.struct("conv_id", "number").alias("query_id"), "conv_id", F.col("text").alias("query"))
+
+
+def _by_number(found):
+    return found.withColumn("query_number", F.col("query_id.number")).drop("query_id")
 
 
 @query("w3_best_turn_exact", B.sql(_W3, "turns"))
 def w3_exact(spark, d):
-    return evidence.best_agent_turns(_first_questions(spark, d), B.turns(spark, d), 100).drop("query_id")
+    return _by_number(evidence.best_agent_turns(_questions(spark, d), B.turns(spark, d), 100))
 
 
 @query("w3_best_turn")
 def w3(spark, d):
-    return evidence.ground_turns(_first_questions(spark, d), B.turns(spark, d))
+    return _by_number(evidence.ground_turns(_questions(spark, d), B.turns(spark, d)))
 
 
-@query("f5_match_threshold", B.sql("SELECT event_id, value FROM events WHERE value >= 85"))
+@query("f5_match_threshold", """SELECT event_id, value > 0 AND value >= 85 AS at_default, value > 0 AND value >= 0 AS at_zero FROM events""")
 def f5(spark, d):
-    from convolens.functions.fixed import MATCH_THRESHOLD
-
-    return B.table(spark, d, "events").where(F.col("value") >= MATCH_THRESHOLD).select("event_id", "value")
+    return B.table(spark, d, "events").select(
+        "event_id", evidence.passes(F.col("value")).alias("at_default"), evidence.passes(F.col("value"), 0).alias("at_zero"))
 
 
 @query("j5_next_customer_turn", B.sql("""
 SELECT conv_id, number, min(CASE WHEN contains(lower(speaker), 'customer') THEN number END)
-  OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS customer_response_turn FROM turns""", "turns"))
+  OVER (PARTITION BY conv_id ORDER BY number RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS customer_response_turn FROM turns""", "turns"))
 def j5(spark, d):
     return evidence.next_customer_turns(B.turns(spark, d))
 
@@ -98,7 +98,7 @@ def x3_exact(spark, d):
 @query("x3_partial_ratio")
 def x3(spark, d):
     following = B.table(spark, d, "conversations").select("conv_id", (F.col("turn") - 1).alias("turn"), F.lower("text").alias("text"))
-    asked = spread(B.cand(spark, d), ["conv_id", "turn", "pos"]).join(following, ["conv_id", "turn"])
+    asked = B.cand(spark, d).join(following, ["conv_id", "turn"])
     best = keyword_scores(keywords(F.col("full_query")), F.array("text"))
     return asked.select("conv_id", "turn", "pos", F.round(F.get(best, F.lit(0)), 6).alias("score"))
 

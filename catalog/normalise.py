@@ -49,25 +49,12 @@ def p7(spark, d):
     return B.rendered(spark, d).select("doc_id", "turn_count")
 
 
-@query("p8_row_metadata", B.sql(r"SELECT doc_id AS row_index, CASE WHEN regexp_matches(text, '^\s*\[') THEN 'list' ELSE 'str' END AS raw_format FROM documents"))
-def p8(spark, d):
-    listed = T.strip(F.col("text")).startswith("[")
-    return B.table(spark, d, "documents").select(
-        F.col("doc_id").alias("row_index"), F.when(listed, "list").otherwise("str").alias("raw_format"))
-
-
 @query("p11_speaker_names", "SELECT CASE WHEN lower(role) IN ('user', 'customer', 'client') THEN 'user' ELSE 'system' END AS speaker, count(*) AS n FROM conversations GROUP BY 1")
 def p11(spark, d):
     rows = B.table(spark, d, "conversations")
     return rows.groupBy(T.user_or_system(F.col("role")).alias("speaker")).agg(F.count("*").alias("n"))
 
 
-@query("p12_flatten", B.sql("SELECT doc_id AS conv_id, unnest(ts) AS text, generate_subscripts(ts, 1) - 1 AS pos FROM split_docs", "raw", "split_docs"))
-def p12(spark, d):
-    dialogues = B.raw(spark, d).select("doc_id", T.split_plain_text(F.col("conversation")).alias("turns"))
-    return explode_positions(dialogues, [F.col("doc_id").alias("conv_id")], F.col("turns"), "pos", "text")
-
-
 @query("p13_parse_turns", B.sql("SELECT doc_id, number, speaker, text FROM doc_turns", "raw", "split_docs", "rendered", "doc_turns"))
 def p13(spark, d):
     parsed = explode_values(B.rendered(spark, d), ["doc_id"], T.parse_turns(F.col("text_with_turns")), "t")
@@ -114,37 +101,6 @@ def j7(spark, d):
     return with_event_overrides(rows, overrides).select("doc_id", "event_type")
 
 
-@query("p18_episodes", B.sql("""
-SELECT coalesce(transcript_id, id, 'T_' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INTEGER, '0')) AS id, md5(text) AS text,
-       md5(text_with_turns) AS text_with_turns, coalesce(domain, 'General') AS domain, turn_count, doc_id AS row_index, 'str' AS raw_format
-FROM rendered""", "raw", "split_docs", "rendered"))
-def p18(spark, d):
-    df = B.rendered(spark, d)
-    return df.select(
-        pick_id(_columns("transcript_id", "id"), F.col("doc_id")).alias("id"), F.md5("text").alias("text"),
-        F.md5("text_with_turns").alias("text_with_turns"), pick_domain(_columns("domain")).alias("domain"),
-        "turn_count", F.col("doc_id").alias("row_index"), F.lit("str").alias("raw_format"))
-
-
-@query("f1_domain_filter", B.sql("SELECT doc_id, domain FROM raw WHERE lower(domain) = 'hotel'", "raw"))
-def f1(spark, d):
-    return B.raw(spark, d).where(F.lower("domain") == "HOTEL".lower()).select("doc_id", "domain")
-
-
-_LINES = "SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line FROM conversations"
-
-
-@query("f2_empty_drop", f"SELECT conv_id, count(*) AS lines FROM ({_LINES}) WHERE line <> '' GROUP BY 1")
-def f2(spark, d):
-    lines = B.table(spark, d, "conversations").select("conv_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where("line is not null and line <> ''").groupBy("conv_id").agg(F.count("*").alias("lines"))
-
-
-@query("f3_empty_conversation", B.sql("SELECT doc_id FROM raw WHERE coalesce(domain, '') <> ''", "raw"))
-def f3(spark, d):
-    return B.raw(spark, d).where(F.coalesce("domain", F.lit("")) != "").select("doc_id")
-
-
 @query("f4_speaker_contains", B.sql("SELECT conv_id, number, speaker FROM turns WHERE contains(lower(speaker), 'agent')", "turns"))
 def f4(spark, d):
     return B.turns(spark, d).where(T.speaker_has(F.col("speaker"), "Agent")).select("conv_id", "number", "speaker")
@@ -162,7 +118,7 @@ def _words_sql(column, n):
 
 @query("x1_ascii_words", f"SELECT word, count(*) AS n FROM (SELECT unnest({_words_sql('text', 4)}) AS word FROM documents) GROUP BY 1")
 def x1(spark, d):
-    words = explode_values(B.texts(spark, d, "documents"), [], ascii_words(F.col("text"), 4), "word")
+    words = explode_values(B.table(spark, d, "documents"), [], ascii_words(F.col("text"), 4), "word")
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -172,7 +128,7 @@ SELECT gram, count(*) AS n FROM (
                 || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS gram
   FROM (SELECT {_words_sql('text', 3)} AS w FROM conversations)) GROUP BY 1""")
 def x2(spark, d):
-    tokens = B.texts(spark, d, "conversations").select(ascii_words(F.col("text"), 3).alias("w"))
+    tokens = B.table(spark, d, "conversations").select(ascii_words(F.col("text"), 3).alias("w"))
     grams = explode_values(tokens, [], F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3)), "gram")
     return grams.groupBy("gram").agg(F.count("*").alias("n"))
 

@@ -37,8 +37,7 @@ _TONE = r"""
 SELECT cluster, round(p, 6) AS polarity, CASE WHEN p > 0.1 THEN 'positive' WHEN p < -0.1 THEN 'negative' ELSE 'neutral' END AS tone FROM (
   SELECT cluster, round(avg(p), 9) AS p FROM (
     SELECT cluster, id, coalesce(avg(polarity), 0) AS p FROM (
-      SELECT cluster, id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM utter
-      QUALIFY dense_rank() OVER (PARTITION BY cluster ORDER BY id) <= 20)
+      SELECT cluster, id, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}_]+')) AS word FROM utter)
     LEFT JOIN lexicon USING (word) GROUP BY cluster, id) GROUP BY cluster)"""
 
 
@@ -74,8 +73,7 @@ def a5(spark, d):
 
 @query("a14_cluster_count", "SELECT CAST(greatest(1, least(8, count(*))) AS BIGINT) AS k FROM embeddings")
 def a14(spark, d):
-    k = cluster_count(B.table(spark, d, "embeddings"))
-    return B.table(spark, d, "embeddings").agg(F.greatest(F.lit(1), F.least(F.lit(k), F.count("*"))).alias("k"))
+    return spark.createDataFrame([(cluster_count(B.table(spark, d, "embeddings")),)], "k long")
 
 
 B.VIEWS["exemplar"] = """
@@ -105,7 +103,7 @@ B.VIEWS["nearest"] = """
     "SELECT id, action_label, round(similarity, 6) AS label_similarity FROM (" + B.VIEWS["nearest"].format(rows="utter") + ")",
     "utter", "centers", "ontology"))
 def j3(spark, d):
-    best = profile.nearest_label(B.utter(spark, d), B.ontology(spark, d), key="id")
+    best = profile.nearest_label(B.utter(spark, d), B.ontology(spark, d))
     return best.select("id", "action_label", F.round("label_similarity", 6).alias("label_similarity"))
 
 
@@ -191,25 +189,25 @@ def w6(spark, d):
     return B.clusters(spark, d).select("cluster_id", generation.theme().alias("theme"))
 
 
-B.VIEWS["first_seeds"] = "SELECT *, row_number() OVER (ORDER BY cluster_id, template_pos) AS ordinal FROM seeds QUALIFY ordinal <= 10"
+B.VIEWS["all_seeds"] = "SELECT *, row_number() OVER (ORDER BY cluster_id, template_pos) AS ordinal FROM seeds"
 
 
-@query("w7_seed_cap", B.sql("SELECT cluster_id, template_pos, seed FROM first_seeds", *_CLUSTERS, "seeds", "first_seeds"))
+@query("w7_seed_cap", B.sql("SELECT cluster_id, template_pos, seed FROM all_seeds WHERE ordinal <= 10", *_CLUSTERS, "seeds", "all_seeds"))
 def w7(spark, d):
-    first = generation.seeds(B.clusters(spark, d)).orderBy("cluster_id", "template_pos").limit(fixed.MAX_SEEDS)
+    first = generation.first_seeds(generation.seeds(B.clusters(spark, d)), fixed.MAX_SEEDS)
     return first.select("cluster_id", "template_pos", "seed")
 
 
-@query("m7_expand_offline", B.sql("SELECT cluster_id, template_pos, 0 AS line_pos, seed AS query FROM first_seeds", *_CLUSTERS, "seeds", "first_seeds"))
+@query("m7_expand_offline", B.sql("SELECT cluster_id, template_pos, 0 AS line_pos, seed AS query FROM all_seeds", *_CLUSTERS, "seeds", "all_seeds"))
 def m7(spark, d):
     return generation.expand_seeds(generation.seeds(B.clusters(spark, d)))
 
 
 @query("m8_generate_offline", B.sql(r"""
 SELECT row_number() OVER (ORDER BY ordinal) AS rank, query FROM (
-  SELECT seed AS query, min(ordinal) AS ordinal, bool_or(len(regexp_extract_all(seed, '\S+')) BETWEEN 11 AND 29) AS fits FROM first_seeds GROUP BY seed)
-WHERE fits OR NOT (SELECT bool_or(len(regexp_extract_all(seed, '\S+')) BETWEEN 11 AND 29) FROM first_seeds)
-ORDER BY ordinal LIMIT 50""", *_CLUSTERS, "seeds", "first_seeds"))
+  SELECT seed AS query, min(ordinal) AS ordinal, bool_or(len(regexp_extract_all(seed, '\S+')) BETWEEN 11 AND 29) AS fits FROM all_seeds GROUP BY seed)
+WHERE fits OR NOT (SELECT bool_or(len(regexp_extract_all(seed, '\S+')) BETWEEN 11 AND 29) FROM all_seeds)
+ORDER BY ordinal LIMIT 50""", *_CLUSTERS, "seeds", "all_seeds"))
 def m8(spark, d):
     return generation.generate_queries(B.clusters(spark, d))
 
@@ -223,11 +221,15 @@ def x10(spark, d):
     return B.table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(lines_or(answer, F.col("text"))).alias("at", "line"))
 
 
-@query("m1_embed", "SELECT doc_id, 256 AS dimensions, 1.0::DOUBLE AS unit FROM documents")
+@query("m1_embed", """
+SELECT md5(text) AS text, count(*) AS n, 1 AS vectors, 256 AS dimensions, 1.0::DOUBLE AS unit FROM documents GROUP BY text""")
 def m1(spark, d):
+    """Equal texts have one vector, of length one."""
     rows = embed(B.table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.size("embedding").alias("dimensions"),
-                       F.round(cosine(F.col("embedding"), F.col("embedding")), 6).alias("unit"))
+    unit = F.round(F.max(cosine(F.col("embedding"), F.col("embedding"))), 6)
+    return rows.groupBy(F.md5("text").alias("text")).agg(
+        F.count("*").alias("n"), F.count_distinct(F.xxhash64("embedding")).alias("vectors"),
+        F.max(F.size("embedding")).alias("dimensions"), unit.alias("unit"))
 
 
 @query("m2_cluster")
@@ -240,7 +242,7 @@ def m2(spark, d):
 def m13(spark, d):
     rows = B.table(spark, d, "conversations").select(
         F.struct("conv_id", "turn").alias("id"), "text", F.when(F.col("role") == "user", "user").otherwise("system").alias("speaker"))
-    return jobs.analyze(rows, lexicon=B.lexicon(spark), restarts=2).drop("centroid", "exemplars")
+    return jobs.analyze(rows, lexicon=B.lexicon(spark)).drop("centroid", "exemplars")
 
 
 @query("m14_query_job")
@@ -249,4 +251,4 @@ def m14(spark, d):
         F.lit("conversations").alias("source"), F.col("conv_id").alias("dialog_pos"), F.col("turn").alias("pos"),
         F.col("conv_id").cast("string").alias("conv_id"), "text",
         F.when(F.col("role") == "user", "user").otherwise("system").alias("speaker"))
-    return jobs.run_queries(spark, loaded, restarts=2)
+    return jobs.run_queries(spark, loaded)

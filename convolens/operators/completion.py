@@ -1,8 +1,8 @@
 """Text completion by a user-supplied client, and what it costs.
 
 ``client_factory()`` runs once per partition and returns ``client(prompt, system_prompt,
-**options) -> str | None``. A client that raises counts as no answer. Without a factory every
-answer is NULL and no Python runs.
+**options) -> str | None``. A client that raises counts as no answer; the reason is kept in a column
+beside it. Without a factory every answer is NULL and no Python runs.
 """
 
 from __future__ import annotations
@@ -18,34 +18,40 @@ from ..scale import cut
 
 
 def complete(df: DataFrame, prompt: str, client_factory: Callable | None, out: str = "response",
-             system_prompt: str | None = None, keep: bool = True, **options) -> DataFrame:
-    """Add the answer to ``prompt`` as column ``out``.
+             system_prompt: str | None = None, keep: bool = True, error: str | None = None,
+             parallel_calls: int | None = None, **options) -> DataFrame:
+    """Add the answer to ``prompt`` as column ``out``, and the reason of a failed call as ``error`` if named.
 
     Answers are neither free nor repeatable, so with ``keep`` they are written once and read
-    from there by everything downstream. NULL prompts are not asked.
+    from there by everything downstream. NULL prompts are not asked. The rows are dealt out to
+    ``parallel_calls`` tasks, by default as many as the cluster has cores.
     """
     if client_factory is None:
-        return df.withColumn(out, F.lit(None).cast("string"))
+        added = [out] if error is None else [out, error]
+        return df.withColumns({c: F.lit(None).cast("string") for c in added})
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = client_factory()
 
         def ask(text):
             if text is None:
-                return None
+                return None, None
             try:
-                return client(text, system_prompt=system_prompt, **options)
-            except Exception:
-                return None
+                return client(text, system_prompt=system_prompt, **options), None
+            except Exception as problem:
+                return None, f"{type(problem).__name__}: {problem}"
 
         for batch in batches:
-            answers = pa.array([ask(p.as_py()) for p in batch.column(prompt)], pa.string())
+            asked = [ask(p.as_py()) for p in batch.column(prompt)]
+            added = [pa.array([a[i] for a in asked], pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, answers], names=[*batch.schema.names, out]
+                [*batch.columns, *added], names=[*batch.schema.names, *names]
             )
 
-    schema = StructType([*df.schema.fields, StructField(out, StringType())])
-    answered = df.mapInArrow(answer, schema)
+    names = [out] if error is None else [out, error]
+    schema = StructType([*df.schema.fields, *(StructField(n, StringType()) for n in names)])
+    tasks = parallel_calls or df.sparkSession.sparkContext.defaultParallelism
+    answered = df.repartition(tasks).mapInArrow(answer, schema)
     return cut(answered) if keep else answered
 
 

@@ -39,6 +39,11 @@ def location(agent_turn: Column, response_turn: Column) -> Column:
     )
 
 
+def passes(score, threshold: float = fixed.MATCH_THRESHOLD):
+    """A score counts as evidence from the threshold on, and never at zero."""
+    return (score > 0) & (score >= threshold)
+
+
 def _with_grades(rows: DataFrame) -> DataFrame:
     """From ``agent_turn``, ``customer_response_turn`` and ``score`` (NULL without evidence)."""
     found = F.col("agent_turn").isNotNull()
@@ -75,7 +80,7 @@ def ground(pairs: DataFrame, threshold: float = fixed.MATCH_THRESHOLD) -> DataFr
             F.when(is_open, F.coalesce("_texts", empty)).otherwise(empty),
         ))
         top = F.array_max("_scores")
-        good = (top > 0) & (top >= threshold)
+        good = passes(top, threshold)
         at = F.when(is_open, F.when(good, F.array_position("_scores", top))).otherwise(F.col("_exact"))
         score = F.when(is_open, top).otherwise(100.0)
     rows = rows.withColumn("_at", at.cast("int")).withColumn(
@@ -114,7 +119,7 @@ def best_agent_turns(queries: DataFrame, turns: DataFrame,
     scored = (
         asked.join(exact, ["query_id", "conv_id"], "left_anti").join(agent, "conv_id")
         .withColumn("score", F.get(keyword_scores(F.col("words"), F.array("text")), F.lit(0)))
-        .where((F.col("score") > 0) & (F.col("score") >= threshold))
+        .where(passes(F.col("score"), threshold))
     )
     order = F.struct("score", (-F.col("number")).alias("earlier"))
     fuzzy = scored.groupBy("query_id", "conv_id").agg(
@@ -134,7 +139,7 @@ def next_customer_turns(turns: DataFrame, block: int = _TURN_BLOCK) -> DataFrame
         "conv_id", "number", F.when(is_customer, F.col("number")).alias("customer"),
         F.floor(F.col("number") / block).alias("block"),
     )
-    after = Window.partitionBy("conv_id", "block").orderBy("number").rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("conv_id", "block").orderBy("number").rangeBetween(1, Window.unboundedFollowing)
     inside = marked.withColumn("here", F.min("customer").over(after))
     later = Window.partitionBy("conv_id").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     blocks = (

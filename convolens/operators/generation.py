@@ -36,13 +36,23 @@ def seeds(clusters: DataFrame) -> DataFrame:
     )
 
 
+def first_seeds(seed_rows: DataFrame, max_seeds: int | None = None) -> DataFrame:
+    """The first ``max_seeds`` seeds in (cluster, template) order, all without a number."""
+    if max_seeds is None:
+        return seed_rows
+    return seed_rows.orderBy("cluster_id", "template_pos").limit(max_seeds)
+
+
 def expand_seeds(seed_rows: DataFrame, client_factory: Callable | None = None,
-                 max_seeds: int = fixed.MAX_SEEDS) -> DataFrame:
-    """Lines of the completion of each of the first seeds; a seed without one stands for itself."""
-    first = seed_rows.orderBy("cluster_id", "template_pos").limit(max_seeds)
+                 max_seeds: int | None = None, parallel_calls: int | None = None) -> DataFrame:
+    """Lines of the completion of each seed; a seed without one stands for itself.
+
+    ``max_seeds`` keeps the first seeds only.
+    """
+    first = first_seeds(seed_rows, max_seeds)
     asked = complete(
         first.withColumn("prompt", prompts.expand_seed(F.col("seed"))),
-        "prompt", client_factory, out="response",
+        "prompt", client_factory, out="response", parallel_calls=parallel_calls,
     )
     lines = lines_or(F.col("response"), F.col("seed"))
     return asked.select(
@@ -63,9 +73,10 @@ def keep_length_band(queries: DataFrame) -> DataFrame:
 
 
 def generate_queries(clusters: DataFrame, client_factory: Callable | None = None,
-                     max_queries: int = fixed.MAX_QUERIES, max_seeds: int = fixed.MAX_SEEDS) -> DataFrame:
-    """Final queries with their rank."""
-    expanded = expand_seeds(seeds(clusters), client_factory, max_seeds)
+                     max_queries: int = fixed.MAX_QUERIES, max_seeds: int | None = None,
+                     parallel_calls: int | None = None) -> DataFrame:
+    """Final queries with their rank; ``max_queries`` is their number."""
+    expanded = expand_seeds(seeds(clusters), client_factory, max_seeds, parallel_calls)
     unique = dedupe(expanded, ["cluster_id", "template_pos", "line_pos"])
     top = keep_length_band(unique).orderBy("ordinal").limit(max_queries)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct("ordinal", "query"))).alias("q"))

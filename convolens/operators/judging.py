@@ -93,8 +93,17 @@ def check_queries(queries: DataFrame) -> DataFrame:
 
 
 def report(queries: DataFrame, scores: DataFrame, evidence: DataFrame, key: str = "query_id") -> DataFrame:
-    """Final report rows: queries with their scores and evidence, joined on ``key``."""
-    joined = queries.join(scores, key).join(evidence, key)
+    """Final report rows: queries with their scores and evidence, joined on ``key``.
+
+    A query without scores or evidence stays, with the lowest scores and weak evidence.
+    """
+    depth, clarity, value = fixed.FAILED_SCORES
+    failed = round((depth + clarity + value) / 3, 2)
+    joined = queries.join(scores, key, "left").join(evidence, key, "left").withColumns({
+        "reasoning": F.coalesce("reasoning", F.lit(fixed.FAILED_REASON)),
+        "aggregate_score": F.coalesce("aggregate_score", F.lit(failed)),
+        "evidence_quality": F.coalesce("evidence_quality", F.lit("weak")),
+    })
     return joined.select(
         F.col(key).cast("string").alias("Query_ID"),
         F.col("query").alias("Query"),

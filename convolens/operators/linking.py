@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import strip
-from ..scale import INLINE_ROWS, cut, footprint, has_at_most
+from ..scale import INLINE_ROWS, broadcast_if_small, cut, footprint, has_at_most
 from .explode import explode_values
 from .profile import first_rows
 
@@ -72,12 +72,17 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
     )))
     candidates = (
         explode_values(texts.where("text <> ''"), ["qa_pos", "is_response"], grams, "gram")
-        .join(anchored, "gram")
+        .join(broadcast_if_small(anchored), "gram")
         .where("in_response or not is_response")
         .select("qa_pos", "is_response", "cluster_id", "term")
     )
-    verified = candidates.join(texts, ["qa_pos", "is_response"]).where(F.contains("text", F.col("term")))
-    return verified.select("qa_pos", "cluster_id").distinct().join(qa, "qa_pos").select("cluster_id", *qa.columns)
+    terms = candidates.groupBy("qa_pos", "cluster_id").agg(
+        F.collect_set(F.struct("term", "is_response")).alias("_terms"))
+    sides = {side: F.lower(F.coalesce(side, F.lit(""))) for side in ("query", "response")}
+    # Each row is tested itself, so rows that share a position keep their own answers.
+    found = F.exists("_terms", lambda t: F.contains(
+        F.when(t["is_response"], sides["response"]).otherwise(sides["query"]), t["term"]))
+    return terms.join(qa, "qa_pos").where(found).select("cluster_id", *qa.columns)
 
 
 def match_pairs(clusters: DataFrame, qa: DataFrame, inline_rows: int = INLINE_ROWS) -> DataFrame:

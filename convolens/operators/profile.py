@@ -83,13 +83,15 @@ def exemplars(utterances: DataFrame, k: int = fixed.N_EXEMPLARS,
     return first_rows(scored, "cluster", "id", k, score="similarity")
 
 
-def tone(utterances: DataFrame, lexicon: DataFrame, sample: int = fixed.TONE_SAMPLE) -> DataFrame:
-    """Mean polarity of a cluster's first texts and the tone it stands for.
+def tone(utterances: DataFrame, lexicon: DataFrame, sample: int | None = None) -> DataFrame:
+    """Mean polarity of a cluster's texts, or of its first ``sample``, and the tone it stands for.
 
-    ``lexicon`` has ``word`` and ``polarity``. A text scores the mean of its known words, 0 when
-    it has none.
+    ``lexicon`` has ``word`` and ``polarity``; of a repeated word the mean counts. A text scores the
+    mean of its known words, 0 when it has none.
     """
-    first = first_rows(utterances.select("cluster", "id", "text"), "cluster", "id", sample)
+    texts = utterances.select("cluster", "id", "text")
+    first = texts if sample is None else first_rows(texts, "cluster", "id", sample)
+    lexicon = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
     hits = (
         first.select("cluster", "id", F.explode_outer(unicode_words(F.col("text"))).alias("word"))
         .join(lexicon.select("word", "polarity"), "word", "left")
@@ -185,16 +187,14 @@ def _label_array() -> Column:
 
 
 def nearest_label(rows: DataFrame, ontology: Mapping[str, Sequence[float]] | DataFrame,
-                  vector: str = "embedding", key: str = "cluster",
-                  block: int = INLINE_ROWS) -> DataFrame:
+                  vector: str = "embedding", block: int = INLINE_ROWS) -> DataFrame:
     """Add the ``action_label`` whose vector is nearest by cosine; the first label wins ties.
 
     The ontology is a driver-side mapping, which becomes a literal, or a DataFrame with ``pos``,
     ``label`` and ``vector``. Up to ``block`` labels travel as one array value. More labels are
-    split into blocks of about that size: each row meets each block by an equi-join on the block
-    number and keeps the best over the blocks, which needs ``key`` to identify a row.
+    split into blocks of about that size, which are one value each: a row passes them one after another
+    and keeps its best so far. Rows neither move nor need a key.
     """
-    blocks = 1
     if isinstance(ontology, Mapping):
         literal = [
             F.struct(
@@ -204,30 +204,23 @@ def nearest_label(rows: DataFrame, ontology: Mapping[str, Sequence[float]] | Dat
             )
             for i, (name, values) in enumerate(ontology.items())
         ]
-        with_labels = rows.withColumn("_labels", F.array(*literal))
+        blocks = [F.array(*literal)]
     elif has_at_most(ontology, block):
-        with_labels = rows.withColumn("_labels", ontology.agg(_label_array()).scalar())
+        blocks = [ontology.agg(_label_array()).scalar()]
     else:
-        blocks = -(-ontology.count() // block)
-        parts = (
-            ontology.withColumn("_block", F.pmod(F.xxhash64("label"), F.lit(blocks)))
-            .groupBy("_block").agg(_label_array().alias("_labels"))
-        )
-        numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-        spread = rows.withColumn("_block", F.explode(numbers))
-        with_labels = spread.join(parts, "_block").drop("_block")
-    scored = F.transform(
-        "_labels",
-        lambda o: F.struct(
-            F.round(cosine(F.col(vector), o["vector"]), 9).alias("similarity"),
-            (-o["pos"]).alias("order"),
-            o["label"].alias("label"),
-        ),
-    )
-    best = with_labels.withColumn("_best", F.array_max(scored)).drop("_labels")
-    if blocks > 1:
-        whole = F.max_by(F.struct(*rows.columns), F.col("_best")).alias("_row")
-        best = best.groupBy(key).agg(whole, F.max("_best").alias("_best")).select("_row.*", "_best")
+        numbered = cut(ontology.withColumn("_block", F.pmod(
+            F.xxhash64("label", "pos"), F.lit(-(-ontology.count() // block)))))
+        numbers = sorted(r[0] for r in numbered.select("_block").distinct().collect())
+        blocks = [numbered.where(F.col("_block") == n).drop("_block").agg(_label_array()).scalar() for n in numbers]
+
+    found = F.array_max(F.transform("_labels", lambda o: F.struct(
+        F.round(cosine(F.col(vector), o["vector"]), 9).alias("similarity"),
+        (-o["pos"]).alias("order"),
+        o["label"].alias("label"),
+    )))
+    best = rows.withColumn("_labels", blocks[0]).withColumn("_best", found)
+    for labels in blocks[1:]:
+        best = best.withColumn("_labels", labels).withColumn("_best", F.greatest("_best", found))
     return best.select(
         *rows.columns,
         F.col("_best.label").alias("action_label"),
@@ -262,7 +255,7 @@ def success_rate(utterances: DataFrame, outcomes: DataFrame | None) -> DataFrame
 
 def profile_clusters(utterances: DataFrame, ontology: Mapping[str, Sequence[float]] | DataFrame,
                      lexicon: DataFrame, outcomes: DataFrame | None = None,
-                     stop_words: Sequence[str] | None = None) -> DataFrame:
+                     stop_words: Sequence[str] | None = None, tone_sample: int | None = None) -> DataFrame:
     """One row per cluster: label, exemplars, phrases, tone, speakers, size, centroid, summary."""
     centers = cut(centroids(utterances))
     best = cut(exemplars(utterances, centers=centers).select(
@@ -277,7 +270,7 @@ def profile_clusters(utterances: DataFrame, ontology: Mapping[str, Sequence[floa
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))),
                     lambda p: p["term"]).alias("key_phrases")
     )
-    moods = tone(utterances, lexicon).select("cluster", "tone")
+    moods = tone(utterances, lexicon, tone_sample).select("cluster", "tone")
     joined = (
         speaker_distribution(utterances)
         .join(centers, "cluster").join(labels, "cluster").join(texts, "cluster")

@@ -27,17 +27,19 @@ def _top(counted: DataFrame, by: list[str], score: str, n: int) -> DataFrame:
     ).drop("key")
 
 
-def topic_counts(qa: DataFrame, by: list[str] | None = None,
-                 actions: DataFrame | None = None) -> DataFrame:
+def topic_counts(qa: DataFrame, by: list[str] | None = None, actions: DataFrame | None = None,
+                 words_per_text: int | None = fixed.TOPIC_WORDS_PER_TEXT) -> DataFrame:
     """Counts and score per topic word.
 
-    The first five kept words of every query and response count, repeats included. ``actions``
+    The first ``words_per_text`` kept words of every query and response count (all for None), repeats included. ``actions``
     holds ``action_label`` (and the ``by`` columns); the label counts twice for both sides.
     """
     by = by or []
 
     def side(text: str, phase: int, stop: list[str]) -> Column:
-        kept = F.slice(without(ascii_words(F.col(text), 4), stop), 1, fixed.TOPIC_WORDS_PER_TEXT)
+        kept = without(ascii_words(F.col(text), 4), stop)
+        if words_per_text is not None:
+            kept = F.slice(kept, 1, words_per_text)
         return F.transform(F.coalesce(kept, F.array().cast("array<string>")), lambda word, at: F.struct(
             word.alias("topic"),
             F.lit(1 - phase).cast("bigint").alias("q"),
@@ -69,22 +71,24 @@ def topic_counts(qa: DataFrame, by: list[str] | None = None,
 
 
 def topics(qa: DataFrame, by: list[str] | None = None, actions: DataFrame | None = None,
-           n: int = fixed.N_TOPICS) -> DataFrame:
+           n: int = fixed.N_TOPICS, words_per_text: int | None = fixed.TOPIC_WORDS_PER_TEXT) -> DataFrame:
     """Best topics by score; equal scores keep the order of first appearance."""
-    top = _top(topic_counts(qa, by, actions), by or [], "score", n)
+    top = _top(topic_counts(qa, by, actions, words_per_text), by or [], "score", n)
     return top.select(*(by or []), "rank", "topic", "query_count", "response_count", "score")
 
 
-def phrases(qa: DataFrame, by: list[str] | None = None, n: int = fixed.N_PHRASES) -> DataFrame:
-    """Most frequent word pairs and triples over query and start of response.
+def phrases(qa: DataFrame, by: list[str] | None = None, n: int = fixed.N_PHRASES,
+            response_chars: int | None = fixed.PHRASE_RESPONSE_CHARS) -> DataFrame:
+    """Most frequent word pairs and triples over query and the first ``response_chars`` of the response.
 
     A phrase may span the border between the two. Ties keep the order of first appearance:
     by pair, pairs of words before triples, then by position.
     """
     by = by or []
+    response = F.coalesce("response", F.lit(""))
     combined = F.concat(
         F.lower(F.coalesce("query", F.lit(""))), F.lit(" "),
-        F.lower(F.substring(F.coalesce("response", F.lit("")), 1, fixed.PHRASE_RESPONSE_CHARS)),
+        F.lower(response if response_chars is None else F.substring(response, 1, response_chars)),
     )
     tokens = qa.select(*by, "qa_pos", ascii_words(combined, 3).alias("w"))
     grams = F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))

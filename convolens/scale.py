@@ -91,13 +91,3 @@ def broadcast_if_small(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFram
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
-
-def spread(scan: DataFrame, key: list[str]) -> DataFrame:
-    """Spread the rows of a scan over the cores when its files split into fewer tasks than cores.
-
-    For text work, where a row costs far more to process than to move. On data of any size the
-    files give more splits than that and the scan is returned as it is. ``key`` is unique, so
-    no task gets more than its share.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan

@@ -51,8 +51,8 @@ def test_nearest_label_ways_agree(spark, utterances):
     labels = {f"l{i}": [rng.uniform(-1, 1) for _ in range(4)] for i in range(7)}
     labels["l7"] = labels["l2"]
     table = spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(labels.items())], "pos int, label string, vector array<double>")
-    ways = [profile.nearest_label(utterances, labels, key="id"), profile.nearest_label(utterances, table, key="id"),
-            profile.nearest_label(utterances, table, key="id", block=3)]
+    ways = [profile.nearest_label(utterances, labels), profile.nearest_label(utterances, table),
+            profile.nearest_label(utterances, table, block=3)]
     got = [{r.id: r.action_label for r in w.collect()} for w in ways]
     assert got[0] == got[1] == got[2] and "l7" not in got[0].values()
     assert ways[2].columns == [*utterances.columns, "action_label", "label_similarity"]
