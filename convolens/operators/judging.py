@@ -92,26 +92,26 @@ def check_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("violations", found).withColumn("valid", F.size("violations") == 0)
 
 
-def report(queries: DataFrame, scores: DataFrame, evidence: DataFrame, key: str = "query_id") -> DataFrame:
-    """Final report rows: queries with their scores and evidence, joined on ``key``.
+def report_rows(rows: DataFrame, key: str = "query_id") -> DataFrame:
+    """Report rows of queries that carry their scores and evidence.
 
     A query without scores or evidence stays, with the lowest scores and weak evidence.
     """
     depth, clarity, value = fixed.FAILED_SCORES
     failed = round((depth + clarity + value) / 3, 2)
-    joined = queries.join(scores, key, "left").join(evidence, key, "left").withColumns({
-        "reasoning": F.coalesce("reasoning", F.lit(fixed.FAILED_REASON)),
-        "aggregate_score": F.coalesce("aggregate_score", F.lit(failed)),
-        "evidence_quality": F.coalesce("evidence_quality", F.lit("weak")),
-    })
-    return joined.select(
+    return rows.select(
         F.col(key).cast("string").alias("Query_ID"),
         F.col("query").alias("Query"),
         F.col("event_type").alias("Query_Category"),
         F.col("complexity_level").alias("Complexity_Level"),
         location(F.col("agent_turn"), F.col("customer_response_turn")).alias("Evidence_Location"),
-        F.col("reasoning").alias("Remarks"),
-        F.col("aggregate_score").alias("Validation_Score"),
-        F.col("evidence_quality").alias("Evidence_Quality"),
+        F.coalesce("reasoning", F.lit(fixed.FAILED_REASON)).alias("Remarks"),
+        F.coalesce("aggregate_score", F.lit(failed)).alias("Validation_Score"),
+        F.coalesce("evidence_quality", F.lit("weak")).alias("Evidence_Quality"),
         F.col("lehnert_category").alias("Lehnert_Category"),
     )
+
+
+def report(queries: DataFrame, scores: DataFrame, evidence: DataFrame, key: str = "query_id") -> DataFrame:
+    """Report rows of queries whose scores and evidence are tables of their own, joined on ``key``."""
+    return report_rows(queries.join(scores, key, "left").join(evidence, key, "left"), key)

@@ -14,6 +14,18 @@ from .explode import explode_positions, explode_values
 from .profile import first_per_group
 
 
+_NUMBER = "decimal(38,0)"
+
+
+def _place(phase: int, qa_pos: Column | None = None, at: Column | None = None) -> Column:
+    """A place in reading order as one number, which a hash aggregate can keep the smallest of."""
+    place = F.lit(10 ** 34 * phase).cast(_NUMBER)
+    if qa_pos is None:
+        return place
+    whole = (qa_pos.cast("decimal(19,0)") * F.lit(10 ** 12).cast("decimal(13,0)")).cast(_NUMBER)
+    return (place + whole + at.cast(_NUMBER)).cast(_NUMBER)
+
+
 def _top(counted: DataFrame, by: list[str], score: str, n: int) -> DataFrame:
     order = [F.desc(score), F.asc("first_seen")]
     if by:
@@ -44,10 +56,7 @@ def topic_counts(qa: DataFrame, by: list[str] | None = None, actions: DataFrame
             word.alias("topic"),
             F.lit(1 - phase).cast("bigint").alias("q"),
             F.lit(phase).cast("bigint").alias("r"),
-            F.struct(
-                F.lit(phase).alias("phase"), F.col("qa_pos").cast("bigint").alias("qa_pos"),
-                at.cast("bigint").alias("at"),
-            ).alias("seen"),
+            _place(phase, F.col("qa_pos"), at).alias("seen"),
         ))
 
     both = F.concat(
@@ -57,10 +66,9 @@ def topic_counts(qa: DataFrame, by: list[str] | None = None, actions: DataFrame
     if actions is not None:
         bump = F.lit(fixed.ACTION_BUMP).cast("bigint")
         label = strip(F.lower("action_label"))
-        zero = F.lit(0).cast("bigint")
         terms = terms.unionByName(actions.where(F.coalesce("action_label", F.lit("")) != "").select(
             *by, label.alias("topic"), bump.alias("q"), bump.alias("r"),
-            F.struct(F.lit(2).alias("phase"), zero.alias("qa_pos"), zero.alias("at")).alias("seen"),
+            _place(2).alias("seen"),
         ))
     counted = terms.groupBy(*by, "topic").agg(
         F.sum("q").alias("query_count"), F.sum("r").alias("response_count"),
@@ -93,6 +101,6 @@ def phrases(qa: DataFrame, by: list[str] | None = None, n: int = fixed.N_PHRASES
     tokens = qa.select(*by, "qa_pos", ascii_words(combined, 3).alias("w"))
     grams = F.concat(ngrams(F.col("w"), 2), ngrams(F.col("w"), 3))
     found = explode_positions(tokens, [*by, "qa_pos"], grams, "at", "phrase")
-    seen = F.min(F.struct(F.col("qa_pos").cast("bigint"), "at")).alias("first_seen")
+    seen = F.min(_place(0, F.col("qa_pos"), F.col("at"))).alias("first_seen")
     counted = found.groupBy(*by, "phrase").agg(F.count("*").alias("n"), seen)
     return _top(counted, by, "n", n).select(*by, "rank", "phrase", "n")

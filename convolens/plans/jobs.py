@@ -8,11 +8,13 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
+from ..functions.events import event_of_domain
+from ..functions.text import excerpt
 from ..operators import evidence, followups, generation, judging, linking, profile, topics
 from ..operators.embedding import cluster, embed
-from ..scale import cut
+from ..scale import cut, keep
 from ..sources import sinks
-from ..sources.json_transcripts import read_utterances
+from ..sources.json_transcripts import load_utterances
 
 LEXICON_SCHEMA = "word string, polarity double"
 
@@ -35,15 +37,15 @@ def analyze(utterances: DataFrame, lexicon: DataFrame | None = None, make_encode
     spark = utterances.sparkSession
     ontology = ontology or fixed.ACTION_ONTOLOGY
     if make_encoder is not None:
-        embedded = cut(embed(utterances, make_encoder))
+        embedded = keep(embed(utterances, make_encoder))
         labels = ontology_vectors(spark, make_encoder, ontology)
     else:
         rows = [(name, i, text) for i, (name, text) in enumerate(ontology.items())]
         described = spark.createDataFrame(rows, "label string, pos int, text string")
-        both = cut(embed(utterances.unionByName(described, allowMissingColumns=True)))
+        both = keep(embed(utterances.unionByName(described, allowMissingColumns=True)))
         embedded = both.where("label is null").drop("label", "pos")
         labels = both.where("label is not null").select("pos", "label", F.col("embedding").alias("vector"))
-    assigned = cut(cluster(embedded, k=k, restarts=restarts))
+    assigned = keep(cluster(embedded, k=k, restarts=restarts))
     if lexicon is None:
         lexicon = spark.createDataFrame([], LEXICON_SCHEMA)
     return profile.profile_clusters(assigned, cut(labels), lexicon, outcomes)
@@ -61,14 +63,18 @@ def utterance_ids(utterances: DataFrame, max_transcripts: int | None = None) ->
 def run_queries(spark: SparkSession, transcripts: str | DataFrame, output_csv: str | None = None,
                 output_metrics: str | None = None, max_transcripts: int | None = None,
                 domain: str | None = None, client_factory: Callable | None = None,
-                **analysis) -> DataFrame:
+                lines: bool = False, **analysis) -> DataFrame:
     """Transcripts -> clusters -> queries (``rank, query``), with optional CSV and metrics files.
 
-    ``transcripts`` is a path of JSON documents or an utterance DataFrame in their form.
+    ``transcripts`` is a path of JSON documents, of JSON Lines with ``lines``, or an utterance
+    DataFrame in their form. The metrics count documents and lines that could not be read.
     """
     started = datetime.now(timezone.utc)
-    loaded = read_utterances(spark, transcripts, domain) if isinstance(transcripts, str) else transcripts
-    utterances = cut(utterance_ids(loaded, max_transcripts))
+    rejected = None
+    if isinstance(transcripts, str):
+        read = load_utterances(spark, transcripts, domain, lines)
+        transcripts, rejected = read.utterances, read.rejected
+    utterances = keep(utterance_ids(transcripts, max_transcripts))
     if utterances.isEmpty():
         return spark.createDataFrame([], "rank int, query string")
     clusters = cut(analyze(utterances, **analysis))
@@ -79,6 +85,7 @@ def run_queries(spark: SparkSession, transcripts: str | DataFrame, output_csv: s
         ended = datetime.now(timezone.utc)
         stats = {
             "ingested": utterances.count(),
+            "rejected": 0 if rejected is None else rejected.count(),
             "clusters_found": clusters.count(),
             "queries_generated": queries.count(),
             "start_time": started.isoformat(),
@@ -119,19 +126,24 @@ def run_followups(clusters: DataFrame, qa: DataFrame, client_factory: Callable |
 
 def run_report(queries: DataFrame, episodes: DataFrame, client_factory: Callable | None = None,
                threshold: float = fixed.MATCH_THRESHOLD) -> DataFrame:
-    """Queries (``query_id, transcript_id, query, event_type, complexity_level, lehnert_category``)
-    and their episodes -> report rows with scores and evidence."""
-    paired = queries.join(
-        episodes.select(
-            F.col("id").alias("transcript_id"), F.col("text").alias("context"),
-            F.col("text_with_turns").alias("transcript"),
-        ),
-        "transcript_id",
-    )
-    scores = judging.judge(paired.select("query_id", "query", "event_type", "context"), client_factory)
-    found = evidence.ground(paired.select("query_id", "query", "transcript"), threshold)
-    return judging.report(
-        queries.drop("transcript_id"),
-        scores.drop("query", "event_type", "context"),
-        found.drop("query", "transcript", "score"),
+    """Queries (``query_id, transcript_id, query, complexity_level, lehnert_category``) and their
+    episodes -> report rows with scores and evidence.
+
+    One join brings a query and its episode together; evidence and scores are added to that row. A
+    query without an episode stays, with weak evidence. Without ``event_type`` the event follows from
+    the episode's domain. Queries that carry ``causal_trigger`` and ``causal_outcome`` are checked by
+    the rules, and those that break one are left out.
+    """
+    if {"causal_trigger", "causal_outcome"} <= set(queries.columns):
+        queries = judging.check_queries(queries).where("valid").drop("violations", "valid")
+    about = [F.col("domain").alias("_domain")] if "domain" in episodes.columns else []
+    told = episodes.select(
+        F.col("id").alias("transcript_id"), excerpt(F.col("text")).alias("context"),
+        F.col("text_with_turns").alias("transcript"), *about,
     )
+    rows = queries.join(told, "transcript_id", "left")
+    if "event_type" not in queries.columns:
+        domain = F.col("_domain") if about else F.lit(None).cast("string")
+        rows = rows.withColumn("event_type", event_of_domain(domain))
+    found = evidence.ground(rows, threshold).drop("transcript", "score", "transcript_id", "_domain")
+    return judging.report_rows(judging.judge(found, client_factory))

@@ -61,6 +61,13 @@ def test_words_are_counted_before_the_shuffle(spark):
     assert "partial_sum" in text and text.index("Exchange") < text.index("partial_sum")
 
 
+def test_words_and_phrases_are_counted_without_sorting(spark):
+    qa = spark.range(10).select(F.col("id").alias("qa_pos"), F.lit("aaaa bbbb").alias("query"), F.lit("cccc").alias("response"))
+    for df in (topics.topic_counts(qa), topics.phrases(qa)):
+        text = plan(df)
+        assert "HashAggregate" in text and "SortAggregate(key=[" not in text
+
+
 def test_every_query_with_sql_has_a_callable():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 

@@ -201,3 +201,49 @@ def test_report_job(spark):
     episodes = spark.createDataFrame([("t1", "x", "Turn 1: Agent: your refund\nTurn 2: Customer: late")], "id string, text string, text_with_turns string")
     row = jobs.run_report(queries, episodes).first()
     assert tuple(row) == ("q1", "Why was the refund late?", "refund", 3, "Turns 1-2", fixed.OFFLINE_REASON, 3.67, "strong", "antecedent")
+
+
+def test_report_keeps_every_valid_query_and_maps_events(spark):
+    queries = spark.createDataFrame(
+        [("q1", "t1", "Why was the refund late?", "late refund", "churn", 3, "antecedent"),
+         ("q2", "none", "Why was the refund late?", "late refund", "churn", 3, "antecedent"),
+         ("q3", "t1", "Short", "", "", 9, "antecedent")],
+        "query_id string, transcript_id string, query string, causal_trigger string, causal_outcome string, "
+        "complexity_level int, lehnert_category string")
+    queries = queries.withColumn("query", F.when(F.col("query") != "Short", F.lit(
+        "Why did the agent cause a late refund that led the customer to churn in the end?")).otherwise(F.col("query")))
+    episodes = spark.createDataFrame(
+        [("t1", "x", "Turn 1: Agent: your refund\nTurn 2: Customer: late", "Billing Support")],
+        "id string, text string, text_with_turns string, domain string")
+    rows = {r.Query_ID: r for r in jobs.run_report(queries, episodes).collect()}
+    assert "q3" not in rows and set(rows) == {"q1", "q2"}
+    assert rows["q1"].Query_Category == "refund" and rows["q1"].Evidence_Location == "Turns 1-2"
+    assert rows["q2"].Evidence_Location == "N/A" and rows["q2"].Evidence_Quality == "weak"
+
+
+def test_failed_calls_leave_their_reason(spark):
+    def factory():
+        def client(prompt, system_prompt=None):
+            if prompt == "bad":
+                raise TimeoutError("no answer")
+            return prompt.upper()
+        return client
+
+    df = spark.createDataFrame([("good",), ("bad",), (None,)], "prompt string")
+    got = {r.prompt: (r.response, r.failure) for r in completion.complete(df, "prompt", factory, error="failure", parallel_calls=2).collect()}
+    assert got == {"good": ("GOOD", None), "bad": (None, "TimeoutError: no answer"), None: (None, None)}
+
+
+def test_all_seeds_and_the_first_ones(spark):
+    df = spark.createDataFrame([(i, f"label{i}", ["phrase"]) for i in range(9)], "cluster_id int, action_label string, key_phrases array<string>")
+    seeds = generation.seeds(df)
+    assert generation.expand_seeds(seeds).count() == 9 * len(fixed.SEED_TEMPLATES)
+    assert generation.expand_seeds(seeds, max_seeds=fixed.MAX_SEEDS).count() == fixed.MAX_SEEDS
+
+
+def test_tone_reads_all_texts_unless_told(spark):
+    rows = [(0, i, "bad" if i < 20 else "good") for i in range(80)]
+    df = spark.createDataFrame(rows, "cluster int, id int, text string")
+    lexicon = spark.createDataFrame([("good", 0.5), ("bad", -0.7), ("bad", -0.7)], "word string, polarity double")
+    assert profile.tone(df, lexicon).first().tone == "positive"
+    assert profile.tone(df, lexicon, 20).first().tone == "negative"
