@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = 2_000
+BATCH_BYTES = "16m"
 
 
 def whole(text: str | Column) -> Column:
@@ -28,6 +30,28 @@ def remainder(doc_id: str) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def hashed_sample(keys: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` distinct keys, those of smallest hash; all together no more reach the driver.
+
+    With more keys than that, a share of the hash range is cut first, so that each task gives its share.
+    """
+    keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+    total = keys.count()
+    if total > rows:
+        cut = int((1 << 31) * min(1.0, 1.2 * rows / total))
+        keys = keys.where(F.pmod(F.xxhash64(key), F.lit(1 << 31)) < cut)
+    return keys.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand texts to Python in small batches: by default a batch may hold 64 MB, several times over.
+
+    The setting is read when a query runs, so it stays set for the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The bytes of a text column of an Arrow batch, nulls as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
