@@ -26,7 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from convolens.llm.text import whole
+from convolens.llm.text import bounded_batches, hashed_sample, whole
 from convolens.scale import keep, shared_path
 
 # Fixed values of the formats.
@@ -49,9 +49,12 @@ STEP = 1 << 16
 
 def train_dictionary(pages: DataFrame, records: int = SAMPLE_RECORDS, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from the beginnings of at most ``records`` payloads, chosen by a hash of the page."""
+    chosen = hashed_sample(pages, "page_id", records)
+    # At most ``records`` ids, and one payload of each.
     sample = (
         pages.select("page_id", F.substring(whole("html"), 1, SAMPLE_BYTES).cast("binary").alias("head"))
-        .where(F.octet_length("head") >= 8).orderBy(F.xxhash64("page_id"), "page_id", "head").limit(records))
+        .where(F.octet_length("head") >= 8).join(F.broadcast(chosen), "page_id")
+        .groupBy("page_id").agg(F.min("head").alias("head")).orderBy("page_id"))
     heads = [bytes(row["head"]) for row in sample.collect()]
     try:
         return zstandard.train_dictionary(size, heads).as_bytes()
@@ -108,6 +111,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file
                 started = True
             yield pa.RecordBatch.from_pydict({"frame": pa.array(frames, pa.binary())})
 
+    bounded_batches(pages.sparkSession)
     rows = with_records(pages, min_bytes).repartition(files, "page_id", "url")
     rows.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option(
         "lineSep", EMPTY_FRAME).option("compression", "none").text(path)
