@@ -19,7 +19,7 @@ _NUMBER = "decimal(38,0)"
 
 def _place(phase: int, qa_pos: Column | None = None, at: Column | None = None) -> Column:
     """A place in reading order as one number, which a hash aggregate can keep the smallest of."""
-    place = F.lit(10 ** 34 * phase).cast(_NUMBER)
+    place = F.lit(str(10 ** 34 * phase)).cast(_NUMBER)
     if qa_pos is None:
         return place
     whole = (qa_pos.cast("decimal(19,0)") * F.lit(10 ** 12).cast("decimal(13,0)")).cast(_NUMBER)
