@@ -28,7 +28,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from convolens.llm.text import first_missing, remainder, whole
+from convolens.llm.text import bounded_batches, first_missing, hashed_sample, remainder, whole
+from convolens.scale import keep
 
 # Seed words of the grammar, by part.
 SEEDS = {
@@ -155,10 +156,9 @@ class Scorer:
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """text and toxic of the labelled rows to learn from: at most ``max_rows`` ids, held-out ids never."""
-    chosen = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (remainder("doc_id") != 0))
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
+    usable = labels.where(F.col("toxic").isNotNull() & (remainder("doc_id") != 0))
+    chosen = usable.join(F.broadcast(hashed_sample(usable, "doc_id", max_rows)), "doc_id").groupBy("doc_id").agg(
+        F.max("toxic").alias("toxic"))
     # At most max_rows pairs of an id and a number: small enough to send everywhere.
     return docs.select("doc_id", whole("text").alias("text")).join(
         F.broadcast(chosen), "doc_id").select("text", "toxic")
@@ -189,7 +189,7 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
 
     counts = rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(
         F.sum("toxic").alias("t"), F.sum("clean").alias("n"))
-    counts = counts.where("t >= 4 OR term = ''")
+    counts = keep(counts.where("t >= 4 OR term = ''"))
     total = counts.where("term = ''").first()
     if total is None or not total.t or not total.n:
         return {w: SEED_WEIGHT for w in SEEDS["insult"]}
@@ -234,6 +234,7 @@ def learn_scales(rows: DataFrame, weights: dict[str, float]) -> dict[str, float]
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Scorer:
+    bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_rows)
     weights = learn_terms(rows, max_terms)
     return Scorer(weights, learn_scales(rows, weights))
@@ -241,6 +242,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_term
 
 def judged(spark, scorer: Scorer, text: str | Column) -> Column:
     """struct(score, clauses, clause) of a text column."""
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((scorer.weights, scorer.scales, scorer.bias))
     kept = []
 
