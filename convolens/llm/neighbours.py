@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from convolens.llm.text import hashed_sample
 from convolens.scale import keep
 
 SAMPLE_ROWS = 10_000
@@ -127,7 +128,9 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 10, id_column: str = "vec
     ``asks`` is a condition on the column ``id``.
     """
     rows = usable(vectors, id_column, vector_column)
-    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE_ROWS).select("v").toArrow()["v"].combine_chunks()
+    # At most SAMPLE_ROWS ids, and one vector of each.
+    sample = rows.join(F.broadcast(hashed_sample(rows, "id", SAMPLE_ROWS)), "id").groupBy("id").agg(
+        F.min("v").alias("v")).orderBy("id").select("v").toArrow()["v"].combine_chunks()
     width = len(sample[0]) if len(sample) else 1
     centre = matrix(sample, width).mean(axis=0) if len(sample) else np.zeros(1)
     rotated = rotation(width)
