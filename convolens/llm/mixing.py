@@ -32,7 +32,7 @@ from convolens.scale import broadcast_if_small, keep
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 MAX_COPIES = 2
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 FAN_IN = 16
 SEED = 17
 MASK = (1 << 64) - 1
