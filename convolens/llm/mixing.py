@@ -211,4 +211,5 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     same = (F.col(id_column).cast("long").eqNullSafe(F.col(of_id))
             & F.col(source_column).cast("string").eqNullSafe(F.col(of_source))
             & (word_count(text_column) == F.col(of_size)))
-    return docs.join(decided, same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    # The decisions grow with the documents and are never broadcast, whatever their size here.
+    return docs.join(decided.hint("merge"), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
