@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from convolens.llm.text import utf8
+from convolens.llm.text import bounded_batches, utf8
 
 SHINGLE = 3
 WINDOW = 3
@@ -202,4 +202,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.selectExpr(f"CAST(`{id_column}` AS long) AS doc_id", f"`{text_column}`").mapInArrow(run, SCHEMA)

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from convolens.llm.text import bounded_batches
 from convolens.scale import keep
 
 SEQUENCE = 2048
@@ -85,6 +86,7 @@ def pieces(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                     [pa.array(c, t) for c, t in zip(zip(*out), types)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), text_column).mapInArrow(run, PIECES)
 
 

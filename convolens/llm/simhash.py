@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from convolens.llm.graph import components
-from convolens.llm.text import first_missing, utf8
+from convolens.llm.text import bounded_batches, first_missing, utf8
 from convolens.scale import keep
 
 SEED = 42
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             values = np.array([fingerprint(t, words) for t in utf8(batch.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("id"), text_column).mapInArrow(run, "id long, fp long")
 
 
