@@ -55,6 +55,16 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete one table that ``keep`` wrote, when later steps no longer read it."""
+    spark, files = df.sparkSession, df.inputFiles()
+    for owner, path in list(_KEPT):
+        if owner is spark and any(path.rsplit("/", 1)[1] in file.split("/") for file in files):
+            _KEPT.remove((owner, path))
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete the tables that ``keep`` wrote; frames that read them can no longer be evaluated."""
     for owner, path in list(_KEPT):
