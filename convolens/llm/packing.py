@@ -44,10 +44,12 @@ def default_vocabulary() -> str:
 def load_encoder(path: str | None = None):
     """A function from texts to ids by the vocabulary file of a byte-level BPE tokenizer.
 
-    The merges of such a file are in the order of the ids they make, so ids serve as merge ranks.
+    The merges of such a file are in the order of the ids they make, so ids serve as merge ranks. The fast
+    library gives up on texts with very long runs of white space; those go to the file's own library.
     """
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
     with open(path or default_vocabulary(), encoding="utf-8") as file:
         spec = json.load(file)
     # Byte-level files write every byte as a printable character; the others follow from 256 on.
@@ -58,9 +60,17 @@ def load_encoder(path: str | None = None):
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     encoding = tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                  special_tokens=special)
-    if special:
-        return lambda text: encoding.encode(text, allowed_special="all")
-    return encoding.encode_ordinary
+    exact = []
+
+    def encode(text):
+        try:
+            return encoding.encode(text, allowed_special="all") if special else encoding.encode_ordinary(text)
+        except ValueError:
+            if not exact:
+                exact.append(Tokenizer.from_file(path or default_vocabulary()))
+            return exact[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 def cut(length: int, limit: int = SEQUENCE) -> list[tuple[int, int]]:

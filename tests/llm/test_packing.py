@@ -44,6 +44,15 @@ def test_encoder_equals_tokenizer():
         assert encode(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "\n" * 1_000_000 + "x", "a  b" + " \t" * 600_000 + "c<|endoftext|>d"])
+def test_long_runs_of_white_space(spark, text):
+    expected = TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert packing.load_encoder()(text) == expected
+    frame = spark.createDataFrame([(1, text), (2, "x y")], "doc_id long, text string")
+    rows = packing.pieces(frame).where("doc_id = 1").collect()
+    assert sum(r.length for r in rows) == len(expected) + 1
+
+
 @pytest.mark.parametrize("shape", ["spread", "one", "long", "two"])
 def test_plan_uses_every_piece(shape):
     r = np.random.default_rng(1)
