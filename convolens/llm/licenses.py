@@ -18,6 +18,7 @@ ignored, an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -138,44 +139,53 @@ class Scanner:
         return np.where((views == 0).any(axis=1), np.uint64((1 << 64) - 1), mixed)
 
     def candidates(self, ids: np.ndarray):
-        """(template, lowest and highest diagonal) of hits that lie close together."""
+        """(template, lowest and highest diagonal) of hits that lie close together.
+
+        Repeats may chain over the whole document; a long chain is cut, and its parts overlap by a template.
+        """
         hashes = self.hashes(ids)
         places = winnow(hashes)
         places = places[np.isin(hashes[places], self.known)]
         hits = defaultdict(list)
         for at in places.tolist():
             for t, inside in self.index[int(hashes[at])]:
-                hits[t].append((at - inside, at))
+                hits[t].append(at - inside)
         for t, found in hits.items():
-            found.sort()
-            low = high = found[0][0]
-            for diagonal, _ in found[1:]:
-                if diagonal - high > self.band:
-                    yield t, low, high
-                    low = diagonal
-                high = diagonal
-            yield t, low, high
+            found, size = np.unique(found), len(self.templates[t])
+            for chain in np.split(found, np.flatnonzero(np.diff(found) > self.band) + 1):
+                at = 0
+                while at < len(chain):
+                    to = int(np.searchsorted(chain, chain[at] + 2 * size + self.band, "right"))
+                    yield t, max(int(chain[0]), int(chain[at]) - size), min(int(chain[-1]), int(chain[to - 1]) + size)
+                    at = to
+
+    def matches(self, ids: np.ndarray, t: int, low: int, high: int):
+        """(matched words, start, end) of the matches on the diagonals: the best, then those left and right of it."""
+        template = self.templates[t]
+        parts = [(max(0, low - self.band), min(len(ids), high + len(template) + self.band))]
+        while parts:
+            first, last = parts.pop()
+            if last - first < self.min_coverage * len(template):
+                continue
+            matched, start, end = align(template, ids[first:last], low - self.band - first, high + self.band - first)
+            if matched and matched >= self.min_coverage * len(template):
+                yield matched, first + start, first + end
+                parts += [(first, first + start), (first + end, last)]
 
     def scan(self, text: bytes):
         """(license, coverage, matched words, template words, first and last byte + 1) of each match."""
         ids = np.fromiter(map(lambda w: self.number.get(w, 0), words_of(text)), np.int64)
-        matches = []
-        for t, low, high in self.candidates(ids):
-            template = self.templates[t]
-            first = max(0, low - self.band)
-            window = ids[first:high + len(template) + self.band]
-            matched, start, end = align(template, window, low - self.band - first, high + self.band - first)
-            if matched >= self.min_coverage * len(template):
-                matches.append((-matched, -matched / len(template), self.names[t], first + start, first + end))
+        matches = {(-matched, -matched / len(self.templates[t]), t, start, end)
+                   for t, low, high in self.candidates(ids) for matched, start, end in self.matches(ids, t, low, high)}
         if not matches:
             return
         spans = [m.span() for m in WORD.finditer(text.lower())]
         kept = []
-        for matched, coverage, name, start, end in sorted(matches):
-            if all(end <= a or start >= b for a, b in kept):
-                kept.append((start, end))
-                words = len(self.templates[self.names.index(name)])
-                yield name, -coverage, -matched, words, spans[start][0], spans[end - 1][1]
+        for matched, coverage, t, start, end in sorted(matches):
+            at = bisect(kept, (start, end))
+            if (not at or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+                kept.insert(at, (start, end))
+                yield self.names[t], -coverage, -matched, len(self.templates[t]), spans[start][0], spans[end - 1][1]
 
 
 SCHEMA = ("doc_id long, license string, coverage double, matched_words int, template_words int, "
@@ -194,9 +204,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                for name, coverage, matched, words, start, end in scanner.scan(text):
+                at = before = 0
+                for name, coverage, matched, words, start, end in sorted(scanner.scan(text), key=lambda m: m[4]):
                     # Byte places become character places.
-                    before = len(text[:start].decode("utf-8", "replace"))
+                    before += len(text[at:start].decode("utf-8", "replace"))
+                    at = start
                     out.append((doc, name, coverage, matched, words, before,
                                 before + len(text[start:end].decode("utf-8", "replace"))))
             if out:

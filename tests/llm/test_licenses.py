@@ -47,6 +47,34 @@ def test_matches_by_brute_force():
         assert found and max(found.values()) == best and all(slow[n] >= m for n, m in found.items())
 
 
+def slow_all(scanner, name, text):
+    """All matches of one template, the best first, then those left and right of it."""
+    template = scanner.templates[scanner.names.index(name)]
+    ids = np.array([scanner.number.get(w, 0) for w in licenses.words_of(text.encode())])
+    out, parts = [], [(0, len(ids))]
+    while parts:
+        first, last = parts.pop()
+        matched, start, end = licenses.align(template, ids[first:last], -len(template), last - first)
+        if matched >= scanner.min_coverage * len(template):
+            out.append((matched, first + start, first + end))
+            parts += [(first, first + start), (first + end, last)]
+    return sorted(out)
+
+
+def test_back_to_back_repeats_by_brute_force():
+    r = random.Random(4)
+    for name in ("MIT", "CC-BY-4.0-long", "ISC"):
+        scanner = licenses.Scanner({name: licenses.TEMPLATES[name]})
+        for gap in (0, 1, 3, 7):
+            text = " ".join(" ".join(f"pkg{r.randrange(99)}" for _ in range(gap)) + " " + licenses.TEMPLATES[name] for _ in range(30))
+            spans = [m.span() for m in licenses.WORD.finditer(text.lower().encode())]
+            slow = sorted((m, spans[a][0], spans[b - 1][1]) for m, a, b in slow_all(scanner, name, text))
+            assert len(slow) == 30 and sorted((m[2], m[4], m[5]) for m in scanner.scan(text.encode())) == slow
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    long = "pkgA Released under the MIT License. " * 5_000
+    assert [m[0] for m in scanner.scan(long.encode())] == ["MIT"] * 5_000
+
+
 def test_odd_rows(spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, None), (2, ""), (3, "no license here"), (4, f"é {mit} x"), (4, f"é {mit} x"), (None, mit.upper()),
