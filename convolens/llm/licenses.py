@@ -65,6 +65,44 @@ TEMPLATES = {
         "Software."),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+# Further common families.
+FAMILIES = {
+    "AGPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution."),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."),
+    "CC0-1.0": (
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
+        "work."),
+    "EPL-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 "
+        "which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    "LGPL-2.1-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your "
+        "option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY "
+        "WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."),
+}
+# Notices that name no license, for scans that ask for them.
+NOTICES = {"All-rights-reserved": "All rights reserved."}
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -119,12 +157,17 @@ class Scanner:
         split = [words_of(templates[n].encode()) for n in self.names]
         self.number = {w: i for i, w in enumerate(sorted({w for words in split for w in words}), 1)}
         self.templates = [np.array([self.number[w] for w in words], np.int64) for words in split]
-        self.index = defaultdict(list)
+        if short := [n for n, ids in zip(self.names, self.templates) if len(ids) < SHINGLE]:
+            raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+        self.index, always = defaultdict(list), set()
         for t, ids in enumerate(self.templates):
             hashes = self.hashes(ids)
-            for at in winnow(hashes).tolist():
+            # A template below the winnowing guarantee is looked up at every place.
+            short = len(hashes) < WINDOW
+            for at in range(len(hashes)) if short else winnow(hashes).tolist():
                 self.index[int(hashes[at])].append((t, at))
-        self.known = np.array(sorted(self.index), np.uint64)
+            always |= set(hashes.tolist()) if short else set()
+        self.known, self.always = (np.array(sorted(keys), np.uint64) for keys in (self.index, always))
 
     @staticmethod
     def hashes(ids: np.ndarray) -> np.ndarray:
@@ -146,6 +189,8 @@ class Scanner:
         hashes = self.hashes(ids)
         places = winnow(hashes)
         places = places[np.isin(hashes[places], self.known)]
+        if len(self.always):
+            places = np.union1d(places, np.flatnonzero(np.isin(hashes, self.always)))
         hits = defaultdict(list)
         for at in places.tolist():
             for t, inside in self.index[int(hashes[at])]:
@@ -192,9 +237,14 @@ SCHEMA = ("doc_id long, license string, coverage double, matched_words int, temp
           "start_char long, end_char long")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE,
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, min_coverage: float = MIN_COVERAGE,
          id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per match: doc_id, license, coverage, matched_words, template_words, start_char, end_char."""
+    """One row per match: doc_id, license, coverage, matched_words, template_words, start_char, end_char.
+
+    Templates are texts by name, or a table whose first two columns are name and text; ``TEMPLATES`` by default.
+    """
+    if isinstance(templates, DataFrame):
+        templates = {row[0]: row[1] for row in templates.collect()}
     templates = TEMPLATES if templates is None else templates
 
     def run(batches):

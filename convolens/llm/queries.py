@@ -89,7 +89,7 @@ def op5(spark, folder):
 
 @query("op7_license_scan")
 def op7(spark, folder):
-    return licenses.scan(table(spark, folder, "documents"))
+    return licenses.scan(table(spark, folder, "documents"), {**licenses.TEMPLATES, **licenses.FAMILIES})
 
 
 @query("op6_language_model")

@@ -75,6 +75,20 @@ def test_back_to_back_repeats_by_brute_force():
     assert [m[0] for m in scanner.scan(long.encode())] == ["MIT"] * 5_000
 
 
+def test_families_and_templates_as_a_table(spark):
+    families = ["AGPL-3.0-header", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "EPL-2.0", "GPL-3.0-header", "LGPL-2.1-header", "Unlicense"]
+    every = {**licenses.TEMPLATES, **licenses.FAMILIES}
+    frame = spark.createDataFrame([(i, f"x {every[n]} y") for i, n in enumerate(families)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.coverage) for r in licenses.scan(frame, every).collect()) == [
+        (i, n, 1.0) for i, n in enumerate(families)]
+    # A single shingle is found beside any words, also of other templates.
+    table = spark.createDataFrame([*every.items(), *licenses.NOTICES.items()], "name string, text string")
+    docs = [(i, f"{a} All Rights Reserved. {b}") for i, (a, b) in enumerate(
+        (a, b) for a in ("", "x", "the software is") for b in ("", "y", "permission is hereby", "Released under the MIT License."))]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    assert sorted(r.doc_id for r in got if r.license == "All-rights-reserved") == list(range(len(docs)))
+
+
 def test_odd_rows(spark):
     mit = licenses.TEMPLATES["MIT"]
     rows = [(1, None), (2, ""), (3, "no license here"), (4, f"é {mit} x"), (4, f"é {mit} x"), (None, mit.upper()),
