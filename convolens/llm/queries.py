@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from convolens.llm import exact, licenses, mixing, neighbours, packing, pitman_yor, simhash, toxicity, urls, warc
+from convolens.llm import (
+    exact, licenses, mixing, neighbours, packing, pitman_yor, products, simhash, toxicity, urls, warc)
 
 QUERIES: dict = {}
 
@@ -95,3 +96,15 @@ def op7(spark, folder):
 @query("op6_language_model")
 def op6(spark, folder):
     return pitman_yor.score_texts(table(spark, folder, "documents"))
+
+
+@query("op13_top_products", r"""
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+               WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+         s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.w, c.w) AS BIGINT) AS score
+               FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""")
+def op13(spark, folder):
+    return products.top_products(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
