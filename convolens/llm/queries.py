@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convolens.llm import (
-    exact, licenses, mixing, neighbours, packing, pitman_yor, products, simhash, toxicity, urls, warc)
+    divergence, exact, licenses, mixing, neighbours, packing, pitman_yor, products, simhash, toxicity, urls, warc)
 
 QUERIES: dict = {}
 
@@ -108,3 +108,36 @@ def op6(spark, folder):
     SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5""")
 def op13(spark, folder):
     return products.top_products(table(spark, folder, "embeddings"), F.col("id") % 50 == 0)
+
+
+@query("op12_source_divergence", r"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+         o AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+         k AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+         c AS (SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+         v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+         t AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY lang, term),
+         tn AS (SELECT lang, sum(n) AS total FROM t GROUP BY lang),
+         g AS (SELECT DISTINCT lang, source FROM d),
+         gn AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+         p AS (SELECT gn.lang, gn.source, k.term, coalesce(c.n, 0) AS n,
+                      1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)::HUGEINT) // (gn.total + 2 * v.v)::HUGEINT AS p
+               FROM gn JOIN k USING (lang) JOIN v USING (lang)
+               LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = k.term),
+         q AS (SELECT t.lang, t.term, 1 + (1000000000::HUGEINT * (t.n + 2)::HUGEINT) // (tn.total + 2 * v.v)::HUGEINT AS q
+               FROM t JOIN tn USING (lang) JOIN v USING (lang)),
+         s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+               FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+         f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+               FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+               LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+               UNION ALL
+               SELECT p.lang, p.source, 'term', p.term, ((p - q) * (p - q)) // (p + q)
+               FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS n FROM f)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(n AS INTEGER) AS rank
+    FROM r WHERE part = 'pair' OR n <= 10""")
+def op12(spark, folder):
+    return divergence.divergence(table(spark, folder, "documents"))
