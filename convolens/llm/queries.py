@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from convolens.llm import (
-    divergence, exact, licenses, mixing, neighbours, packing, pitman_yor, products, simhash, toxicity, urls, warc)
+    divergence, exact, licenses, mixing, neighbours, packing, pitman_yor, products, repair, simhash,
+    toxicity, urls, warc)
 
 QUERIES: dict = {}
 
@@ -141,3 +142,9 @@ def op13(spark, folder):
     FROM r WHERE part = 'pair' OR n <= 10""")
 def op12(spark, folder):
     return divergence.divergence(table(spark, folder, "documents"))
+
+
+@query("op11_conversation_repair")
+def op11(spark, folder):
+    conversations = table(spark, folder, "conversations")
+    return repair.audit(conversations, repair.damage(conversations))
