@@ -77,15 +77,15 @@ def keywords(query: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
-def tidy_lines(text: Column) -> Column:
-    """The text with every line trimmed and blank lines removed; NULL becomes empty."""
-    breaks = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[{_SPACES}]*\n[{_SPACES}]*", "\n")
-    return strip(breaks)
-
-
 def non_blank_lines(text: Column) -> Column:
     """Trimmed lines without the blank ones; NULL text gives no lines."""
-    return F.filter(F.split(tidy_lines(text), "\n"), lambda line: line != "")
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip)
+    return F.filter(lines, lambda line: line != "")
+
+
+def tidy_lines(text: Column) -> Column:
+    """The text with every line trimmed and blank lines removed; NULL becomes empty."""
+    return F.array_join(non_blank_lines(text), "\n")
 
 
 def excerpt(text: Column, n: int = fixed.EXCERPT_CHARS) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .text import let, strip, tidy_lines
+from .text import let, non_blank_lines, strip, tidy_lines
 
 
 def user_or_system(speaker: Column) -> Column:
@@ -78,7 +78,7 @@ def parse_turns(transcript: Column) -> Column:
 
     Everything after the second colon is text, colons included.
     """
-    lines = F.filter(F.split(tidy_lines(transcript), "\n"), lambda line: line.startswith("Turn "))
+    lines = F.filter(non_blank_lines(transcript), lambda line: line.startswith("Turn "))
     parts = F.filter(F.transform(lines, lambda line: F.split(line, ":", 3)), lambda p: F.size(p) == 3)
 
     def turn(p: Column) -> Column:

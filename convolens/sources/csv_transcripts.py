@@ -5,13 +5,13 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed
 from ..functions.literals import python_list_as_json
 from ..functions.text import let, strip
 from ..functions.turns import label_turn, number_turns, plain_text_episode
-from ..scale import broadcast_if_small, cut
+from .blocks import CSV, CSV_LINES, split_records
 
 _OVERFLOW = "_overflow"
 
@@ -30,28 +30,7 @@ class LoadedTranscripts:
         return loaded.select("total_loaded", errors.scalar().alias("parse_errors"))
 
 
-def _reader(spark: SparkSession, multi_line: bool = True):
-    return spark.read.option("multiLine", multi_line).option("quote", '"').option("escape", '"')
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    """Add ``row_index``, the 0-based position of a row in its file.
-
-    A scan numbers its rows per task; one small count per file block turns that into positions.
-    """
-    tagged = rows.select(
-        "*", F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut(tagged.groupBy("_file", "_block").agg(
-        F.min("_seq").alias("_first"), F.count("*").alias("_n")
-    ))
-    offsets = cut(blocks.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    return tagged.join(broadcast_if_small(offsets), ["_file", "_block"]).withColumn(
-        "row_index", F.col("_seq") - F.col("_first") + F.col("_offset")
-    ).drop("_block", "_seq", "_first", "_offset")
+_CSV_OPTIONS = {"quote": '"', "escape": '"', "multiLine": "true"}
 
 
 def pick(columns: dict[str, Column], names: list[str]) -> Column:
@@ -138,27 +117,33 @@ def with_episode(rows: DataFrame, raw: str = "conversation") -> DataFrame:
 
 
 def transcripts_of_rows(rows: DataFrame, columns: dict[str, Column], broken: Column | None = None,
-                        prefix: Column | None = None) -> LoadedTranscripts:
+                        prefix: Column | None = None, unfinished: Column | None = None) -> LoadedTranscripts:
     """Episodes of raw rows, which have ``row_index`` and, for several files, ``source``.
 
-    ``columns`` maps the names of the header to the cells; ``broken`` marks rows that have too many.
-    A row without an id is named by its position, after ``prefix`` if that is given.
+    ``columns`` maps the names of the header to the cells; ``broken`` marks rows that have too many,
+    ``unfinished`` rows whose last quote never closes. A row without an id is named by its position, after
+    ``prefix`` if that is given.
     """
     kept = [c for c in ("source",) if c in rows.columns]
     own = pick_id(columns, F.col("row_index"))
     if prefix is not None:
         own = F.when(pick(columns, fixed.ID_COLUMNS).isNull(), F.concat_ws("#", prefix, own)).otherwise(own)
+    reason = F.lit(None).cast("string")
+    if broken is not None:
+        reason = F.when(broken, "more cells than columns")
+    if unfinished is not None:
+        reason = F.when(unfinished, "unfinished quote").otherwise(reason)
     picked = rows.select(
-        *kept, "row_index", (F.lit(False) if broken is None else broken).alias("broken"), own.alias("id"),
+        *kept, "row_index", reason.alias("reason"), own.alias("id"),
         pick(columns, fixed.CONVERSATION_COLUMNS).alias("conversation"), pick_domain(columns).alias("domain"),
     )
-    parsed = with_episode(picked.where(~F.col("broken") & (F.coalesce("conversation", F.lit("")) != "")))
+    parsed = with_episode(picked.where("reason is null").drop("reason").where(F.coalesce("conversation", F.lit("")) != ""))
     episodes = parsed.where("error is null").select(
         "id", "text", "text_with_turns", "domain", "turn_count",
         F.struct(*kept, "row_index", "raw_format").alias("metadata"), "turns",
     )
     rejected = (
-        picked.where("broken").select(*kept, "row_index", F.lit("more cells than columns").alias("error"))
+        picked.where("reason is not null").select(*kept, "row_index", F.col("reason").alias("error"))
         .unionByName(parsed.where("error is not null").select(*kept, "row_index", "error"))
     )
     return LoadedTranscripts(episodes, rejected)
@@ -183,15 +168,19 @@ def _headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]
 def _load(spark: SparkSession, paths: str | list[str], names: tuple[str, ...], multi_line: bool,
           several: bool) -> LoadedTranscripts:
     fields = [f"c{i} string" for i in range(len(names))]
-    schema = ", ".join([*fields, f"{_OVERFLOW} string"])
-    rows = _numbered(_reader(spark, multi_line).option("header", True).schema(schema).csv(paths))
+    records, _ = split_records(spark, paths, CSV if multi_line else CSV_LINES)
+    line = F.regexp_replace("text", r"\r?\n\z|\r\z", "")
+    cells = F.from_csv(line, ", ".join([*fields, f"{_OVERFLOW} string"]), _CSV_OPTIONS)
+    rows = records.where("at > 0").select(
+        "file", (F.col("at") - 1).alias("row_index"), "good", cells.alias("cells")).select("file", "row_index", "good", "cells.*")
     columns = {
         name: F.when(~F.col(f"c{i}").isin(fixed.CSV_NULLS), F.col(f"c{i}"))
         for i, name in reversed(list(enumerate(names)))
     }
     if several:
-        rows = rows.withColumnRenamed("_file", "source")
-    return transcripts_of_rows(rows, columns, F.col(_OVERFLOW).isNotNull(), F.col("source") if several else None)
+        rows = rows.withColumnRenamed("file", "source")
+    return transcripts_of_rows(
+        rows, columns, F.col(_OVERFLOW).isNotNull(), F.col("source") if several else None, ~F.col("good"))
 
 
 def load_transcripts(spark: SparkSession, path: str, multi_line: bool = True) -> LoadedTranscripts:
@@ -200,8 +189,10 @@ def load_transcripts(spark: SparkSession, path: str, multi_line: bool = True) ->
     Each file is read by its own header; files of equal headers are scanned together. With several
     files, rows name their file in ``metadata`` and in an id that is their position. Cells missing at
     the end of a row are null; a row with more cells than the header has is malformed, which one
-    column beyond the header shows. Cells that hold line breaks need ``multi_line``, which reads each
-    file in one task; without it large files are split.
+    column beyond the header shows. Cells may hold line breaks, and large files are read by many tasks all
+    the same; a quote that never closes takes the rest of its file, which is rejected as one row. Without
+    ``multi_line`` every line is a row, and those with an odd number of quotes are rejected. Lines end with a
+    line feed, before which a carriage return is dropped.
     """
     headers = _headers(spark, path)
     several = sum(map(len, headers.values())) > 1
