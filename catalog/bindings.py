@@ -187,6 +187,15 @@ VIEWS["doc_turns"] = r"""
   WHERE starts_with(line, 'Turn ') AND regexp_matches(line, '^[^:]*:[^:]*:') AND number IS NOT NULL"""
 
 
+# The same turns as a list in the row of their transcript, which needs no unnesting and no join back.
+TURN_LIST = r"""list_filter(list_transform(list_filter(list_transform(string_split({}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')),
+    lambda x: starts_with(x, 'Turn ') AND regexp_matches(x, '^[^:]*:[^:]*:')), lambda x: struct_pack(
+      number := try_cast(regexp_extract(x, '^Turn\s*([+-]?\d+)\s*:', 1) AS BIGINT),
+      speaker := lower(regexp_extract(x, '^[^:]*:([^:]*):', 1)),
+      words := lower(regexp_replace(regexp_extract(x, '(?s)^[^:]*:[^:]*:(.*)$', 1), '^\s+|\s+$', '', 'g')))),
+    lambda t: t.number IS NOT NULL)"""
+
+
 # --- pairs: every document with one benchmark passage as its query --------------------------
 VIEWS["pairs"] = """
   SELECT r.doc_id, 'Why ' || b.text AS query, r.text_with_turns AS transcript, r.domain

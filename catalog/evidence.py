@@ -11,20 +11,16 @@ from . import bindings as B
 from .normalise import keywords_sql
 from .registry import query
 
-EXACT_VIEWS = ("raw", "split_docs", "rendered", "doc_turns", "pairs", "best_turn")
-B.VIEWS["best_turn"] = f"""
-  SELECT doc_id, min(number) AS agent_turn FROM (
-    SELECT p.doc_id, t.number, t.text, p.k FROM (SELECT doc_id, {keywords_sql('query')} AS k FROM pairs) p
-    JOIN doc_turns t USING (doc_id) WHERE contains(lower(t.speaker), 'agent'))
-  WHERE length(text) > 0 AND len(list_filter(k, lambda w: contains(lower(text), w) OR contains(w, lower(text)))) > 0
-  GROUP BY doc_id"""
+EXACT_VIEWS = ("raw", "split_docs", "rendered", "pairs", "found_turn")
+B.VIEWS["found_turn"] = f"""
+  SELECT doc_id, ts, list_min(list_transform(list_filter(ts, lambda t: contains(t.speaker, 'agent') AND length(t.words) > 0
+           AND len(list_filter(k, lambda w: contains(t.words, w) OR contains(w, t.words))) > 0), lambda t: t.number)) AS agent_turn
+  FROM (SELECT doc_id, {keywords_sql('query')} AS k, {B.TURN_LIST.format('transcript')} AS ts FROM pairs)"""
 EXACT_EVIDENCE = """
-  SELECT p.doc_id, b.agent_turn, c.customer_response_turn,
-         CASE WHEN b.agent_turn IS NULL THEN 'weak' ELSE 'strong' END AS evidence_quality,
-         CASE WHEN b.agent_turn IS NULL THEN 0.0::DOUBLE WHEN c.customer_response_turn IS NULL THEN 0.5 ELSE 1.0 END AS grounding_confidence
-  FROM pairs p LEFT JOIN best_turn b USING (doc_id)
-  LEFT JOIN (SELECT t.doc_id, min(t.number) AS customer_response_turn FROM doc_turns t JOIN best_turn b USING (doc_id)
-             WHERE t.number > b.agent_turn AND contains(lower(t.speaker), 'customer') GROUP BY 1) c USING (doc_id)"""
+  SELECT doc_id, agent_turn, customer_response_turn, CASE WHEN agent_turn IS NULL THEN 'weak' ELSE 'strong' END AS evidence_quality,
+         CASE WHEN agent_turn IS NULL THEN 0.0::DOUBLE WHEN customer_response_turn IS NULL THEN 0.5 ELSE 1.0 END AS grounding_confidence
+  FROM (SELECT doc_id, agent_turn, list_min(list_transform(list_filter(ts, lambda t: t.number > agent_turn
+               AND contains(t.speaker, 'customer')), lambda t: t.number)) AS customer_response_turn FROM found_turn)"""
 
 
 @query("m12_evidence_exact", B.sql(EXACT_EVIDENCE, *EXACT_VIEWS))

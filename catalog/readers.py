@@ -1,9 +1,12 @@
 """Reader queries: raw rows and JSON texts built from the shared tables go through the readers' own code."""
 
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import Window, functions as F
 
-from convolens.sources import json_transcripts as J
-from convolens.sources.csv_transcripts import transcripts_of_rows, with_episode
+from convolens.scale import shared_path
+from convolens.sources import json_transcripts as J, sinks
+from convolens.sources.csv_transcripts import load_transcripts, transcripts_of_rows, with_episode
+from convolens.sources.qa_pairs import load_qa_pairs
 
 from . import bindings as B
 from .registry import query
@@ -113,7 +116,19 @@ def s2(spark, d):
 def s2_rejected(spark, d):
     lines = _turns(spark, d).select(
         F.col("conv_id").alias("source"), F.col("turn").alias("dialog_pos"),
-        F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{"), "turn_json")).otherwise(F.col("turn_json")).alias("value"))
+        F.when(F.col("turn") % 5 == 4, F.concat(F.lit("{"), "turn_json"))
+        .otherwise(F.concat(F.lit('{"turns": ['), "turn_json", F.lit("]}"))).alias("value"))
+    return J.utterances_of_lines(lines).rejected
+
+
+@query("s2_json_strange", """
+SELECT conv_id AS source, turn AS dialog_pos, CASE turn % 3 WHEN 0 THEN 'no turns' WHEN 1 THEN 'no turn' ELSE 'no object' END AS error FROM conversations""")
+def s2_strange(spark, d):
+    """Lines of unknown shapes: a turn alone, a list of numbers as turns, a list."""
+    shape, turn = F.col("turn") % 3, F.col("turn_json")
+    lines = _turns(spark, d).select(
+        F.col("conv_id").alias("source"), F.col("turn").alias("dialog_pos"),
+        F.when(shape == 0, turn).when(shape == 1, F.lit('{"turns": [7]}')).otherwise(F.concat(F.lit("["), turn, F.lit("]"))).alias("value"))
     return J.utterances_of_lines(lines).rejected
 
 
@@ -142,3 +157,83 @@ def f2(spark, d):
         F.col("conv_id").alias("source"), F.to_json(F.struct(turns.alias("Transcript"))).alias("value"))
     found = J.utterances_of_documents(documents).utterances
     return found.groupBy(F.col("source").alias("conv_id")).agg(F.count("*").alias("lines"))
+
+
+# --- scans of files -------------------------------------------------------------------------
+
+def _as_list(batches):
+    """The lines of a task as one JSON list."""
+    first = True
+    for batch in batches:
+        values = [("," if i or not first else "[") + value for i, value in enumerate(batch.column(0).to_pylist())]
+        first = first and not values
+        yield pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if first else "]"]})
+
+
+def _written_lists(spark, values):
+    """A folder of files, each one JSON list."""
+    path = shared_path(spark, "lists")
+    values.select(values.columns[0]).mapInArrow(_as_list, "value string").write.text(path)
+    return path
+
+
+@query("s1_csv_scan", """
+SELECT conv_id || ':' || turn AS id, role AS domain, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text
+FROM conversations WHERE text <> ''""")
+def s1_scan(spark, d):
+    """Turns written as CSV files, line breaks in the cells, and loaded again."""
+    path = shared_path(spark, "csv")
+    rows = B.table(spark, d, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("transcript_id"), F.col("text").alias("conversation"), F.col("role").alias("domain"))
+    rows.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return load_transcripts(spark, path).episodes.select("id", "domain", "text")
+
+
+@query("s3_qa_scan", """
+SELECT text AS query, role AS response, CASE WHEN turn % 5 <> 4 THEN turn / 8.0::DOUBLE END AS confidence, NULL::VARCHAR AS error FROM conversations WHERE turn % 7 <> 6
+UNION ALL SELECT NULL, NULL, NULL, 'no object' FROM conversations WHERE turn % 7 = 6""")
+def s3_scan(spark, d):
+    """Lists of pairs; some confidences are words, and some items are numbers."""
+    turn = F.col("turn")
+    pair = F.to_json(F.struct(F.col("text").alias("query"), F.col("role").alias("response"), (turn / 8).alias("confidence")))
+    odd = F.to_json(F.struct(F.col("text").alias("query"), F.col("role").alias("response"), F.lit("high").alias("confidence")))
+    values = B.table(spark, d, "conversations").select(F.when(turn % 7 == 6, turn.cast("string")).when(turn % 5 == 4, odd).otherwise(pair).alias("value"))
+    loaded = load_qa_pairs(spark, _written_lists(spark, values))
+    pairs = loaded.pairs.select("query", "response", "confidence", F.lit(None).cast("string").alias("error"))
+    return pairs.unionByName(loaded.rejected.select("error"), allowMissingColumns=True)
+
+
+@query("s2_json_scan", f"""
+SELECT 'c' || conv_id || ':' || turn AS conv_id, {_SPEAKER} AS speaker, text FROM conversations WHERE text <> ''""")
+def s2_scan(spark, d):
+    """Lists of dialogues in files."""
+    entry = F.to_json(F.struct(
+        F.concat(F.lit("c"), F.concat_ws(":", "conv_id", "turn")).alias("transcript_id"),
+        F.array(F.struct(F.col("role").alias("speaker"), "text")).alias("turns")))
+    path = _written_lists(spark, B.table(spark, d, "conversations").select(entry.alias("value")))
+    return J.load_utterances(spark, path).utterances.select("conv_id", "speaker", "text")
+
+
+@query("s5_query_file", """SELECT text AS "Query" FROM conversations WHERE text <> ''""")
+def s5(spark, d):
+    """Queries in their file, read back."""
+    path = shared_path(spark, "queries")
+    rows = B.table(spark, d, "conversations").where("text <> ''")
+    sinks.write_queries_csv(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("rank"), F.col("text").alias("query")), path)
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+
+
+@query("s6_metrics_file", """
+SELECT (row_number() OVER (ORDER BY lang) - 1)::VARCHAR AS cluster_id, lang AS label, n AS size, lang || n AS summary, 4 AS clusters_found
+FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""")
+def s6(spark, d):
+    """Cluster metrics in their file, read back."""
+    path = shared_path(spark, "metrics")
+    found = B.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("size"))
+    number = F.row_number().over(Window.orderBy("lang")) - 1       # one row a language
+    clusters = found.select(number.alias("cluster_id"), F.col("lang").alias("action_label"), "size",
+                            F.concat("lang", F.col("size").cast("string")).alias("summary"))
+    sinks.write_metrics_json(clusters, {"clusters_found": 4}, path)
+    read = spark.read.schema("clusters_found int, clusters map<string, struct<label: string, size: bigint, summary: string>>").json(path)
+    return read.select("clusters_found", F.explode("clusters").alias("cluster_id", "c")).select("cluster_id", "c.*", "clusters_found")

@@ -16,7 +16,7 @@ FOLDER = "/root/testdata/sf0.001"
 EAGER = {"m1_embed", "m2_cluster", "m13_analyze", "m14_query_job", "m15_followup_job", "m10_fuse", "a15_profiles"}
 PYTHON = {"m12_evidence", "w3_best_turn", "x3_partial_ratio",
           # Cells that are no JSON are tried as Python literals.
-          "a12_load_stats", "f3_empty_conversation", "p4_python_literal", "p8_row_metadata", "p18_episodes", "s4_rejected_rows"}
+          "a12_load_stats", "f3_empty_conversation", "p4_python_literal", "p8_row_metadata", "p18_episodes", "s1_csv_scan", "s4_rejected_rows"}
 OWN = {n for n in contract.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
 SAMPLE = sorted(OWN - EAGER)[::4] + ["j1_link_qa", "j3_nearest_label", "m12_evidence_exact", "j2_seeds"]
 
