@@ -77,7 +77,7 @@ def ground(pairs: DataFrame, threshold: float = fixed.MATCH_THRESHOLD) -> DataFr
         is_open = F.coalesce(F.col("_exact"), F.lit(0)) == 0
         rows = rows.withColumn("_scores", keyword_scores(
             F.when(is_open, F.coalesce("_words", empty)).otherwise(empty),
-            F.when(is_open, F.coalesce("_texts", empty)).otherwise(empty),
+            F.when(is_open, F.coalesce("_texts", empty)).otherwise(empty), threshold,
         ))
         top = F.array_max("_scores")
         good = passes(top, threshold)
@@ -118,7 +118,7 @@ def best_agent_turns(queries: DataFrame, turns: DataFrame,
         return exact
     scored = (
         asked.join(exact, ["query_id", "conv_id"], "left_anti").join(agent, "conv_id")
-        .withColumn("score", F.get(keyword_scores(F.col("words"), F.array("text")), F.lit(0)))
+        .withColumn("score", F.get(keyword_scores(F.col("words"), F.array("text"), threshold), F.lit(0)))
         .where(passes(F.col("score"), threshold))
     )
     order = F.struct("score", (-F.col("number")).alias("earlier"))

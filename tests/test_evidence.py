@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from convolens.functions import fuzzy
 from convolens.functions.fuzzy import best_scores, partial_ratio
 from convolens.functions.text import keywords
 from convolens.operators import evidence
@@ -52,6 +53,31 @@ def test_best_scores_equal_brute_force():
         assert best_scores(needles, texts) == pytest.approx(expected)
 
 
+def test_scores_from_a_floor_equal_brute_force(monkeypatch):
+    rng = random.Random(11)
+    words = ["refund", "refunds", "cancelled", "customer", "delay", "abab", "aa", "b", "charged", "", "x" * 64, "y" * 70]
+    parts = ["abc", "refun", "surcharge ", "cancel", "é", "d", " the ", "delya", "customre", "x" * 60]
+    rows = [(rng.sample(words, 3) + ["".join(rng.choices("abcdé", k=rng.randint(1, 9)))],
+             ["".join(rng.choices(parts, k=rng.randint(0, 5))) for _ in range(3)]) for _ in range(150)] + [([], ["a"]), (["a"], [])]
+    exact = [[max((brute(n, text) for n in needles), default=0.0) for text in texts] for needles, texts in rows]
+    for floor, cells in ((60, 500_000), (85, 700), (92.5, 500_000), (100, 1)):
+        monkeypatch.setattr(fuzzy, "_FLAT_WINDOWS", cells)
+        for got, expected in zip(fuzzy.scores_from(rows, floor), exact, strict=True):
+            for score, right in zip(got, expected, strict=True):
+                assert score == pytest.approx(right) if right >= floor else score < floor
+
+
+def test_few_windows_reach_the_floor():
+    rng = random.Random(12)
+    text = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(800))
+    needles = ["shoulder", "aeration", "ratioed!", "in other"]
+    jobs = [(needle, text, fuzzy._candidates(fuzzy._pairs(needle), len(text), fuzzy._where(text), 85)) for needle in needles]
+    best, scored = fuzzy.window_scores(jobs, 85), sum(len(windows) for *_, windows in jobs)
+    assert scored < 0.02 * len(needles) * len(text)
+    every = [best_scores([needle], [text])[0] for needle in needles]
+    assert [s if s >= 85 else 0 for s in best] == [s if s >= 85 else 0 for s in every]
+
+
 def test_long_needles_equal_brute_force():
     rng = random.Random(3)
     for size in (62, 63, 64, 90):
