@@ -11,7 +11,7 @@ from convolens.functions.text import ascii_words
 from convolens.functions.turns import plain_text_episode, user_or_system
 from convolens.operators.explode import explode_values
 from convolens.operators.profile import centroids
-from convolens.scale import cut
+from convolens.scale import cut, spread
 
 VIEWS: dict[str, str] = {}
 
@@ -139,7 +139,7 @@ def raw(spark, folder):
             F.when(k == 0, "Customer: ").when(k == 1, "Agent: ").when(k == 2, "  ").otherwise("Support: "), line
         )
 
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents").select("doc_id", "source", "lang", "text")).select(
         "doc_id", "source", "lang",
         F.when(doc % 3 != 0, F.concat(F.lit("D"), doc.cast("string"))).alias("transcript_id"),
         F.when(doc % 5 != 0, F.col("source")).alias("id"),

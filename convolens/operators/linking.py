@@ -103,8 +103,16 @@ def dedupe_queries(linked: DataFrame) -> DataFrame:
 
 
 def link_qas(clusters: DataFrame, qa: DataFrame, inline_rows: int = INLINE_ROWS) -> DataFrame:
-    """Linked pairs per cluster, duplicates of a query removed. Clusters without a pair have no row."""
-    return dedupe_queries(match_pairs(clusters, qa, inline_rows))
+    """Linked pairs per cluster, duplicates of a query removed. Clusters without a pair have no row.
+
+    As ``dedupe_queries``, but only positions are aggregated, which needs no sorting; the pair that
+    stays for a query then fetches its values from ``qa`` by its position.
+    """
+    rest = [c for c in qa.columns if c not in ("query", "qa_pos")]
+    kept = match_pairs(clusters, qa, inline_rows).groupBy("cluster_id", "query").agg(
+        F.min("qa_pos").alias("qa_pos"), F.max("qa_pos").alias("_last"))
+    values = qa.select(F.col("qa_pos").alias("_last"), *rest)
+    return kept.join(values, "_last").select("cluster_id", "qa_pos", "query", *rest)
 
 
 def qa_context(linked: DataFrame, n: int = 3) -> DataFrame:

@@ -98,6 +98,20 @@ def broadcast_if_small(df: DataFrame, budget: int = BROADCAST_BYTES) -> DataFram
     return F.broadcast(df) if footprint(df) <= budget else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to all cores where their scan would leave most idle, else leave them as they are.
+
+    A file with one row group is one task's work however small its splits are. For jobs with heavy work
+    per row, at their beginning. The tasks with rows are counted from the files' footers, and not at all
+    where there are at least as many files as cores.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores:
+        return df
+    busy = df.select(F.spark_partition_id().alias("task")).distinct().count()
+    return df if busy >= cores else df.repartition(cores)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 

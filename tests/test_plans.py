@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from convolens.operators import evidence, linking, profile, topics
+from convolens.scale import spread
 
 ROOT = pathlib.Path(__file__).parent.parent
 FOLDER = "/root/testdata/sf0.001"
@@ -70,6 +71,21 @@ def test_words_and_phrases_are_counted_without_sorting(spark):
         assert "HashAggregate" in text and "SortAggregate(key=[" not in text
 
 
+def test_linked_pairs_are_deduplicated_without_sorting(spark):
+    clusters = spark.createDataFrame([(0, "a", ["b"])], "cluster_id int, action_label string, key_phrases array<string>")
+    qa = spark.range(10).select(F.col("id").alias("qa_pos"), F.lit("a b").alias("query"), F.lit("c").alias("response"))
+    text = plan(linking.link_qas(clusters, qa))
+    assert "HashAggregate(keys=[cluster_id" in text and "SortAggregate(key=[" not in text and "max_by" not in text
+
+
+def test_rows_of_one_group_are_dealt_out(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(1000).repartition(16).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "many"))
+    assert spread(one).select(F.spark_partition_id()).distinct().count() == 8 and spread(many) is many
+    assert sorted(r.id for r in spread(one).collect()) == list(range(1000))
+
+
 def test_every_query_with_sql_has_a_callable():
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
