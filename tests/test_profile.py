@@ -1,6 +1,7 @@
 """Profiles, clustering, seeds, judging and the jobs."""
 
 import json
+import os
 import random
 import sys
 
@@ -247,3 +248,59 @@ def test_tone_reads_all_texts_unless_told(spark):
     lexicon = spark.createDataFrame([("good", 0.5), ("bad", -0.7), ("bad", -0.7)], "word string, polarity double")
     assert profile.tone(df, lexicon).first().tone == "positive"
     assert profile.tone(df, lexicon, 20).first().tone == "negative"
+
+
+def counting_client(folder, broken=()):
+    def factory():
+        def client(prompt, system_prompt=None, **options):
+            with open(f"{folder}/calls", "a") as calls:
+                calls.write(prompt + "\n")
+            if prompt in broken:
+                raise ValueError("no")
+            if prompt == "die" and not os.path.exists(f"{folder}/lives"):
+                os._exit(1)
+            return None if prompt == "silent" else f"{system_prompt}/{prompt}"
+        return client
+    return factory
+
+
+def calls(folder):
+    with open(f"{folder}/calls") as file:
+        return sorted(file.read().split())
+
+
+def test_answers_are_paid_for_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(completion, "_CALLS_A_TASK", 3)
+    log = str(tmp_path / "log")
+    rows = [(i, f"p{i % 20}") for i in range(60)] + [(60, None), (61, "silent"), (62, "bad")]
+    df = spark.createDataFrame(rows, "n int, prompt string").repartition(4)
+    factory = counting_client(str(tmp_path), {"bad"})
+
+    def run(frame, **more):
+        found = completion.complete(frame, "prompt", factory, error="why", system_prompt="s", parallel_calls=2, log=log, **more)
+        assert found.columns == [*frame.columns, "response", "why"]
+        return {r.n: (r.response, r.why) for r in found.collect()}
+
+    expected = {n: (None, "ValueError: no") if p == "bad" else (None if p in (None, "silent") else f"s/{p}", None) for n, p in rows}
+    assert run(df) == expected
+    assert calls(tmp_path) == sorted({p for _, p in rows if p})
+    # A later run asks what is new, and what failed.
+    more = df.union(spark.createDataFrame([(100, "new"), (101, "p3")], "n int, prompt string"))
+    assert run(more) == expected | {100: ("s/new", None), 101: ("s/p3", None)}
+    assert sorted(set(calls(tmp_path)) ^ {p for _, p in rows if p}) == ["new"] and len(calls(tmp_path)) == 22 + 2
+    # Other options are other questions.
+    assert run(df.where("n = 5"), temperature=0.5) == {5: ("s/p5", None)} and len(calls(tmp_path)) == 25
+
+
+def test_a_run_that_breaks_off_keeps_its_answers(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(completion, "_CALLS_A_TASK", 2)
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(40)] + [(40, "die")], "n int, prompt string")
+    factory, log = counting_client(str(tmp_path)), str(tmp_path / "log")
+    with pytest.raises(Exception):
+        completion.complete(df, "prompt", factory, parallel_calls=2, log=log)
+    asked = len(calls(tmp_path))
+    kept = spark.read.parquet(log).count() if (tmp_path / "log").exists() else 0
+    (tmp_path / "lives").touch()
+    found = completion.complete(df, "prompt", factory, parallel_calls=2, log=log)
+    assert {r.n: r.response for r in found.collect()} == {**{i: f"None/p{i}" for i in range(40)}, 40: "None/die"}
+    assert len(calls(tmp_path)) == asked + 41 - kept
