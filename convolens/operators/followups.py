@@ -13,7 +13,7 @@ from ..functions import fixed, prompts, sections
 from .completion import complete
 
 
-def select_concepts(clusters: DataFrame, client_factory: Callable | None = None) -> DataFrame:
+def select_concepts(clusters: DataFrame, client_factory: Callable | None = None, log: str | None = None) -> DataFrame:
     """Add ``concepts``; clusters without topics are not asked and have none."""
     prompt = F.when(
         F.size(F.coalesce("topics", F.array().cast("array<string>"))) > 0,
@@ -21,27 +21,27 @@ def select_concepts(clusters: DataFrame, client_factory: Callable | None = None)
     )
     answered = complete(
         clusters.withColumn("_prompt", prompt), "_prompt", client_factory, "_answer",
-        max_tokens=400, temperature=0.2,
+        log=log, max_tokens=400, temperature=0.2,
     )
     return answered.withColumn("concepts", sections.concept_map(F.col("_answer"))).drop("_prompt", "_answer")
 
 
-def fuse(clusters: DataFrame, client_factory: Callable | None = None) -> DataFrame:
+def fuse(clusters: DataFrame, client_factory: Callable | None = None, log: str | None = None) -> DataFrame:
     """Add ``fused``, the answer as it is."""
     prompt = prompts.fuse(F.col("action_label"), F.col("topics"), F.col("concepts"), F.col("qas"))
     return complete(
         clusters.withColumn("_prompt", prompt), "_prompt", client_factory, "fused",
-        max_tokens=400, temperature=0.2,
+        log=log, max_tokens=400, temperature=0.2,
     ).drop("_prompt")
 
 
 def generate_followups(clusters: DataFrame, client_factory: Callable | None = None,
-                       limit: int = fixed.MAX_FOLLOWUPS) -> DataFrame:
+                       limit: int = fixed.MAX_FOLLOWUPS, log: str | None = None) -> DataFrame:
     """Add ``followups``, the questions parsed from the answer."""
     prompt = prompts.ask_followups(F.col("action_label"), F.col("topics"), F.col("fused"), F.col("qas"))
     answered = complete(
         clusters.withColumn("_prompt", prompt), "_prompt", client_factory, "_answer",
-        max_tokens=400, temperature=0.6,
+        log=log, max_tokens=400, temperature=0.6,
     )
     return answered.withColumn("followups", sections.followups(F.col("_answer"), limit)).drop("_prompt", "_answer")
 

@@ -44,7 +44,7 @@ def first_seeds(seed_rows: DataFrame, max_seeds: int | None = None) -> DataFrame
 
 
 def expand_seeds(seed_rows: DataFrame, client_factory: Callable | None = None,
-                 max_seeds: int | None = None, parallel_calls: int | None = None) -> DataFrame:
+                 max_seeds: int | None = None, parallel_calls: int | None = None, log: str | None = None) -> DataFrame:
     """Lines of the completion of each seed; a seed without one stands for itself.
 
     ``max_seeds`` keeps the first seeds only.
@@ -52,7 +52,7 @@ def expand_seeds(seed_rows: DataFrame, client_factory: Callable | None = None,
     first = first_seeds(seed_rows, max_seeds)
     asked = complete(
         first.withColumn("prompt", prompts.expand_seed(F.col("seed"))),
-        "prompt", client_factory, out="response", parallel_calls=parallel_calls,
+        "prompt", client_factory, out="response", parallel_calls=parallel_calls, log=log,
     )
     lines = lines_or(F.col("response"), F.col("seed"))
     return asked.select(
@@ -74,9 +74,9 @@ def keep_length_band(queries: DataFrame) -> DataFrame:
 
 def generate_queries(clusters: DataFrame, client_factory: Callable | None = None,
                      max_queries: int = fixed.MAX_QUERIES, max_seeds: int | None = None,
-                     parallel_calls: int | None = None) -> DataFrame:
+                     parallel_calls: int | None = None, log: str | None = None) -> DataFrame:
     """Final queries with their rank; ``max_queries`` is their number."""
-    expanded = expand_seeds(seeds(clusters), client_factory, max_seeds, parallel_calls)
+    expanded = expand_seeds(seeds(clusters), client_factory, max_seeds, parallel_calls, log)
     unique = dedupe(expanded, ["cluster_id", "template_pos", "line_pos"])
     top = keep_length_band(unique).orderBy("ordinal").limit(max_queries)
     ranked = top.agg(F.array_sort(F.collect_list(F.struct("ordinal", "query"))).alias("q"))

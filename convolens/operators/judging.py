@@ -42,7 +42,7 @@ def _constant(values: tuple[int, int, int], reason: str) -> Column:
 
 
 def judge(queries: DataFrame, client_factory: Callable | None = None,
-          accept_above: float = fixed.ACCEPT_ABOVE) -> DataFrame:
+          accept_above: float = fixed.ACCEPT_ABOVE, log: str | None = None) -> DataFrame:
     """Scores for rows with ``query``, ``event_type`` and ``context``.
 
     Without a client every query gets the fixed offline scores; an answer that fails or does
@@ -59,7 +59,7 @@ def judge(queries: DataFrame, client_factory: Callable | None = None,
             lambda r: rules.scores_in_range(
                 r["causal_depth"], r["clarity"], r["business_value"], r["aggregate_score"]
             ) & rules.known_decision(r["decision"]) & r["reasoning"].isNotNull(),
-            out="_r", system_prompt=prompts.JUDGE_ROLE,
+            out="_r", system_prompt=prompts.JUDGE_ROLE, log=log,
         )
         given = F.when(
             F.col("_r").isNotNull(),

@@ -63,11 +63,12 @@ def utterance_ids(utterances: DataFrame, max_transcripts: int | None = None) ->
 def run_queries(spark: SparkSession, transcripts: str | DataFrame, output_csv: str | None = None,
                 output_metrics: str | None = None, max_transcripts: int | None = None,
                 domain: str | None = None, client_factory: Callable | None = None,
-                lines: bool = False, **analysis) -> DataFrame:
+                lines: bool = False, answer_log: str | None = None, **analysis) -> DataFrame:
     """Transcripts -> clusters -> queries (``rank, query``), with optional CSV and metrics files.
 
     ``transcripts`` is a path of JSON documents, of JSON Lines with ``lines``, or an utterance
-    DataFrame in their form. The metrics count documents and lines that could not be read.
+    DataFrame in their form. The metrics count documents and lines that could not be read. Answers that
+    the folder ``answer_log`` holds are not asked for again.
     """
     started = datetime.now(timezone.utc)
     rejected = None
@@ -78,7 +79,7 @@ def run_queries(spark: SparkSession, transcripts: str | DataFrame, output_csv: s
     if utterances.isEmpty():
         return spark.createDataFrame([], "rank int, query string")
     clusters = cut(analyze(utterances, **analysis))
-    queries = cut(generation.generate_queries(clusters, client_factory))
+    queries = cut(generation.generate_queries(clusters, client_factory, log=answer_log))
     if output_csv:
         sinks.write_queries_csv(queries, output_csv)
     if output_metrics:
@@ -105,8 +106,11 @@ def cluster_topics(clusters: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def run_followups(clusters: DataFrame, qa: DataFrame, client_factory: Callable | None = None,
-                  output_csv: str | None = None) -> DataFrame:
-    """Clusters and pairs -> topics, concepts, fused text and follow-up questions per cluster."""
+                  output_csv: str | None = None, answer_log: str | None = None) -> DataFrame:
+    """Clusters and pairs -> topics, concepts, fused text and follow-up questions per cluster.
+
+    Answers that the folder ``answer_log`` holds are not asked for again.
+    """
     clusters = cut(clusters)
     linked = cut(linking.link_qas(clusters, qa))
     none = F.array().cast("array<string>")
@@ -116,23 +120,25 @@ def run_followups(clusters: DataFrame, qa: DataFrame, client_factory: Callable |
         .join(linking.qa_context(linked), "cluster_id", "left")
         .withColumn("topics", F.coalesce("topics", none))
     )
-    enriched = followups.select_concepts(cut(rows), client_factory)
-    enriched = followups.fuse(enriched, client_factory)
-    enriched = followups.generate_followups(enriched, client_factory)
+    enriched = followups.select_concepts(cut(rows), client_factory, answer_log)
+    enriched = followups.fuse(enriched, client_factory, answer_log)
+    enriched = followups.generate_followups(enriched, client_factory, log=answer_log)
+    if answer_log:
+        enriched = cut(enriched)
     if output_csv:
         sinks.write_followups_csv(enriched, output_csv)
     return enriched
 
 
 def run_report(queries: DataFrame, episodes: DataFrame, client_factory: Callable | None = None,
-               threshold: float = fixed.MATCH_THRESHOLD) -> DataFrame:
+               threshold: float = fixed.MATCH_THRESHOLD, answer_log: str | None = None) -> DataFrame:
     """Queries (``query_id, transcript_id, query, complexity_level, lehnert_category``) and their
     episodes -> report rows with scores and evidence.
 
     One join brings a query and its episode together; evidence and scores are added to that row. A
     query without an episode stays, with weak evidence. Without ``event_type`` the event follows from
     the episode's domain. Queries that carry ``causal_trigger`` and ``causal_outcome`` are checked by
-    the rules, and those that break one are left out.
+    the rules, and those that break one are left out. Scores that ``answer_log`` holds are not asked for again.
     """
     if {"causal_trigger", "causal_outcome"} <= set(queries.columns):
         queries = judging.check_queries(queries).where("valid").drop("violations", "valid")
@@ -146,4 +152,4 @@ def run_report(queries: DataFrame, episodes: DataFrame, client_factory: Callable
         domain = F.col("_domain") if about else F.lit(None).cast("string")
         rows = rows.withColumn("event_type", event_of_domain(domain))
     found = evidence.ground(rows, threshold).drop("transcript", "score", "transcript_id", "_domain")
-    return judging.report_rows(judging.judge(found, client_factory))
+    return judging.report_rows(judging.judge(found, client_factory, log=answer_log))

@@ -167,6 +167,15 @@ def test_followup_job(spark, qa, clusters, tmp_path):
         ("0", "parcel_damage", "2", "How many calls follow?", "impact", "parcel_damage, damaged, parcel")]
 
 
+def test_followup_job_pays_once(spark, qa, clusters, tmp_path):
+    register_pickle_by_value(sys.modules[__name__])
+    log = str(tmp_path / "answers")
+    expected = sorted(map(str, run_followups(clusters, qa, fake_client).collect()))
+    for _ in range(2):
+        assert sorted(map(str, run_followups(clusters, qa, fake_client, answer_log=log).collect())) == expected
+        assert spark.read.parquet(log).count() == 6
+
+
 def test_followup_job_without_client(spark, qa, clusters):
     got = run_followups(clusters, qa).collect()
     assert all(r.followups == [] and r.fused is None for r in got)
