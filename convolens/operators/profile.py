@@ -87,11 +87,12 @@ def tone(utterances: DataFrame, lexicon: DataFrame, sample: int | None = None) -
     """Mean polarity of a cluster's texts, or of its first ``sample``, and the tone it stands for.
 
     ``lexicon`` has ``word`` and ``polarity``; of a repeated word the mean counts. A text scores the
-    mean of its known words, 0 when it has none.
+    mean of its known words, 0 when it has none. A lexicon of measured size is looked up where the
+    text lies, and one row a text is shuffled; beyond that size words meet it by a shuffle.
     """
     texts = utterances.select("cluster", "id", "text")
     first = texts if sample is None else first_rows(texts, "cluster", "id", sample)
-    lexicon = lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))
+    lexicon = broadcast_if_small(cut(lexicon.groupBy("word").agg(F.avg("polarity").alias("polarity"))))
     hits = (
         first.select("cluster", "id", F.explode_outer(unicode_words(F.col("text"))).alias("word"))
         .join(lexicon.select("word", "polarity"), "word", "left")

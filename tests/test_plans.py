@@ -78,6 +78,16 @@ def test_linked_pairs_are_deduplicated_without_sorting(spark):
     assert "HashAggregate(keys=[cluster_id" in text and "SortAggregate(key=[" not in text and "max_by" not in text
 
 
+def test_words_of_a_text_are_looked_up_where_it_lies(spark):
+    texts = spark.range(10).repartition(4).select((F.col("id") % 2).alias("cluster"), "id", F.lit("good bad day").alias("text"))
+    lexicon = spark.createDataFrame([("good", 0.5), ("bad", -0.25)], "word string, polarity double")
+    text = plan(profile.tone(texts, lexicon))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    # Below the exchange by text only the partial means of a task's own words are made.
+    assert text.count("Exchange hashpartitioning") == 2 and "hashpartitioning(word" not in text
+    assert [round(r.polarity, 3) for r in profile.tone(texts, lexicon).collect()] == [0.125, 0.125]
+
+
 def test_rows_of_one_group_are_dealt_out(spark, tmp_path):
     spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "one"))
     spark.range(1000).repartition(16).write.parquet(str(tmp_path / "many"))
