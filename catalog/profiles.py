@@ -238,11 +238,41 @@ def m2(spark, d):
     return cluster(rows).groupBy("cluster").agg(F.count("*").alias("n"))
 
 
+@query("m2_one_cluster", "SELECT vec_id AS id, 0 AS cluster FROM embeddings")
+def m2_one(spark, d):
+    """With one cluster there is one answer."""
+    rows = B.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return cluster(rows, k=1, restarts=2).select("id", "cluster")
+
+
+@query("m2_numbering", "SELECT count(*) AS points, count(DISTINCT vec_id) AS ids, 4 AS clusters, TRUE AS falling FROM embeddings")
+def m2_numbering(spark, d):
+    """Every point is in one cluster, and clusters are numbered by falling size."""
+    rows = B.table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    sizes = cluster(rows, k=4, restarts=2).groupBy("cluster").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    found = sizes.agg(F.sum("n").alias("points"), F.sum("ids").alias("ids"), F.max("cluster").alias("last"),
+                      F.array_sort(F.collect_list(F.struct("cluster", "n"))).alias("c"))
+    falling = F.forall(F.transform("c", lambda c, i: F.coalesce(F.get(F.col("c"), i + 1)["n"] <= c["n"], F.lit(True))), lambda x: x)
+    return found.select("points", "ids", (F.col("last") + 1).alias("clusters"), falling.alias("falling"))
+
+
+def _spoken(spark, d):
+    return B.table(spark, d, "conversations").select(
+        F.struct("conv_id", "turn").alias("id"), "text", F.when(F.col("role") == "user", "user").otherwise("system").alias("speaker"))
+
+
 @query("m13_analyze")
 def m13(spark, d):
-    rows = B.table(spark, d, "conversations").select(
-        F.struct("conv_id", "turn").alias("id"), "text", F.when(F.col("role") == "user", "user").otherwise("system").alias("speaker"))
-    return jobs.analyze(rows, lexicon=B.lexicon(spark)).drop("centroid", "exemplars")
+    return jobs.analyze(_spoken(spark, d), lexicon=B.lexicon(spark)).drop("centroid", "exemplars")
+
+
+@query("m13_one_cluster", """
+SELECT 0 AS cluster_id, count(*) AS size, count(*) FILTER (WHERE role = 'user') AS users, count(*) FILTER (WHERE role <> 'user') AS systems FROM conversations""")
+def m13_one(spark, d):
+    """The profile of all utterances as one cluster."""
+    found = jobs.analyze(_spoken(spark, d), lexicon=B.lexicon(spark), k=1, restarts=1)
+    spoken = F.col("speaker_distribution")
+    return found.select("cluster_id", "size", spoken["user"].alias("users"), spoken["system"].alias("systems"))
 
 
 @query("m14_query_job")

@@ -55,6 +55,8 @@ def cluster(rows: DataFrame, k: int | None = None, seed: int = 42, restarts: int
     equal numbers.
     """
     k = cluster_count(rows) if k is None else k
+    if k == 1:
+        return rows.withColumn("cluster", F.lit(0))
     points = rows.withColumn("_features", array_to_vector(F.col("embedding")))
     trained = points.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -14,7 +14,7 @@ from convolens.scale import spread
 ROOT = pathlib.Path(__file__).parent.parent
 FOLDER = "/root/testdata/sf0.001"
 # Queries that start jobs of model training or completion before they return.
-EAGER = {"m1_embed", "m2_cluster", "m13_analyze", "m14_query_job", "m15_followup_job", "m10_fuse", "a15_profiles"}
+EAGER = {"m1_embed", "m2_cluster", "m2_numbering", "m2_one_cluster", "m13_analyze", "m13_one_cluster", "m14_query_job", "m15_followup_job", "m10_fuse", "a15_profiles"}
 PYTHON = {"m12_evidence", "w3_best_turn", "x3_partial_ratio",
           # Cells that are no JSON are tried as Python literals.
           "a12_load_stats", "f3_empty_conversation", "p4_python_literal", "p8_row_metadata", "p18_episodes", "s1_csv_scan", "s4_rejected_rows"}

@@ -250,6 +250,12 @@ def test_tone_reads_all_texts_unless_told(spark):
     assert profile.tone(df, lexicon, 20).first().tone == "negative"
 
 
+def test_one_row_is_one_cluster(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<float>")
+    assert [(r.id, r.cluster) for r in embedding.cluster(rows).collect()] == [(1, 0)]
+    assert embedding.cluster(rows.limit(0)).count() == 0
+
+
 def counting_client(folder, broken=()):
     def factory():
         def client(prompt, system_prompt=None, **options):
