@@ -1,11 +1,17 @@
 """Toxic texts by a weighted finite-state grammar of clauses.
 
-Words become symbols (insult, threat, target, negation, report, other). Small transducers mark what
-stands around a match: the negation transducer marks matches shortly after a negation, the report
-transducer those after a verb of speech, the target transducer those aimed at somebody and turns a
-threat followed by a target into a match. Composed into one machine they read each clause once. A match
-weighs its word's weight times the scale of its context; a text's evidence is the sum over its distinct
-words of their heaviest match, and the score its logistic value.
+Words and punctuation become symbols (insult, threat, target, negation, report, other; break, quote, end).
+Small transducers mark what stands around a match: the negation transducer marks matches shortly after a
+negation, words set off by commas right behind it not counted; the report transducer those after a verb of
+speech, to the end of the sentence or, behind a quotation mark, of the quotation; the target transducer those
+aimed at somebody in the same clause, and it turns a threat followed by a target into a match. Composed into
+one machine they read each line once, clause after clause. A speech verb behind its quotation is not seen.
+
+A match weighs its word's weight, at most ``WEIGHT_MOST``, times the scale of its context. Evidence sums over
+the clauses of a text: aimed and direct matches add up over distinct clauses; any other match of a word counts
+once, in the heaviest clause, with at most ``lone``, which is under the bias. So a lone word does not decide,
+unless labelled texts with nothing but one such word are toxic: ``lone`` is learned from these. The score is
+the evidence's logistic value.
 
 Weights come from labelled rows: a term (word or word beginning) is an insult if its share of toxic
 texts is significantly over the average, its weight the log odds of that share. Context scales start at
@@ -44,6 +50,9 @@ SEED_WEIGHT = 4.0
 BIAS = -3.5
 MIN_WEIGHT = 2.0
 NEGATION_SCOPE = 3
+WEIGHT_MOST = 6.0
+LONE_MOST = 3.0
+AIMED = "+"
 SCALES = {"": 1.0, "+": 1.2, "-": 0.3, "~": 0.5, "+-": 0.3, "+~": 0.5, "-~": 0.2, "+-~": 0.2}
 PRIOR_DOCUMENTS = 10
 MAX_ROWS = 50_000
@@ -51,37 +60,47 @@ MAX_TERMS = 50_000
 FLUSH = 200_000
 
 WORDS = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:,\n\r()\[\]\"]+")
+LINES = re.compile(r"[\n\r]+")
+PARTS = re.compile(r"([^\W\d_]+)|([.!?;]+)|([\"“”„«»])|[:,()\[\]]+")
 MATCHES = ("insult", "threat")
-SYMBOLS = ("insult", "threat", "target", "negation", "report", "other")
+PUNCTUATION = ("break", "quote", "end")
+SYMBOLS = ("insult", "threat", "target", "negation", "report", "other", *PUNCTUATION)
 
 
 # Transducers: {(state, symbol): (next state, symbol out)}, from state 0; a missing arc copies the symbol.
 
 def negation_transducer(scope: int = NEGATION_SCOPE) -> dict:
+    """States: how many more words are in scope, or "aside" from a break right behind the negation to the next break."""
     arcs = {}
     for state, symbol in product(range(scope + 1), SYMBOLS):
         after = scope if symbol == "negation" else max(0, state - 1)
         arcs[state, symbol] = (after, symbol + "-" if state and symbol in MATCHES else symbol)
+        if symbol in PUNCTUATION:
+            arcs[state, symbol] = (0 if symbol == "end" else state, symbol)
+    arcs[scope, "break"] = ("aside", "break")
+    arcs |= {("aside", "break"): (scope, "break"), ("aside", "end"): (0, "end"), ("aside", "negation"): (scope, "negation")}
     return arcs
 
 
 def report_transducer() -> dict:
+    """States: 0 direct, 1 reported to the end of the sentence, 2 to the end of the quotation, 3 in one without a report."""
     arcs = {}
-    for state, symbol in product((0, 1), SYMBOLS + tuple(m + "-" for m in MATCHES)):
-        marked = state and symbol.startswith(MATCHES)
-        arcs[state, symbol] = (1 if symbol == "report" else state, symbol + "~" if marked else symbol)
+    for state, symbol in product(range(4), SYMBOLS + tuple(m + "-" for m in MATCHES)):
+        marked = state in (1, 2) and symbol.startswith(MATCHES)
+        arcs[state, symbol] = (state, symbol + "~" if marked else symbol)
+    arcs |= {(0, "report"): (1, "report"), (1, "end"): (0, "end")}
+    arcs |= {(state, "quote"): (after, "quote") for state, after in enumerate((3, 2, 0, 0))}
     return arcs
 
 
 def target_transducer() -> dict:
-    """States: 0 nothing, 1 target seen, and ("threat", marks) while a threat waits for its target."""
+    """States: 0 nothing, 1 target seen in this clause, and ("threat", marks) while a threat waits for its target."""
     marks = ("", "-", "~", "-~")
     arcs = {}
     for state in (0, 1, *(("threat", m) for m in marks)):
         waits = isinstance(state, tuple)
         for symbol in SYMBOLS:
-            arcs[state, symbol] = (state, symbol)
+            arcs[state, symbol] = (0 if symbol in PUNCTUATION else state, symbol)
         arcs[state, "target"] = (1, "threat+" + state[1]) if waits else (1, "target")
         for m in marks:
             arcs[state, "insult" + m] = (state, ("insult+" if state == 1 else "insult") + m)
@@ -114,10 +133,11 @@ def terms(word: str) -> list[str]:
 
 
 class Scorer:
-    """Reads texts with the composed machine. ``weights``: of terms; ``scales``: of contexts."""
+    """Reads texts with the composed machine. ``weights``: of terms; ``scales``: of contexts; ``lone``: the most that
+    matches of one word give that are not aimed and direct."""
 
-    def __init__(self, weights: dict[str, float], scales: dict[str, float] = SCALES, bias: float = BIAS):
-        self.weights, self.scales, self.bias, self.arcs = weights, scales, bias, grammar()
+    def __init__(self, weights: dict[str, float], scales: dict[str, float] = SCALES, bias: float = BIAS, lone: float = LONE_MOST):
+        self.weights, self.scales, self.bias, self.lone, self.arcs = weights, scales, bias, lone, grammar()
         self.symbols = {w: s for s in ("threat", "target", "negation", "report") for w in SEEDS[s]}
 
     def weight(self, word: str) -> float:
@@ -129,27 +149,51 @@ class Scorer:
         heavy = {w: v for w in set(WORDS.findall(lowered)) if (v := self.weight(w)) or self.symbols.get(w) == "threat"}
         if not heavy:
             return
-        for clause in CLAUSE.split(lowered):
-            state = 0
-            threat = ""
-            for word in WORDS.findall(clause):
-                symbol = "insult" if heavy.get(word) else self.symbols.get(word, "other")
-                state, out = self.arcs[state, symbol]
-                if symbol == "threat":
-                    threat = word
-                if out.startswith("insult"):
-                    yield clause, word, out[6:], heavy[word]
-                elif out.startswith("threat"):
-                    yield clause, threat, out[6:], SEED_WEIGHT
+        for line in LINES.split(lowered):
+            if not heavy.keys().isdisjoint(WORDS.findall(line)):
+                yield from self._line(line, heavy)
+
+    def _line(self, line: str, heavy: dict[str, float]):
+        state, threat, start, found = 0, "", 0, []
+        for part in PARTS.finditer(line):
+            word, end, quote = part.groups()
+            if word is None:
+                state, _ = self.arcs[state, "end" if end else "quote" if quote else "break"]
+                for match in found:
+                    yield line[start:part.start()].strip(), *match
+                start, found = part.end(), []
+                continue
+            symbol = "insult" if heavy.get(word) else self.symbols.get(word, "other")
+            state, out = self.arcs[state, symbol]
+            if symbol == "threat":
+                threat = word
+            if out.startswith("insult"):
+                found.append((word, out[6:], heavy[word]))
+            elif out.startswith("threat"):
+                found.append((threat, out[6:], SEED_WEIGHT))
+        for match in found:
+            yield line[start:].strip(), *match
+
+    def clauses(self, text: str) -> dict[str, float]:
+        """The matched clauses of a text and what each gives."""
+        aimed, other = {}, {}
+        for clause, word, context, weight in self.matches(text):
+            value = min(weight, WEIGHT_MOST) * self.scales[context]
+            if context == AIMED:
+                aimed[clause, word] = value
+            elif (value := min(value, self.lone)) > other.get(word, ("", -1.0))[1]:
+                other[word] = clause, value
+        direct, out = {word for _, word in aimed}, defaultdict(float)
+        for (clause, _), value in aimed.items():
+            out[clause] += value
+        for word, (clause, value) in other.items():
+            out[clause] += 0.0 if word in direct else value
+        return out
 
     def score(self, text: str) -> tuple[float, int, str | None]:
         """Score, number of matched clauses, the heaviest of them."""
-        best, clauses = {}, {}
-        for clause, word, context, weight in self.matches(text):
-            value = weight * self.scales[context]
-            best[word] = max(best.get(word, 0.0), value)
-            clauses[clause] = clauses.get(clause, 0.0) + value
-        evidence = self.bias + sum(best[w] for w in sorted(best))
+        clauses = self.clauses(text)
+        evidence = self.bias + math.fsum(clauses.values())
         top = max(sorted(clauses), key=clauses.get) if clauses else None
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, evidence)))), len(clauses), top
 
@@ -209,41 +253,50 @@ def learn_terms(rows: DataFrame, max_terms: int = MAX_TERMS) -> dict[str, float]
     return seeds | {r.term: float(r.weight) for r in chosen}
 
 
-def learn_scales(rows: DataFrame, weights: dict[str, float]) -> dict[str, float]:
-    """Context scales: defaults, moved by how toxic the labelled texts with such matches are."""
+def learn_scales(rows: DataFrame, weights: dict[str, float], bias: float = BIAS) -> tuple[dict[str, float], float]:
+    """Context scales and ``lone``: defaults, moved by how toxic the labelled texts with such matches are."""
     sent = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
         scorer = Scorer(sent.value)
-        return _counted(batches, lambda text: {context for _, _, context, _ in scorer.matches(text)})
+
+        def found(text):
+            seen = {(word, context) for _, word, context, _ in scorer.matches(text)}
+            return {context for _, context in seen} | ({"lone"} if len(seen) == 1 and AIMED not in next(iter(seen))[1] else set())
+        return _counted(batches, found)
 
     counts = {r.term: (r.t, r.n) for r in rows.mapInArrow(run, "term string, toxic long, clean long")
               .groupBy("term").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("n")).collect()}
+    t, n = counts.pop("lone", (0, 0))
+    # The evidence that gives the score which these texts deserve.
+    deserved = max(0.0, math.log((t + 1) / (n + 1)) - bias)
+    lone = (PRIOR_DOCUMENTS * LONE_MOST + (t + n) * deserved) / (PRIOR_DOCUMENTS + t + n)
     odds = {c: math.log((t + 1) / (n + 1)) for c, (t, n) in counts.items()}
     plain = odds.get("", 0.0)
     scales = dict(SCALES)
     if plain <= 0:
-        return scales
+        return scales, lone
     for context, (t, n) in counts.items():
         if context:
             # With few texts the odds cannot reach those of the plain context; compare at equal counts.
             like = min(plain, math.log(t + n + 1))
             seen = min(1.5, max(0.1, odds[context] / like)) if like > 0 else SCALES[context]
             scales[context] = (PRIOR_DOCUMENTS * SCALES[context] + (t + n) * seen) / (PRIOR_DOCUMENTS + t + n)
-    return scales
+    return scales, lone
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Scorer:
     bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, max_rows)
     weights = learn_terms(rows, max_terms)
-    return Scorer(weights, learn_scales(rows, weights))
+    scales, lone = learn_scales(rows, weights)
+    return Scorer(weights, scales, lone=lone)
 
 
 def judged(spark, scorer: Scorer, text: str | Column) -> Column:
     """struct(score, clauses, clause) of a text column."""
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast((scorer.weights, scorer.scales, scorer.bias))
+    sent = spark.sparkContext.broadcast((scorer.weights, scorer.scales, scorer.bias, scorer.lone))
     kept = []
 
     @F.pandas_udf("score double, clauses int, clause string")

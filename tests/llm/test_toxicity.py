@@ -1,3 +1,5 @@
+import math
+import random
 import zlib
 
 import pytest
@@ -26,6 +28,67 @@ def test_machine_marks_contexts():
     assert contexts("") == []
 
 
+def test_contexts_cross_punctuation():
+    assert contexts('he said: "you idiot"') == [("idiot", "+~")]
+    assert contexts("she claimed, you are an idiot") == [("idiot", "+~")]
+    assert contexts('he said: "fool me. you idiot" but you idiot') == [("idiot", "+~"), ("idiot", "+")]
+    assert contexts('he said: "never\nyou idiot') == [("idiot", "+")]
+    assert contexts("he said so. you idiot") == [("idiot", "+")]
+    assert contexts('the "idiot" box') == [("idiot", "")]
+    assert contexts("not, in any way, an idiot") == [("idiot", "-")]
+    assert contexts("not an, idiot") == [("idiot", "-")]
+    assert contexts("no, you idiot") == [("idiot", "+")]
+    assert contexts("you may, idiot") == [("idiot", "")]
+    assert contexts("i would not kill. you idiot") == [("idiot", "+")]
+
+
+@pytest.mark.parametrize("weight", [5.0, 50.0])
+def test_only_clauses_decide(weight):
+    scorer = toxicity.Scorer({"idiot": weight, "moron": weight})
+    for text in ("somebody said what an idiot", 'he said: "you idiot"', "she claimed, you are an idiot", "not, in any way, an idiot",
+                 "idiot", "the word idiot is a noun", "idiot, idiot. idiot", ""):
+        assert scorer.score(text)[0] < 0.5, text
+    for text in ("you are an idiot", "idiot moron", "an idiot. a moron", "he is here. you idiot, you moron", "no, you idiot"):
+        assert scorer.score(text)[0] > 0.5, text
+
+
+def plain_evidence(scorer, text):
+    """What the clauses give, by one list of all matches."""
+    found = [(c, w, x, min(v, toxicity.WEIGHT_MOST) * scorer.scales[x]) for c, w, x, v in scorer.matches(text)]
+    total = sum(v for c, w, v in {(c, w, v) for c, w, x, v in found if x == "+"})
+    for word in {w for _, w, _, _ in found} - {w for _, w, x, _ in found if x == "+"}:
+        total += min(scorer.lone, max(v for _, w, _, v in found if w == word))
+    return total
+
+
+def test_scores_equal_plain_sums():
+    rng = random.Random(5)
+    parts = ["idiot", "moron", "kill", "you", "not", "said", "word", ",", ".", '"', "\n", ":"]
+    scorer = toxicity.Scorer({"idiot": 5.0, "moron": 3.0})
+    for _ in range(3000):
+        text = " ".join(rng.choices(parts, k=rng.randint(0, 14)))
+        score, clauses, top = scorer.score(text)
+        assert score == pytest.approx(1 / (1 + math.exp(3.5 - plain_evidence(scorer, text))))
+        assert (clauses > 0) == (top is not None) and (top is None or top in text)
+
+
+def test_lone_words_decide_where_labels_say_so(spark):
+    def learned(label):
+        docs = spark.createDataFrame([(i, f"grumpf word{i}", "x", "s", "j") for i in range(1, 200)], SCHEMA)
+        rows = docs.selectExpr("text", f"{label} AS toxic")
+        return toxicity.learn_scales(rows, {"grumpf": 5.0})[1]
+    assert learned("1") > -toxicity.BIAS > learned("cast(doc_id % 2 as int)") > learned("0")
+
+
+def test_result_names_in_the_table(spark):
+    docs = spark.createDataFrame([(1, "you idiot", 7, True, "j"), (2, None, None, None, None)],
+                                 "doc_id long, text string, score long, held_out boolean, predicted string")
+    scorer = toxicity.Scorer({"idiot": 5.0})
+    assert [(r.doc_id, r.predicted) for r in toxicity.score_documents(docs, scorer).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
+    left = toxicity.reject_toxic(docs, scorer)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [2]
+
+
 def test_composition_equals_running_in_turn():
     import itertools
     parts = [toxicity.negation_transducer(), toxicity.report_transducer(), toxicity.target_transducer()]
