@@ -6,7 +6,8 @@ canonical-link and redirect edges. Such a page is blocked if a rule blocks a mem
 a rule explicitly allows another member; allowing goes first. DataFrame functions only.
 
 A page is known by its address without scheme and fragment, so that an alias may be a page of the table
-or only the target of a link; targets are judged by the rules as well. Rules are a list that becomes one
+or only the target of a link; targets are judged by the rules as well. References are resolved against the page's
+address or its first base tag, dot segments removed; other schemes than those with "://" lead nowhere. Rules are a list that becomes one
 expression, so it must be of a size that a query plan holds.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no rule, and is allowed;
@@ -33,9 +34,22 @@ TAGS = r"(?is)<(?:link|meta)\s[^>]*>"
 CANONICAL = r"(?is)\srel\s*=\s*[\"']?(?:[^\"'>]*\s)?canonical[\s\"'/>]"
 HREF = r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 REFRESH = r"(?is)\shttp-equiv\s*=\s*[\"']?refresh[\s\"'/>]"
+BASE = r"(?is)<base\s[^>]*>"
+OTHER_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?!//)"
+# The characters that may be written as entities in an address, the ampersand last.
+ENTITIES = {
+    '"': "(?i)&(quot|#34|#x22);", "'": "(?i)&(apos|#39|#x27);", "<": "(?i)&(lt|#60|#x3C);", ">": "(?i)&(gt|#62|#x3E);",
+    "/": "(?i)&(sol|#47|#x2F);", ":": "(?i)&(colon|#58|#x3A);", "=": "(?i)&(equals|#61|#x3D);", "?": "(?i)&(quest|#63|#x3F);",
+    "#": "(?i)&(num|#35|#x23);", ".": "(?i)&(period|#46|#x2E);", "&": "(?i)&(amp|#38|#x26);",
+}
 TARGET = r"(?is)\scontent\s*=\s*[\"']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*[\"']?([^\"'>\s]*)"
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used; plans stay small so."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def after_scheme(url: Column) -> Column:
     """What follows the first "://", null where there is none."""
     return F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
@@ -69,37 +83,74 @@ def decided(host_: Column, path_: Column, rules: list[Rule]) -> tuple[Column, Co
     return rule, verdict
 
 
+def href(tag: Column) -> Column:
+    return F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
+
+
+def decoded(reference: Column) -> Column:
+    def plain(text):
+        out = text
+        for character, entity in ENTITIES.items():
+            out = F.regexp_replace(out, entity, character)
+        return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
+    return once(F.trim(reference), plain)
+
+
 def link_targets(html: Column) -> Column:
     """The references of canonical links and of redirects by meta refresh, as they stand in the page."""
     tags = F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))
+    found = F.transform(tags, lambda tag: decoded(
+        F.when(tag.rlike(CANONICAL), href(tag)).when(tag.rlike(REFRESH), F.regexp_extract(tag, TARGET, 1))))
+    return F.filter(found, lambda t: t.isNotNull() & (t != ""))
 
-    def target(tag):
-        href = F.concat(*(F.regexp_extract(tag, HREF, i) for i in (1, 2, 3)))
-        return F.when(tag.rlike(CANONICAL), href).when(tag.rlike(REFRESH), F.regexp_extract(tag, TARGET, 1))
 
-    found = F.transform(tags, lambda tag: F.replace(F.trim(target(tag)), F.lit("&amp;"), F.lit("&")))
-    return F.filter(found, lambda t: t.isNotNull() & (t != ""))
+def without_dots(path_: Column) -> Column:
+    """A path with its segments "." and ".." carried out; each step undoes all segments that a ".." follows directly."""
+    def climbed(single):
+        steps = F.sequence(F.lit(1), F.regexp_count(single, F.lit(r"/\.\.(?=/)")))
+        undone = F.aggregate(steps, single, lambda p, _: F.when(
+            F.contains(p, F.lit("/../")), F.regexp_replace(p, r"/(?!\.\.?/)[^/]*/\.\.(?=/)", "")).otherwise(p))
+        return F.when(F.contains(single, F.lit("/../")), undone).otherwise(single)
+
+    def tidied(raw):
+        single = F.regexp_replace(F.regexp_replace(raw, r"/(\.\.?)$", "/$1/"), r"(?:/\.)+(?=/)", "")
+        return F.when(F.contains(raw, F.lit("/.")), F.regexp_replace(once(single, climbed), r"^(?:/\.\.)+(?=/)", "")).otherwise(raw)
+
+    return once(path_, tidied)
 
 
 def resolved(rest: Column, reference: Column) -> Column:
-    """The address that a reference in the page of this address leads to."""
-    site = F.regexp_extract(rest, REFERENCE, 1)
-    folder = F.regexp_replace(path(rest), "[^/]*$", "")
-    full = F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), after_scheme(reference)).when(
-        reference.startswith("//"), F.substr(reference, F.lit(3))).when(
-        reference.startswith("/"), F.concat(site, reference)).when(
-        reference.startswith("?"), F.concat(site, path(rest), reference)).when(
-        reference.startswith("#"), rest).otherwise(
-        F.concat(site, F.when(folder == "", "/").otherwise(folder), reference))
-    return address(full)
+    """The address that a reference in the page of this address leads to; null where it is none of a page."""
+    def full(rest, reference):
+        site = F.regexp_extract(rest, REFERENCE, 1)
+        folder = F.regexp_replace(path(rest), "[^/]*$", "")
+        return F.when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), after_scheme(reference)).when(
+            reference.rlike(OTHER_SCHEME), F.lit(None)).when(
+            reference.startswith("//"), F.substr(reference, F.lit(3))).when(
+            reference.startswith("/"), F.concat(site, reference)).when(
+            reference.startswith("?"), F.concat(site, path(rest), reference)).when(
+            reference.startswith("#"), rest).otherwise(
+            F.concat(site, F.when(folder == "", "/").otherwise(folder), reference))
+
+    def tidied(address_):
+        query = F.regexp_extract(address_, r"^[^?#]*(\?[^#]*)?", 1)
+        return F.when(address_.isNotNull(), F.concat(host(address_), without_dots(path(address_)), query))
+
+    return once(once(reference, lambda r: once(rest, lambda p: full(p, r))), tidied)
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Edges (a, b) between addresses: canonical links and redirects found in the pages."""
     rest = after_scheme(F.col("url"))
+    base = decoded(href(F.regexp_extract("html", BASE, 0)))
     told = pages.where(F.col("html").rlike("(?i)canonical|http-equiv") & rest.isNotNull())
-    return told.select(rest.alias("rest"), F.explode(link_targets(F.col("html"))).alias("target")).select(
-        address(F.col("rest")).alias("a"), resolved(F.col("rest"), F.col("target")).alias("b"))
+    return told.select(
+        rest.alias("rest"), once(base, lambda b: F.when(b != "", resolved(rest, b)).otherwise(rest)).alias("base"),
+        F.explode(link_targets(F.col("html"))).alias("target")).select(
+        address(F.col("rest")).alias("a"),
+        # A reference to a place in the page stays in the page.
+        F.when(F.col("target").startswith("#"), address(F.col("rest"))).otherwise(
+            resolved(F.coalesce("base", "rest"), F.col("target"))).alias("b")).where("b IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: list[Rule] = RULES, redirects: DataFrame | None = None) -> DataFrame:

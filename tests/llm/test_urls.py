@@ -63,12 +63,23 @@ PAGES = [
     (20, "http://self.com/a", canonical("#top")), (20, "http://self.com/a", canonical("#top")),
     (None, "http://d.com/p/q", "x" * 200_000), (21, "HTTP://d.com?x=1", "<link href=http://b.net/only data-x='1' rel=canonical>"),
     (22, "http://far.com/1", None), (23, "http://far.com/2", None),
+    (24, "http://dot.com/a/b/c", canonical("../../x/./y/../z/..?q=/../")), (25, "http://dot.com/x/?q=/../", canonical("../../../up.net/./k")),
+    (26, "http://dot.com/a/1", canonical("../../de/../..")), (27, "http://dot.com/", canonical("//example.com/en/.././de/k")),
+    (28, "http://based.com/p/1", "<base target=_top href='http://other.com/de/'>" + canonical("../q")),
+    (29, "http://other.com/q", canonical("http&#58;&#x2F;/b.net&#47;only")),
+    (30, "http://mail.com/1", canonical("mailto:x@b.net")), (31, "http://mail.com/mailto:x@b.net", canonical("http://b.net/")),
+    (32, "http://based.com/p/2", "<base href='/n/'>" + canonical("#top") + canonical("s")), (33, "http://based.com/n/s", canonical("http://b.net/")),
 ]
 LINKS = [
     (PAGES[0][1], "https://b.net/y?q=1&r=2"), (PAGES[2][1], "http://a.com/x"), (PAGES[3][1], "http://d.com/p/r?z=1"),
     (PAGES[4][1], "http://EXAMPLE.com/de/k"), (PAGES[5][1], "http://blog.example.com/de/9"), (PAGES[6][1], "http://e.com/1"),
     (PAGES[7][1], "http://x.example.net/en/ok"), (PAGES[8][1], "http://e.com/2"), ("HTTP://d.com?x=1", "http://b.net/only"),
     ("http://self.com/a", "http://self.com/a"),
+    ("http://dot.com/a/b/c", "http://dot.com/x/?q=/../"), ("http://dot.com/x/?q=/../", "http://dot.com/up.net/k"),
+    ("http://dot.com/a/1", "http://dot.com/"), ("http://dot.com/", "http://example.com/de/k"),
+    ("http://based.com/p/1", "http://other.com/q"), ("http://other.com/q", "http://b.net/only"),
+    ("http://mail.com/mailto:x@b.net", "http://b.net/"), ("http://based.com/p/2", "http://based.com/n/s"),
+    ("http://based.com/n/s", "http://b.net/"),
 ]
 SCHEMA = "page_id long, url string, html string, host string, address int"
 
@@ -96,3 +107,23 @@ def test_empty_and_native(spark):
     assert urls.judge(frame.limit(0)).count() == 0
     plan = urls.judge(frame)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_dot_segments(spark):
+    paths = ["/", "", "/a/./b", "/a/../b", "/a/b/../../c", "/../../a", "/a/..", "/a/.", "/a//../b", "/.../..a/.b", "/a/b/c/../../../../d/..",
+             "/a/.//../b", "/./a/./", "/a/../b/../c/..", "/x/a../b"]
+    frame = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = [r[0] for r in frame.select(urls.without_dots(frame.p)).collect()]
+
+    def slow(path):
+        out = []
+        parts = path.split("/")[1:]
+        for part in parts:
+            if part == "..":
+                out = out[:-1]
+            elif part != ".":
+                out.append(part)
+        if parts and parts[-1] in (".", ".."):
+            out.append("")
+        return "".join("/" + part for part in out)
+    assert got == [slow(p) for p in paths]
