@@ -101,8 +101,10 @@ FAMILIES = {
         "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
         "purpose, commercial or non-commercial, and by any means."),
 }
-# Notices that name no license, for scans that ask for them.
+# Notices that name no license.
 NOTICES = {"All-rights-reserved": "All rights reserved."}
+# What the query looks for.
+EVERY = {**TEMPLATES, **FAMILIES, **NOTICES}
 
 
 def words_of(text: bytes) -> list[bytes]:
