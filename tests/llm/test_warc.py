@@ -1,3 +1,4 @@
+import base64
 import hashlib
 
 import pytest
@@ -68,6 +69,71 @@ def test_broken_records():
             list(warc.frames(bad))
 
 
+def foreign(kind, block, version="WARC/1.0", **fields):
+    fields = {"WARC-Type": kind, "WARC-Record-ID": "<urn:uuid:1f>", "WARC-Date": "2020-01-01T00:00:00Z"} | {
+        n.replace("_", "-"): v for n, v in fields.items()} | {"Content-Length": str(len(block))}
+    return "\r\n".join([version, *(f"{n}: {v}" for n, v in fields.items())]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_records():
+    def sha1(data):
+        return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    http = {"Content_Type": "application/http; msgtype=response"}
+    head = b"HTTP/1.1 200 OK\r\nSet-Cookie: a\r\nno field\r\nX: \xff\r\n\r\n"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    body = b"4;x=1\r\nabcd\r\n2\r\nef\r\n0\r\n\r\n"
+    info = warc.parse_record(foreign("warcinfo", b"software: x\r\n", Content_Type="application/warc-fields"))
+    assert (info["record_type"], info["page_id"], info["payload"]) == ("warcinfo", None, b"software: x\r\n")
+    for kind in ("resource", "metadata", "conversion", "continuation"):
+        assert warc.parse_record(foreign(kind, b"data", "WARC/1.1", WARC_Block_Digest=sha1(b"data")))["payload_bytes"] == 4
+    got = warc.parse_record(foreign("response", head + b"data", WARC_Payload_Digest=sha1(b"data"), **http))
+    assert (got["payload"], got["payload_digest"]) == (b"data", hashlib.sha256(b"data").hexdigest())
+    assert got["headers"]["warc-record-id"] == "<urn:uuid:1f>"
+    for digest in (sha1(body), sha1(b"abcdef"), "md5:" + hashlib.md5(b"abcdef").hexdigest(), "xxh:12"):
+        got = warc.parse_record(foreign("response", chunked + body, WARC_Payload_Digest=digest, **http))
+        assert got["payload"] == b"abcdef" and got["payload_bytes"] == 6
+    got = warc.parse_record(foreign("request", b"GET / HTTP/1.0\r\nHost: x\r\n\r\n", Content_Type="application/http; msgtype=request"))
+    assert got["payload"] == b""
+    for block in (b"", b"HTTP/1.1 200 OK\r\nContent-Length: 9\r\n\r\n"):
+        got = warc.parse_record(foreign("revisit", block, WARC_Profile="p", WARC_Payload_Digest=sha1(b"data"), **http))
+        assert (got["payload_bytes"], got["payload_digest"], got["refers_to"]) == (9 if block else None, None, None)
+    cut = head.replace(b"no field", b"Content-Length: 9")
+    assert warc.parse_record(foreign("response", cut + b"data", WARC_Truncated="length", **http))["payload"] == b"data"
+    folded = foreign("resource", b"x", WARC_Target_URI="http://a/\r\n\tb")
+    assert warc.parse_record(folded)["url"] == "http://a/ b"
+    for bad in (foreign("response", cut + b"data", **http), foreign("other", b""), foreign("revisit", b""), foreign("response", b"x", **http),
+                foreign("resource", b"x", WARC_Payload_Digest=sha1(b"y")), foreign("resource", b"x", WARC_Block_Digest=sha1(b"y")),
+                foreign("resource", b"x", WARC_Block_Digest="sha1:zz!"), foreign("resource", b"x", WARC_Block_Digest="sha1:ABCD"),
+                foreign("resource", b"x", WARC_Payload_Digest="sha1"), foreign("resource", b"x", WARC_Record_ID="1f")):
+        with pytest.raises(ValueError):
+            warc.parse_record(bad)
+
+
+def test_compressed_dictionary(spark):
+    records = [foreign("resource", f"some text number {i} of the archive".encode() * 9, WARC_Target_URI=f"http://a/{i}") for i in range(300)]
+    dictionary = zstandard.train_dictionary(4096, records)
+    compressor = zstandard.ZstdCompressor(dict_data=dictionary)
+    frames = b"".join(map(compressor.compress, records))
+    for kept in (dictionary.as_bytes(), zstandard.ZstdCompressor().compress(dictionary.as_bytes())):
+        assert list(warc.frames(warc.dictionary_frame(kept) + frames)) == records
+    path = shared_path(spark, "test-warc")
+    data = warc.dictionary_frame(zstandard.ZstdCompressor().compress(dictionary.as_bytes())) + frames
+    spark.createDataFrame([(data,)], "value binary").selectExpr("cast(value as string) AS value").write.option(
+        "lineSep", warc.EMPTY_FRAME).text(path)
+    rows = warc.read_archives(spark, path, with_headers=True).collect()
+    assert len(rows) == 300 and all(r.error is None and r.headers["warc-type"] == "resource" for r in rows)
+    assert {r.url for r in rows} == {f"http://a/{i}" for i in range(300)}
+
+
+def test_files_are_even_for_repeated_pages(spark):
+    rows = [(None if i % 2 else 7, None, str(i) * 200) for i in range(4000)]
+    path = shared_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), path, file_bytes=300_000)
+    sizes = [len(list(warc.frames(bytes(r.content)))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / len(sizes)
+
+
 def test_broken_file_is_reported(spark):
     path = shared_path(spark, "test-warc")
     spark.createDataFrame([("this is no archive",)], "value string").write.text(path)
