@@ -10,7 +10,7 @@ one machine they read each line once, clause after clause. A speech verb behind
 A match weighs its word's weight, at most ``WEIGHT_MOST``, times the scale of its context. Evidence sums over
 the clauses of a text: aimed and direct matches add up over distinct clauses; any other match of a word counts
 once, in the heaviest clause, with at most ``lone``, which is under the bias. So a lone word does not decide,
-unless labelled texts with nothing but one such word are toxic: ``lone`` is learned from these. The score is
+unless labelled texts with nothing but one such word are toxic: ``lone`` may rise by these. The score is
 the evidence's logistic value.
 
 Weights come from labelled rows: a term (word or word beginning) is an insult if its share of toxic
@@ -270,7 +270,8 @@ def learn_scales(rows: DataFrame, weights: dict[str, float], bias: float = BIAS)
     t, n = counts.pop("lone", (0, 0))
     # The evidence that gives the score which these texts deserve.
     deserved = max(0.0, math.log((t + 1) / (n + 1)) - bias)
-    lone = (PRIOR_DOCUMENTS * LONE_MOST + (t + n) * deserved) / (PRIOR_DOCUMENTS + t + n)
+    # Clean texts with one weak word say nothing against several words, so it only rises.
+    lone = max(LONE_MOST, (PRIOR_DOCUMENTS * LONE_MOST + (t + n) * deserved) / (PRIOR_DOCUMENTS + t + n))
     odds = {c: math.log((t + 1) / (n + 1)) for c, (t, n) in counts.items()}
     plain = odds.get("", 0.0)
     scales = dict(SCALES)
