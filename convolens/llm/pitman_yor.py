@@ -46,8 +46,8 @@ from convolens.scale import keep, release
 HELD_OUT = 1
 BATCH_TOKENS = 1 << 20
 SLICE_BYTES = 1 << 20
-BUCKET_BYTES = 16 << 20
-BUCKETS_A_RANGE = 4
+BUCKET_BYTES = 8 << 20
+BUCKETS_A_RANGE = 8
 STRENGTH = 1.0
 ORDER = 2
 EXACT = 64

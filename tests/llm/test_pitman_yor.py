@@ -250,3 +250,13 @@ def test_query(spark):
     check(docs, got)
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_query_reads_two_words_of_context(spark, tmp_path):
+    r, docs = random.Random(8), []
+    for i in range(300):
+        docs.append((i, " ".join(w for _ in range(20) for w in r.choice(["north same up", "south same down"]).split())))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [x for x in QUERIES["op6_language_model"][0](spark, str(tmp_path)).collect() if x.held_out]
+    # One bit a phrase of three words; with one word of context the last one is open as well, two bits.
+    assert 10 ** (-sum(x.score for x in got) / sum(x.n_tokens for x in got)) < 1.4
