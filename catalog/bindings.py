@@ -11,7 +11,7 @@ from convolens.functions.text import ascii_words
 from convolens.functions.turns import plain_text_episode, user_or_system
 from convolens.operators.explode import explode_values
 from convolens.operators.profile import centroids
-from convolens.scale import cut, spread
+from convolens.scale import cut, keep, spread
 
 VIEWS: dict[str, str] = {}
 
@@ -230,6 +230,11 @@ def utter(spark, folder):
     )
 
 
+def utter_once(spark, folder):
+    """The same as a table, for queries that read it several times: the texts are joined and moved once."""
+    return keep(utter(spark, folder))
+
+
 # --- ontology: the mean vector of every label ----------------------------------------------
 VIEWS["centers"] = """
   SELECT cluster, list(m ORDER BY spot) AS centroid FROM (
@@ -239,8 +244,8 @@ VIEWS["centers"] = """
 VIEWS["ontology"] = "SELECT cluster AS pos, 'label_' || cluster AS label, centroid AS vector FROM centers"
 
 
-def ontology(spark, folder):
-    labels = centroids(utter(spark, folder)).select(
+def ontology(spark, folder, utterances=None):
+    labels = centroids(utter(spark, folder) if utterances is None else utterances).select(
         F.col("cluster").alias("pos"),
         F.concat(F.lit("label_"), F.col("cluster").cast("string")).alias("label"),
         F.col("centroid").alias("vector"),

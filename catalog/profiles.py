@@ -68,7 +68,7 @@ _PHRASES = ("utter", "tok", "vocab", "tfidf", "ranked_phrases")
 
 @query("a5_key_phrases", B.sql("SELECT * FROM ranked_phrases", *_PHRASES))
 def a5(spark, d):
-    return profile.key_phrases(B.utter(spark, d), stop_words=B.STOP_WORDS).withColumn("score", F.round("score", 6))
+    return profile.key_phrases(B.utter_once(spark, d), stop_words=B.STOP_WORDS).withColumn("score", F.round("score", 6))
 
 
 @query("a14_cluster_count", "SELECT CAST(greatest(1, least(8, count(*))) AS BIGINT) AS k FROM embeddings")
@@ -85,7 +85,7 @@ _EXEMPLARS = ("utter", "centers", "exemplar")
 
 @query("w1_exemplars", B.sql("SELECT cluster, id, rank, round(similarity, 6) AS similarity FROM exemplar", *_EXEMPLARS))
 def w1(spark, d):
-    return profile.exemplars(B.utter(spark, d)).select("cluster", "id", "rank", F.round("similarity", 6).alias("similarity"))
+    return profile.exemplars(B.utter_once(spark, d)).select("cluster", "id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 @query("w2_first_n", B.sql("SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY id) AS rank FROM utter QUALIFY rank <= 20", *_U))
@@ -131,14 +131,15 @@ _SUMMARY = ("utter", "centers", "exemplar", "ontology", "tok", "vocab", "tfidf",
 
 
 def _profiles(spark, d):
-    return profile.profile_clusters(B.utter(spark, d), B.ontology(spark, d), B.lexicon(spark), stop_words=B.STOP_WORDS)
+    rows = B.utter_once(spark, d)
+    return profile.profile_clusters(rows, B.ontology(spark, d, rows), B.lexicon(spark), stop_words=B.STOP_WORDS)
 
 
 @query("p17_summary", B.sql("SELECT cluster, md5(summary) AS summary FROM summaries", *_SUMMARY))
 def p17(spark, d):
-    rows = B.utter(spark, d)
+    rows = B.utter_once(spark, d)
     best = profile.exemplars(rows).where("rank = 1").select("cluster", "text", "embedding")
-    labels = profile.nearest_label(best, B.ontology(spark, d))
+    labels = profile.nearest_label(best, B.ontology(spark, d, rows))
     phrases = profile.key_phrases(rows, stop_words=B.STOP_WORDS).groupBy("cluster").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda p: p["term"]).alias("phrases"))
     text = profile.summary(F.col("action_label"), F.col("phrases"), F.col("text"))

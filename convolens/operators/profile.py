@@ -2,7 +2,8 @@
 
 Input: one row per utterance with ``cluster``, ``id`` (the reading order), ``text``, ``speaker``
 and ``embedding``. A cluster may hold any share of the rows: every step pre-aggregates on the map
-side, or keeps only the first rows of a cluster before anything is shuffled.
+side, or keeps only the first rows of a cluster before anything is shuffled. A profile reads its input
+several times, so a costly input (a join, an embedding) should be handed over as a table, by ``scale.keep``.
 """
 
 from __future__ import annotations

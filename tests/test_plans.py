@@ -110,3 +110,10 @@ def test_code_takes_no_shortcuts():
 def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert len(rows) == 8 and [r["rank"] for r in sorted(rows, key=lambda r: r["rank"])] == list(range(1, 9))
+
+
+@pytest.mark.parametrize("name", ["a15_profiles", "p17_summary", "a5_key_phrases", "w1_exemplars"])
+def test_utterances_are_joined_once(spark, name):
+    """Several steps read them, so they are written first."""
+    files = contract.queries()[name](spark, FOLDER).inputFiles()
+    assert not any("documents.parquet" in file for file in files)
