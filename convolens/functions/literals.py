@@ -5,10 +5,13 @@ from __future__ import annotations
 import ast
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+PIECE_ROWS = 64
+_FIELDS = pa.struct([("json", pa.string()), ("error", pa.string())])
+
 
 def _to_json(text: str | None) -> tuple[str | None, str | None]:
     if text is None:
@@ -27,7 +30,19 @@ def _to_json(text: str | None) -> tuple[str | None, str | None]:
         return None, str(problem)
 
 
-@F.pandas_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
-def python_list_as_json(text: pd.Series) -> pd.DataFrame:
-    """JSON text of a Python list literal; both fields NULL when the text is not one."""
-    return pd.DataFrame([_to_json(t) for t in text], columns=["json", "error"])
+def _piece_as_json(text: pa.Array) -> pa.Array:
+    json_texts, errors = zip(*map(_to_json, text.to_pylist()))
+    return pa.StructArray.from_arrays([pa.array(json_texts, pa.string()), pa.array(errors, pa.string())], fields=list(_FIELDS))
+
+
+@F.arrow_udf(StructType([StructField("json", StringType()), StructField("error", StringType())]))
+def python_list_as_json(text: pa.Array) -> pa.Array:
+    """JSON text of a Python list literal; both fields NULL when the text is not one.
+
+    A batch may hold 64 MB of text: only some rows of it are Python objects at a time.
+    """
+    done = [_piece_as_json(text.slice(at, PIECE_ROWS)) for at in range(0, len(text), PIECE_ROWS)]
+    out = pa.concat_arrays(done) if done else pa.array([], _FIELDS)
+    del done
+    pa.default_memory_pool().release_unused()
+    return out

@@ -106,3 +106,16 @@ def test_question_form(spark, query, ok):
 def test_violations(spark, row, broken):
     df = spark.createDataFrame([row], "q string, t string, o string, n int")
     assert df.select(violations(*[F.col(c) for c in "qton"])).first()[0] == broken
+
+
+def test_literals_become_python_objects_some_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from convolens.functions import literals
+    sizes, real = [], literals._piece_as_json
+    monkeypatch.setattr(literals, "_piece_as_json", lambda text: sizes.append(len(text)) or real(text))
+    cells = ["[1, None]", None, "{'a': 1}", "[1,", "['é']"] * 100
+    got = literals.python_list_as_json.func(pa.array(cells)).to_pylist()
+    assert [r["json"] for r in got] == ["[1, null]", None, None, None, '["\\u00e9"]'] * 100
+    assert sum(sizes) == 500 and max(sizes) <= literals.PIECE_ROWS
+    assert len(literals.python_list_as_json.func(pa.array([], pa.string()))) == 0
