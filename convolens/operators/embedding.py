@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -18,6 +19,7 @@ from ..functions.vectors import repair_zero
 from ..scale import broadcast_if_small, cut
 
 Encoder = Callable[[np.ndarray], np.ndarray]
+STARTS_AT_ONCE = 5
 
 
 def embed(texts: DataFrame, make_encoder: Callable[[], Encoder] | None = None,
@@ -51,19 +53,27 @@ def cluster_count(df: DataFrame, limit: int = fixed.N_CLUSTERS) -> int:
 def cluster(rows: DataFrame, k: int | None = None, seed: int = 42, restarts: int = 10) -> DataFrame:
     """K-means over ``embedding``: the best of several starts, as a ``cluster`` column.
 
+    The starts run side by side, since each of their many short steps would leave cores idle. Vectors that
+    are mostly zeros are held sparse.
+
     Clusters are numbered by falling size, then by their smallest ``id``, so equal fits give
     equal numbers.
     """
     k = cluster_count(rows) if k is None else k
     if k == 1:
         return rows.withColumn("cluster", F.lit(0))
-    points = rows.withColumn("_features", array_to_vector(F.col("embedding")))
+    points = rows.withColumn("_dense", array_to_vector(F.col("embedding")))
+    # The assembler writes each vector in its shorter form.
+    points = VectorAssembler(inputCols=["_dense"], outputCol="_features").transform(points).drop("_dense")
     trained = points.select("_features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        fits = (
-            KMeans(k=k, seed=seed + i, featuresCol="_features", predictionCol="_raw").fit(trained)
-            for i in range(restarts)
-        )
+        trained.count()
+
+        def fit(start: int):
+            return KMeans(k=k, seed=seed + start, featuresCol="_features", predictionCol="_raw").fit(trained)
+
+        with ThreadPool(min(restarts, STARTS_AT_ONCE)) as pool:
+            fits = pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(restarts), chunksize=1)
         model = min(fits, key=lambda fit: fit.summary.trainingCost)
     finally:
         trained.unpersist()

@@ -310,3 +310,21 @@ def test_a_run_that_breaks_off_keeps_its_answers(spark, tmp_path, monkeypatch):
     found = completion.complete(df, "prompt", factory, parallel_calls=2, log=log)
     assert {r.n: r.response for r in found.collect()} == {**{i: f"None/p{i}" for i in range(40)}, 40: "None/die"}
     assert len(calls(tmp_path)) == asked + 41 - kept
+
+
+def test_starts_run_side_by_side_on_sparse_vectors(spark, monkeypatch):
+    """A start waits for another one, so starts that follow each other would break the barrier."""
+    import threading
+    barrier, kinds, real = threading.Barrier(2, timeout=60), [], embedding.KMeans
+
+    class Together(real):
+        def fit(self, points):
+            kinds.append(type(points.first()["_features"]).__name__)
+            barrier.wait()
+            return super().fit(points)
+
+    monkeypatch.setattr(embedding, "KMeans", Together)
+    rows = [(i, [0.0] * (i % 3) + [1.0] + [0.0] * (15 - i % 3)) for i in range(30)]
+    df = spark.createDataFrame(rows, "id int, embedding array<float>")
+    got = embedding.cluster(df, k=3, restarts=2).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 10), (1, 10), (2, 10)] and kinds == ["SparseVector"] * 2
