@@ -6,10 +6,10 @@ phrases does, or the label occurs in the response.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import strip
-from ..scale import INLINE_ROWS, broadcast_if_small, cut, footprint, has_at_most
+from ..scale import INLINE_ROWS, broadcast_if_small, cut, footprint, has_at_most, keep
 from .explode import explode_values
 from .profile import first_rows
 
@@ -52,33 +52,28 @@ def _match_anchored(needles: DataFrame, qa: DataFrame) -> DataFrame:
 
     A text that contains a needle contains its first ``_ANCHOR`` characters (all of a shorter
     needle), so an equi-join on those finds every candidate. Only keys move in it. At most
-    ``_ANCHOR`` sizes of beginnings occur, and only those are cut from the texts.
+    ``_ANCHOR`` sizes of beginnings occur, and only those are cut from the texts, by a look-ahead that
+    passes each text once a size. The pairs are written once and read twice.
     """
+    qa = keep(qa)
     anchored = needles.withColumn("gram", F.substring("term", 1, _ANCHOR))
     sizes = [r[0] for r in anchored.select(F.char_length("gram")).distinct().collect()]
-    sides = [
-        qa.select("qa_pos", F.lit(side == "response").alias("is_response"),
-                  F.lower(F.coalesce(side, F.lit(""))).alias("text"))
-        for side in ("query", "response")
-    ]
-    texts = sides[0].unionByName(sides[1])
-    starts = F.sequence(F.lit(1), F.char_length("text"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        starts,
-        lambda i: F.transform(
-            F.array(*[F.lit(n) for n in sizes]),
-            lambda n: F.substring(F.col("text"), i, n),
-        ),
-    )))
-    candidates = (
-        explode_values(texts.where("text <> ''"), ["qa_pos", "is_response"], grams, "gram")
-        .join(broadcast_if_small(anchored), "gram")
-        .where("in_response or not is_response")
+    sides = {side: F.lower(F.coalesce(side, F.lit(""))) for side in ("query", "response")}
+
+    def grams(text: Column) -> Column:
+        found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *found))
+
+    anchored = broadcast_if_small(anchored)
+    parts = [
+        explode_values(qa, ["qa_pos", F.lit(side == "response").alias("is_response")], grams(text), "gram")
+        .join(anchored if side == "query" else anchored.where("in_response"), "gram")
         .select("qa_pos", "is_response", "cluster_id", "term")
-    )
+        for side, text in sides.items()
+    ]
+    candidates = parts[0].unionByName(parts[1])
     terms = candidates.groupBy("qa_pos", "cluster_id").agg(
         F.collect_set(F.struct("term", "is_response")).alias("_terms"))
-    sides = {side: F.lower(F.coalesce(side, F.lit(""))) for side in ("query", "response")}
     # Each row is tested itself, so rows that share a position keep their own answers.
     found = F.exists("_terms", lambda t: F.contains(
         F.when(t["is_response"], sides["response"]).otherwise(sides["query"]), t["term"]))

@@ -117,3 +117,12 @@ def test_utterances_are_joined_once(spark, name):
     """Several steps read them, so they are written first."""
     files = contract.queries()[name](spark, FOLDER).inputFiles()
     assert not any("documents.parquet" in file for file in files)
+
+
+def test_beginnings_are_cut_in_one_pass_of_a_text(spark):
+    clusters = spark.createDataFrame([(0, "abcde", ["😀x", "ü"]), (1, "xy\nz", ["q"])], "cluster_id int, action_label string, key_phrases array<string>")
+    qa = spark.createDataFrame([(1, "y" * 50_000 + "ABCDE", None), (2, "a😀X", "b"), (3, "no", "tail xy\nz"), (4, "Ü", "q")], "qa_pos int, query string, response string")
+    found = linking.match_pairs(clusters, qa, 0).select("cluster_id", "qa_pos")
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (0, 2), (0, 4), (1, 3)]
+    # Substrings by position walk from the beginning of the text each time.
+    assert "sequence(" not in plan(found)
