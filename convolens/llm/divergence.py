@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from convolens.llm.text import bounded_batches, whole
+from convolens.llm.text import bounded_batches, give_back, pieces, whole
 from convolens.scale import broadcast_if_small, keep
 
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -51,45 +51,53 @@ def digests(terms: list[str], bits: int = BITS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t.encode()) >> (64 - bits) for t in terms], np.uint64).view(np.int64)
 
 
-def _counted(bits: int, with_text: bool):
-    """Per batch: occurrences and documents of each (lang, source, term)."""
+def _by_piece(step):
+    """A step over batches, some megabytes of text at a time: the arrays it makes hold a text several times over."""
     def run(batches):
         for batch in batches:
-            texts, groups = batch.column(2), pa.StructArray.from_arrays(batch.columns[:2], ["lang", "source"])
-            row, term, terms = terms_of(texts)
-            if not len(terms):
-                continue
-            number: dict[tuple[str, str], int] = {}
-            group = np.array([number.setdefault((g["lang"], g["source"]), len(number)) for g in groups.to_pylist()])
-            pair, n = np.unique(row * len(terms) + term, return_counts=True)
-            key, place, docs = np.unique(group[pair // len(terms)] * len(terms) + pair % len(terms),
-                                         return_inverse=True, return_counts=True)
-            total = np.bincount(place, weights=n).astype(np.int64)
-            names, which = list(number), key % len(terms)
-            columns = {
-                "lang": pa.array([names[g][0] for g in (key // len(terms)).tolist()], pa.string()),
-                "source": pa.array([names[g][1] for g in (key // len(terms)).tolist()], pa.string()),
-                "digest": pa.array(digests(terms, bits)[which]),
-                "n": pa.array(total), "docs": pa.array(docs.astype(np.int64))}
-            if with_text:
-                columns["term"] = pa.array(terms, pa.string()).take(pa.array(which))
-            yield pa.RecordBatch.from_pydict(columns)
+            for piece in pieces(batch, 2):
+                yield from step(piece)
+            give_back()
     return run
 
 
+def _counted(bits: int, with_text: bool):
+    """Occurrences and documents of each (lang, source, term) of a piece."""
+    def step(batch):
+        texts, groups = batch.column(2), pa.StructArray.from_arrays(batch.columns[:2], ["lang", "source"])
+        row, term, terms = terms_of(texts)
+        if not len(terms):
+            return
+        number: dict[tuple[str, str], int] = {}
+        group = np.array([number.setdefault((g["lang"], g["source"]), len(number)) for g in groups.to_pylist()])
+        pair, n = np.unique(row * len(terms) + term, return_counts=True)
+        key, place, docs = np.unique(group[pair // len(terms)] * len(terms) + pair % len(terms),
+                                     return_inverse=True, return_counts=True)
+        total = np.bincount(place, weights=n).astype(np.int64)
+        names, which = list(number), key % len(terms)
+        columns = {
+            "lang": pa.array([names[g][0] for g in (key // len(terms)).tolist()], pa.string()),
+            "source": pa.array([names[g][1] for g in (key // len(terms)).tolist()], pa.string()),
+            "digest": pa.array(digests(terms, bits)[which]),
+            "n": pa.array(total), "docs": pa.array(docs.astype(np.int64))}
+        if with_text:
+            columns["term"] = pa.array(terms, pa.string()).take(pa.array(which))
+        yield pa.RecordBatch.from_pydict(columns)
+    return _by_piece(step)
+
+
 def _texts(bits: int):
-    """Per batch: each term of each language once."""
-    def run(batches):
-        for batch in batches:
-            row, term, terms = terms_of(batch.column(2))
-            if not len(terms):
-                continue
-            langs = batch.column(0).dictionary_encode()
-            key = np.unique(langs.indices.to_numpy()[row].astype(np.int64) * len(terms) + term)
-            yield pa.RecordBatch.from_pydict({
-                "lang": langs.dictionary.take(pa.array(key // len(terms))), "digest": pa.array(digests(terms, bits)[key % len(terms)]),
-                "term": pa.array(terms, pa.string()).take(pa.array(key % len(terms)))})
-    return run
+    """Each term of each language of a piece once."""
+    def step(batch):
+        row, term, terms = terms_of(batch.column(2))
+        if not len(terms):
+            return
+        langs = batch.column(0).dictionary_encode()
+        key = np.unique(langs.indices.to_numpy()[row].astype(np.int64) * len(terms) + term)
+        yield pa.RecordBatch.from_pydict({
+            "lang": langs.dictionary.take(pa.array(key // len(terms))), "digest": pa.array(digests(terms, bits)[key % len(terms)]),
+            "term": pa.array(terms, pa.string()).take(pa.array(key % len(terms)))})
+    return _by_piece(step)
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:

@@ -29,10 +29,9 @@ all probabilities are one. Extra columns are ignored, an empty table gives an em
 
 from __future__ import annotations
 
-import ctypes
 import math
 from array import array
-from contextlib import contextmanager, suppress
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from convolens.llm.text import bounded_batches, remainder, whole
+from convolens.llm.text import bounded_batches, give_back, remainder, whole
 from convolens.scale import keep, release
 
 HELD_OUT = 1
@@ -73,13 +72,6 @@ def tidy_shuffles(spark):
         spark.conf.set(name, before)
 
 
-def give_back() -> None:
-    """Return freed memory to the system, where that can be asked for: workers serve many tasks and would hold on to it."""
-    pa.default_memory_pool().release_unused()
-    with suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def tidy(step):
     """A step over one group that gives its memory back when it is done."""
     def run(table):

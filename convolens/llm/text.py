@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+from contextlib import suppress
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 2_000
 BATCH_BYTES = "16m"
+PIECE_BYTES = 2 << 20
 
 
 def whole(text: str | Column) -> Column:
@@ -52,6 +58,22 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = PIECE_BYTES):
+    """The batch in runs of rows with up to ``size`` bytes of text, or one row with more; the text is never null."""
+    ends, at = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, size + (ends[at - 1] if at else 0), "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where that can be asked for: workers serve many tasks and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """The bytes of a text column of an Arrow batch, nulls as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

@@ -79,3 +79,19 @@ def test_no_text_moves_before_the_end(spark):
     df = frame(spark, documents()).select("lang", "source", "text")
     counted = df.mapInArrow(divergence._counted(64, False), "lang string, source string, digest long, n long, docs long")
     assert [f.dataType.simpleString() for f in counted.schema if f.name not in ("lang", "source")] == ["bigint"] * 3
+
+
+def test_batches_are_counted_piece_by_piece():
+    import pyarrow as pa
+
+    from convolens.llm import divergence, text
+    texts = ["a b " * n for n in (1, 700_000, 2, 300_000, 300_000, 0)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 6, "source": ["x", "y"] * 3, "text": texts}).slice(1)
+    runs = list(text.pieces(batch, 2))
+    assert [p.num_rows for p in runs] == [1, 2, 2]
+    assert pa.Table.from_batches(runs).equals(pa.Table.from_batches([batch]))
+    out = list(divergence._counted(64, True)(iter([batch])))
+    assert len(out) == 3
+    sums = pa.Table.from_batches(out).group_by(["source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).to_pylist()
+    assert sorted((r["source"], r["term"], r["n_sum"], r["docs_sum"]) for r in sums) == [
+        (s, t, n, d) for s, n, d in (("x", 300_002, 2), ("y", 1_000_000, 2)) for t in "ab"]
