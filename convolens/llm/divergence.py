@@ -30,7 +30,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from convolens.llm.text import bounded_batches, give_back, pieces, whole
 from convolens.scale import broadcast_if_small, keep
 
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# Bytes of terms, A-Z as a-z; the others as a space.
+LETTERS = np.array([b if b > 0x7F or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256)], np.uint8)
+HELD_ROWS = 1 << 20
+HELD_TERMS = 1 << 17
 MIN_DOCS = 10
 TOP = 10
 BITS = 64
@@ -39,11 +42,15 @@ KEY = ["lang", "digest", "split"]
 
 def terms_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Per occurrence the row and the number of its term; the terms."""
-    lists = pc.split_pattern_regex(pc.ascii_lower(texts), BETWEEN)
+    # What lies between terms is ASCII, so single bytes can be replaced: texts keep their places.
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    letters = LETTERS[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]]
+    plain = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets - offsets[0]), pa.py_buffer(letters))
+    lists = pc.ascii_split_whitespace(plain)
     row, found = pc.list_parent_indices(lists), pc.list_flatten(lists)
     there = pc.not_equal(pc.binary_length(found), 0)
     coded = found.filter(there).dictionary_encode()
-    return row.filter(there).to_numpy(), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    return row.filter(there).to_numpy(), coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def digests(terms: list[str], bits: int = BITS) -> np.ndarray:
@@ -51,59 +58,87 @@ def digests(terms: list[str], bits: int = BITS) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t.encode()) >> (64 - bits) for t in terms], np.uint64).view(np.int64)
 
 
-def _by_piece(step):
-    """A step over batches, some megabytes of text at a time: the arrays it makes hold a text several times over."""
-    def run(batches):
-        for batch in batches:
-            for piece in pieces(batch, 2):
-                yield from step(piece)
-            give_back()
-    return run
-
+def _counted(bits: int, with_text: bool, held_rows: int = 0):
+    """Occurrences and documents of each (lang, source, term) of a piece, or of the pieces that make up ``held_rows`` rows."""
+    keys = ["group", "digest", "term"] if with_text else ["group", "digest"]
 
-def _counted(bits: int, with_text: bool):
-    """Occurrences and documents of each (lang, source, term) of a piece."""
-    def step(batch):
+    def step(batch, number):
         texts, groups = batch.column(2), pa.StructArray.from_arrays(batch.columns[:2], ["lang", "source"])
         row, term, terms = terms_of(texts)
-        if not len(terms):
-            return
-        number: dict[tuple[str, str], int] = {}
         group = np.array([number.setdefault((g["lang"], g["source"]), len(number)) for g in groups.to_pylist()])
         pair, n = np.unique(row * len(terms) + term, return_counts=True)
-        key, place, docs = np.unique(group[pair // len(terms)] * len(terms) + pair % len(terms),
+        key, place, docs = np.unique(group[pair // max(1, len(terms))] * len(terms) + pair % max(1, len(terms)),
                                      return_inverse=True, return_counts=True)
-        total = np.bincount(place, weights=n).astype(np.int64)
-        names, which = list(number), key % len(terms)
+        which = key % max(1, len(terms))
         columns = {
-            "lang": pa.array([names[g][0] for g in (key // len(terms)).tolist()], pa.string()),
-            "source": pa.array([names[g][1] for g in (key // len(terms)).tolist()], pa.string()),
-            "digest": pa.array(digests(terms, bits)[which]),
-            "n": pa.array(total), "docs": pa.array(docs.astype(np.int64))}
+            "group": pa.array((key // max(1, len(terms))).astype(np.int32)), "digest": pa.array(digests(terms, bits)[which]),
+            "n": pa.array(np.bincount(place, weights=n).astype(np.int64)), "docs": pa.array(docs.astype(np.int64))}
         if with_text:
             columns["term"] = pa.array(terms, pa.string()).take(pa.array(which))
-        yield pa.RecordBatch.from_pydict(columns)
-    return _by_piece(step)
+        return pa.table(columns)
+
+    def summed(held):
+        table = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+        return table.rename_columns([name.removesuffix("_sum") for name in table.column_names])
+
+    def named(table, number):
+        langs, sources = (pa.array(names, pa.string()) for names in zip(*number))
+        group = table["group"].combine_chunks()
+        columns = {"lang": langs.take(group), "source": sources.take(group)}
+        return pa.table(columns | {name: table[name] for name in ("digest", "n", "docs", *keys[2:])}).to_batches(1 << 16)
+
+    def run(batches):
+        number: dict[tuple[str, str], int] = {}
+        held, rows = [], 0
+        for batch in batches:
+            for piece in pieces(batch, 2):
+                held.append(step(piece, number))
+                rows += len(held[-1])
+                if rows >= held_rows:
+                    held = [summed(held)]
+                    rows = len(held[0])
+                # Rows that hardly repeat go out, so that no more are ever held.
+                if 2 * rows >= held_rows and len(held) == 1:
+                    yield from named(held[0], number)
+                    number, held, rows = {}, [], 0
+            give_back()
+        if rows:
+            yield from named(summed(held), number)
+        held = None
+        give_back()
+    return run
 
 
 def _texts(bits: int):
-    """Each term of each language of a piece once."""
-    def step(batch):
-        row, term, terms = terms_of(batch.column(2))
-        if not len(terms):
-            return
-        langs = batch.column(0).dictionary_encode()
-        key = np.unique(langs.indices.to_numpy()[row].astype(np.int64) * len(terms) + term)
-        yield pa.RecordBatch.from_pydict({
-            "lang": langs.dictionary.take(pa.array(key // len(terms))), "digest": pa.array(digests(terms, bits)[key % len(terms)]),
-            "term": pa.array(terms, pa.string()).take(pa.array(key % len(terms)))})
-    return _by_piece(step)
+    """Each term of each language once, or again after ``HELD_TERMS`` others."""
+    def run(batches):
+        told: dict[str, set[str]] = {}
+        for batch in batches:
+            for piece in pieces(batch, 2):
+                row, term, terms = terms_of(piece.column(2))
+                langs = piece.column(0).dictionary_encode()
+                key = np.unique(langs.indices.to_numpy()[row].astype(np.int64) * len(terms) + term)
+                for number, lang in enumerate(langs.dictionary.to_pylist()):
+                    lo, hi = np.searchsorted(key, [number * len(terms), (number + 1) * len(terms)])
+                    known = told.setdefault(lang, set())
+                    new = [t for t in (terms[k] for k in (key[lo:hi] - number * len(terms)).tolist()) if t not in known]
+                    if not new:
+                        continue
+                    if sum(map(len, told.values())) + len(new) > HELD_TERMS:
+                        told.clear()
+                    told.setdefault(lang, set()).update(new)
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([lang] * len(new), pa.string()), "digest": pa.array(digests(new, bits)), "term": pa.array(new, pa.string())})
+            give_back()
+        told = None
+        give_back()
+    return run
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, source, digest, split, n) of the kept terms, and their texts (lang, digest, split, term)."""
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
-    counted = keep(docs.mapInArrow(_counted(bits, False), "lang string, source string, digest long, n long, docs long")
+    counted = keep(docs.mapInArrow(_counted(bits, False, HELD_ROWS), "lang string, source string, digest long, n long, docs long")
                    .groupBy("lang", "source", "digest").agg(*sums))
     known = keep(counted.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"))
                  .where(F.col("docs") >= min_docs).select("lang", "digest"))
@@ -118,7 +153,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, bits: int = BITS) -> t
         return cells, alone
     shared = broadcast_if_small(shared)
     exact = keep(
-        docs.mapInArrow(_counted(bits, True), "lang string, source string, digest long, n long, docs long, term string")
+        docs.mapInArrow(_counted(bits, True, HELD_ROWS), "lang string, source string, digest long, n long, docs long, term string")
         .join(shared, ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", "term").agg(*sums))
     split = keep(
         exact.groupBy("lang", "digest", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)

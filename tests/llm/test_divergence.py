@@ -1,9 +1,11 @@
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from convolens.llm import divergence
+from convolens.llm.text import pieces
 
 SCHEMA = "doc_id long, text string, lang string, source string, p int, term string, n_chars long"
 
@@ -95,3 +97,25 @@ def test_batches_are_counted_piece_by_piece():
     sums = pa.Table.from_batches(out).group_by(["source", "term"]).aggregate([("n", "sum"), ("docs", "sum")]).to_pylist()
     assert sorted((r["source"], r["term"], r["n_sum"], r["docs_sum"]) for r in sums) == [
         (s, t, n, d) for s, n, d in (("x", 300_002, 2), ("y", 1_000_000, 2)) for t in "ab"]
+
+
+def test_tasks_tell_each_term_once(monkeypatch):
+    """Pieces of a task are summed up, and a term is told once, however many pieces hold it."""
+    docs = [("en" if i % 2 else "de", f"s{i % 3}", f"Same words é{i % 2} in_all pieces x{i % 5}\x85y ") for i in range(400)]
+    batch = pa.RecordBatch.from_pydict(dict(zip(("lang", "source", "text"), (pa.array(c) for c in zip(*docs)))))
+    monkeypatch.setattr(divergence, "pieces", lambda b, column: pieces(b, column, 500))
+    each = Counter((lang, source, term) for lang, source, found in docs for term in {t.lower() for t in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", found)})
+    for with_text in (False, True):
+        got = pa.Table.from_batches(divergence._counted(64, with_text, 1 << 20)(iter([batch, batch])))
+        assert len(got) == len(each) and sorted(got["docs"].to_pylist()) == sorted(2 * n for n in each.values())
+    told = pa.Table.from_batches(divergence._texts(64)(iter([batch, batch])))
+    assert sorted(zip(told["lang"].to_pylist(), told["term"].to_pylist())) == sorted({(lang, term) for lang, _, term in each})
+    # With room for few rows the sums go out in parts, and nothing is lost.
+    monkeypatch.setattr(divergence, "HELD_TERMS", 4)
+    got = pa.Table.from_batches(divergence._counted(64, True, 8)(iter([batch, batch])))
+    sums = Counter()
+    for lang, source, term, n in zip(*(got[c].to_pylist() for c in ("lang", "source", "term", "docs"))):
+        sums[lang, source, term] += n
+    assert sums == Counter({k: 2 * n for k, n in each.items()})
+    told = pa.Table.from_batches(divergence._texts(64)(iter([batch, batch])))
+    assert set(zip(told["lang"].to_pylist(), told["term"].to_pylist())) == {(lang, term) for lang, _, term in each}
