@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from convolens.llm.text import bounded_batches, give_back, remainder, whole
-from convolens.scale import keep, release
+from convolens.scale import keep, keep_parts, release
 
 HELD_OUT = 1
 BATCH_TOKENS = 1 << 20
@@ -457,10 +457,11 @@ class State:
             known = totals.tables[level][self.keys[level]]
             # What the level below sent up anew may be fewer customers than there were tables.
             self.tables[level] = np.clip(before, np.minimum(customers, 1), customers)
-            seated, drawn, stirling = self.customers(), np.empty_like(self.tables[level]), log_stirling(d)
-            # All dishes are drawn from the same state, a part of them at a time.
-            for at in range(0, len(drawn), DRAWS):
-                part = slice(at, at + DRAWS)
+            seated, drawn, stirling = self.customers(), np.minimum(customers, 1), log_stirling(d)
+            # A single customer has one table. All others are drawn from the same state, a part of them at a time.
+            several = np.flatnonzero(customers > 1)
+            for at in range(0, len(several), DRAWS):
+                part = several[at:at + DRAWS]
                 rate = STRENGTH + d * np.maximum(known[self.at[level][part]] - before[part], 0)
                 base, after = self.base_without(totals, level, seated, part)
 
@@ -568,10 +569,22 @@ def _summed(table: pa.Table) -> pa.Table:
     return table_of(rows, (pa.int32(), pa.int32(), pa.binary()), ["bucket", "part", "data"])
 
 
-def _joined(states: DataFrame) -> DataFrame:
+def _parted(rows: DataFrame) -> dict[str, DataFrame]:
+    """States, messages and places written once, as tables that ``release`` deletes one by one."""
+    kinds = F.when(F.col("part") >= 0, F.lit("messages")).when(F.col("part") == -1, F.lit("states")).otherwise(F.lit("places"))
+    return keep_parts(rows.withColumn("kind", kinds), "kind", ("states", "messages", "places"))
+
+
+def _answered(messages: DataFrame) -> DataFrame:
+    """(bucket, part, data): what the ranges answer; the messages are deleted."""
+    out = keep(messages.select("bucket", "part", "data").groupBy("part").applyInArrow(tidy(_summed), MESSAGE))
+    release(messages)
+    return out
+
+
+def _joined(states: DataFrame, answered: DataFrame) -> DataFrame:
     """(bucket, part, data) of the states (part -1) with the totals of their restaurants."""
-    return states.where("part = -1").select("bucket", "part", "data").union(
-        states.where("part >= 0").select("bucket", "part", "data").groupBy("part").applyInArrow(tidy(_summed), MESSAGE))
+    return states.select("bucket", "part", "data").union(answered)
 
 
 def _received(table: pa.Table, root, discounts, types) -> tuple[State, Totals]:
@@ -586,7 +599,7 @@ def _received(table: pa.Table, root, discounts, types) -> tuple[State, Totals]:
 def _model(states: DataFrame, order: int):
     """Customers and tables of the restaurant of no context, discounts, words and tokens known."""
     levels = order + 1
-    one = states.where("part = -1").agg(*(F.sum(F.col(c)[i]) for c in ("ones", "twos") for i in range(levels)), *(
+    one = states.agg(*(F.sum(F.col(c)[i]) for c in ("ones", "twos") for i in range(levels)), *(
         F.sum(c) for c in ("customers", "tables", "types", "tokens"))).first()
     # The usual estimate from dishes ordered once and twice.
     discounts = [min(0.95, max(0.1, (a or 0) / ((a or 0) + 2 * (b or 0)))) if a else 0.5
@@ -596,16 +609,16 @@ def _model(states: DataFrame, order: int):
 
 
 def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int = SAMPLES, order: int = ORDER):
-    """States of all buckets with ``samples - 1`` samples summed up and the last one current, the model's numbers,
-    and the places (bucket, batch, data) of what each batch asked for."""
+    """States of all buckets with ``samples - 1`` samples summed up and the last one current, the totals of their
+    restaurants, the model's numbers, and the places (bucket, batch, data) of what each batch asked for."""
     def merge(table: pa.Table) -> pa.Table:
         # Buffers of the table itself: a list of bytes would be a second copy.
         state, places = merged([data.as_buffer() for data in table["data"]])
         give_back()
         return _state_rows(table["bucket"][0].as_py(), state, parts, zip(table["batch"].to_pylist(), places))
 
-    states = keep(requests.groupBy("bucket").applyInArrow(tidy(merge), STATE))
-    asked = keep(states.where("part = -2").select("bucket", "batch", "data"))
+    first = _parted(requests.groupBy("bucket").applyInArrow(tidy(merge), STATE))
+    states, messages, asked = first["states"], first["messages"], first["places"].select("bucket", "batch", "data")
     root, discounts, types, tokens = _model(states, order)
 
     def sweep(root, number: int):
@@ -619,13 +632,16 @@ def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int =
         return tidy(step)
 
     for number in range(burn_in + samples - 1):
-        before, states = states, keep(_joined(states).groupBy("bucket").applyInArrow(sweep(root, number), STATE))
+        before, answered = states, _answered(messages)
+        after = _parted(_joined(states, answered).groupBy("bucket").applyInArrow(sweep(root, number), STATE))
+        states, messages = after["states"], after["messages"]
         release(before)
+        release(answered)
         root = _model(states, order)[0]
-    return states, root, discounts, types, tokens, asked
+    return states, _answered(messages), root, discounts, types, tokens, asked
 
 
-def answers(asked: DataFrame, states: DataFrame, root, discounts, types: int, samples: int) -> DataFrame:
+def answers(asked: DataFrame, states: DataFrame, totals: DataFrame, root, discounts, types: int, samples: int) -> DataFrame:
     """(batch, bucket, data): for what each batch asked, the averaged probability of its pairs and the words' counts."""
     def told(asked, known):
         state, totals = _received(known, root, discounts, types)
@@ -645,7 +661,7 @@ def answers(asked: DataFrame, states: DataFrame, root, discounts, types: int, sa
         give_back()
         return out
 
-    return asked.groupBy("bucket").cogroup(_joined(states).groupBy("bucket")).applyInArrow(
+    return asked.groupBy("bucket").cogroup(_joined(states, totals).groupBy("bucket")).applyInArrow(
         answer, "batch long, bucket int, data binary")
 
 
@@ -658,10 +674,10 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     with tidy_shuffles(docs.sparkSession):
         places = batches(docs, id_column, text_column, buckets, batch_tokens)
         ranges = math.ceil(buckets / BUCKETS_A_RANGE)
-        states, root, discounts, types, tokens, asked = fit(requests_of(places, buckets, order), ranges, burn_in, samples, order)
-        answered = keep(answers(asked, states, root, discounts, types, samples))
-        release(states)
-        release(asked)
+        states, totals, root, discounts, types, tokens, asked = fit(requests_of(places, buckets, order), ranges, burn_in, samples, order)
+        answered = keep(answers(asked, states, totals, root, discounts, types, samples))
+        for table in (states, totals, asked):
+            release(table)
 
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[0])

@@ -55,14 +55,33 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_parts(df: DataFrame, by: str, parts: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Like ``keep``, written once with the rows of each value of the column ``by`` as a table of its own, without that column."""
+    spark = df.sparkSession
+    path = shared_path(spark, "kept")
+    df.write.partitionBy(by).parquet(path)
+    schema = df.drop(by).schema
+    out = {}
+    for part in parts:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{by}={part}")
+        there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+        out[part] = spark.read.schema(schema).parquet(str(folder)) if there else spark.createDataFrame([], schema)
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete one table that ``keep`` wrote, when later steps no longer read it."""
     spark, files = df.sparkSession, df.inputFiles()
     for owner, path in list(_KEPT):
-        if owner is spark and any(path.rsplit("/", 1)[1] in file.split("/") for file in files):
+        name = path.rsplit("/", 1)[1]
+        if owner is not spark or not any(name in file.split("/") for file in files):
+            continue
+        # The folder of the file is the table's own, or that of one of its parts.
+        part = next(file for file in files if name in file.split("/")).rsplit("/", 2)[1]
+        if part == name:
             _KEPT.remove((owner, path))
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path if part == name else f"{path}/{part}")
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def clear(spark: SparkSession) -> None:

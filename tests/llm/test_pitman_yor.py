@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from convolens import scale
 from convolens.llm import pitman_yor as py
 from convolens.llm.queries import QUERIES
 
@@ -260,3 +262,32 @@ def test_query_reads_two_words_of_context(spark, tmp_path):
     got = [x for x in QUERIES["op6_language_model"][0](spark, str(tmp_path)).collect() if x.held_out]
     # One bit a phrase of three words; with one word of context the last one is open as well, two bits.
     assert 10 ** (-sum(x.score for x in got) / sum(x.n_tokens for x in got)) < 1.4
+
+
+def test_each_table_goes_after_its_last_reader(spark, monkeypatch):
+    """When a sweep begins, its messages are answered and deleted; the places stay, in one copy, until the answers are written."""
+    folder = lambda: os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    scale.ensure_checkpoint_dir(spark)
+    before, seen, real = set(folder()), [], py.keep_parts
+
+    def kinds():
+        root = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        return sorted(k for f in set(folder()) - before for k in os.listdir(f"{root}/{f}") if k.startswith("kind="))
+
+    def keep_parts(*args):
+        seen.append(kinds())
+        return real(*args)
+
+    monkeypatch.setattr(py, "keep_parts", keep_parts)
+    got = py.score_texts(spark.createDataFrame(rows(60), "doc_id long, text string").repartition(2), bucket_bytes=700)
+    assert seen == [[]] + 3 * [["kind=places", "kind=states"]] and kinds() == []
+    check(rows(60), got.collect())
+
+
+def test_single_customers_are_not_drawn(monkeypatch):
+    """Most pairs occur once: they have one table whatever the draw."""
+    drawn, real = [], py.sample_tables
+    monkeypatch.setattr(py, "sample_tables", lambda customers, *rest: drawn.extend(customers) or real(customers, *rest))
+    state = py.State(np.arange(3, dtype=np.uint64), np.array([2, 1, 1]), np.array([1, 2, 1, 3], np.uint16), np.array([1, 5, 0, 1]), order=1)
+    state.sweep(py.Totals(state.totals(), (.7, .6), 3), np.random.default_rng(1))
+    assert min(drawn) > 1 and state.tables[0][[0, 2, 3]].tolist() == [1, 0, 1] and 1 <= state.tables[0][1] <= 5
