@@ -459,9 +459,8 @@ class State:
             self.tables[level] = np.clip(before, np.minimum(customers, 1), customers)
             seated, drawn, stirling = self.customers(), np.minimum(customers, 1), log_stirling(d)
             # A single customer has one table. All others are drawn from the same state, a part of them at a time.
-            several = np.flatnonzero(customers > 1)
-            for at in range(0, len(several), DRAWS):
-                part = several[at:at + DRAWS]
+            for at in range(0, len(drawn), DRAWS):
+                part = at + np.flatnonzero(customers[at:at + DRAWS] > 1)
                 rate = STRENGTH + d * np.maximum(known[self.at[level][part]] - before[part], 0)
                 base, after = self.base_without(totals, level, seated, part)
 
