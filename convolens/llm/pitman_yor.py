@@ -9,17 +9,16 @@ saddle point). Before the draw the dish's own tables leave the restaurants above
 after the one below, from the customers that it has just sent up. "Other tables" are those of the sweep
 before, since all buckets are drawn at once. Predictive probabilities are averaged over the samples.
 
-Restaurants are named by 64-bit hashes of their words, and there are as many as the texts have contexts:
-with one word of context as many as words, so that a word has at most that many pairs however often it occurs.
-The tables of one word in all contexts depend on other words only through the totals of the restaurants.
-So the state is dealt out by word; a sweep joins it with the totals of the sweep before, samples all
-buckets in parallel, and adds the totals up anew. Totals are dealt out by ranges of the hashes: each
-bucket sends what it holds of every restaurant it knows, packed, one message a range, and gets the sums back in
-the same order. No task and no driver sees all restaurants.
+Words are named by 64-bit hashes. The state is dealt out by the word before, by ranges of the hashes: all contexts
+that end in a word, with their dishes and the parent they share, lie in one bucket, so that both upper levels are
+local and their restaurants need no names. Only the restaurant of no context is spread over the buckets: each tells
+the ranges of words how many tables it sends up for which word, the ranges add them up, draw the word's tables, and
+answer in the same order. No task and no driver sees all words.
 
 Texts are read once. Each task turns them into kept batches of word numbers and hashes. A batch asks the
 buckets for its distinct (word, context) pairs, all at once and only once: the bucket notes where they are
-in its state, and at the end sends their probabilities back. Counts and answers move, texts do not. A text
+in its state, and at the end sends their probabilities back, with the counts of the words before: a word is
+counted where it is context, the end token where the beginning is. Counts and answers move, texts do not. A text
 longer than a batch is scored in parts.
 
 Defined cases: a null text counts as empty, which is the end token alone; a null id counts as the empty
@@ -58,6 +57,7 @@ SEED = 31
 # No word holds a space.
 START = b" "
 END = b""
+NAME_OF_START, NAME_OF_END = (np.uint64(xxhash.xxh64_intdigest(w, SEED)) for w in (START, END))
 
 
 @contextmanager
@@ -119,6 +119,24 @@ def walked(differences: np.ndarray) -> np.ndarray:
     return np.cumsum(differences, dtype=differences.dtype)
 
 
+def narrow(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers, none below zero, in as few bytes as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
+def begins(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
 # Texts to batches.
 
 def slices(text: bytes):
@@ -132,50 +150,66 @@ def slices(text: bytes):
         at = to
 
 
-def context_keys(two: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Keys of contexts out of the hashes of the words two and one before."""
-    mixed = two * np.uint64(0x9E3779B97F4A7C15) + one
-    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ mixed >> np.uint64(32)
-
-
-def distinct_pairs(tokens, starts, first, hashes, context_words, train=None):
-    """Words of the distinct pairs of a batch, the words before them (farthest first), counts and each token's pair.
+def distinct_pairs(tokens, starts, first, words: int, context_words, train=None):
+    """The distinct pairs of a batch, sorted by the word before, the word and the word two before: these three (the last
+    is None with one word of context), counts and each token's pair.
 
     ``first``: the two words before each row part.
     """
     one, two = np.empty_like(tokens), np.empty_like(tokens)
     lengths = np.diff(np.append(starts, len(tokens)))
     one[1:], one[starts] = tokens[:-1], first[:, 1]
-    keys = hashes[one]
-    before = [one]
+    codes = one * np.int64(words) + tokens
     if context_words == 2:
         two[2:], two[starts] = tokens[:-2], first[:, 0]
         two[starts[lengths > 1] + 1] = first[lengths > 1, 1]
-        keys, before = context_keys(hashes[two], keys), [two, one]
-    contexts, context = np.unique(keys, return_inverse=True)
-    pairs, at, place = np.unique(tokens * np.int64(len(contexts)) + context, return_index=True, return_inverse=True)
-    counts = None if train is None else np.bincount(place, train, len(pairs))
-    return tokens[at].astype(np.int64), [w[at] for w in before], counts, place
+        if words >= 1 << 21:
+            codes = np.unique(codes, return_inverse=True)[1]
+        codes = codes * np.int64(words) + two
+    order = np.argsort(codes)
+    new = begins(codes[order])
+    at = order[new]
+    place = np.empty(len(tokens), np.uint32)
+    place[order] = np.repeat(np.arange(len(new), dtype=np.uint32), np.diff(np.append(new, len(tokens))))
+    counts = None if train is None else np.add.reduceat(train[order], new, dtype=np.int64)
+    return one[at], tokens[at], two[at] if context_words == 2 else None, counts, place
+
+
+def counted_words(tokens, starts, first, hashes) -> np.ndarray:
+    """The words whose counts a batch needs, as words before: its own, the beginning for the end token, and contexts."""
+    asked = np.zeros(len(hashes), bool)
+    asked[tokens] = True
+    asked[first[:, 1]] = True
+    asked[hashes == NAME_OF_END] = False
+    asked[hashes == NAME_OF_START] = True
+    return np.flatnonzero(asked)
+
+
+class Numbers(dict):
+    """Words numbered as they come."""
+
+    def __missing__(self, word):
+        self[word] = number = len(self)
+        return number
 
 
 class Batch:
     def __init__(self):
-        self.vocabulary, self.tokens, self.first, self.starts, self.rows = {}, array("i"), [], [], []
+        self.vocabulary, self.tokens, self.first, self.starts, self.rows = Numbers({START: 0}), array("i"), [], [], []
 
     def add(self, row, words, context):
         """Words of a row; ``context`` are the two words that stand before the first."""
         self.rows.append(row)
         self.starts.append(len(self.tokens))
-        number = self.vocabulary
-        self.first.append([number.setdefault(w, len(number)) for w in context])
-        self.tokens.extend([number.setdefault(w, len(number)) for w in words])
+        number = self.vocabulary.__getitem__
+        self.first.append([*map(number, context)])
+        self.tokens.extend(map(number, words))
 
-    def close(self, buckets: int) -> bytes:
-        """Row parts, tokens as numbers of words, and the words' hashes, sorted by bucket and hash."""
+    def close(self) -> bytes:
+        """Row parts, tokens as numbers of words, and the words' hashes, sorted."""
         words = list(self.vocabulary)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        order = np.lexsort((hashes, hashes % np.uint64(buckets)))
+        order = np.argsort(hashes)
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words))
         uid, doc, held = zip(*self.rows)
@@ -188,38 +222,30 @@ class Batch:
 def requested(batch: bytes, buckets: int, context_words: int):
     """(bucket, request) for each bucket that a batch asks.
 
-    Pairs are sorted by bucket, word and context, in requests and in states alike.
+    A request holds the hashes of its words, sorted, and by their numbers: the words before, how many rows each has, a
+    row for each word that follows it, how many pairs each has, the pairs' counts, and their words two before.
     """
     _, _, _, held, starts, tokens, first, hashes = unpacked(batch)
-    hashes = walked(hashes)
+    hashes, first = walked(hashes), first.reshape(-1, 2)
     train = np.repeat(held == 0, np.diff(np.append(starts, len(tokens))))
-    word, before, counts, _ = distinct_pairs(tokens, starts, first.reshape(-1, 2), hashes, context_words, train)
-    each = np.bincount(word, minlength=len(hashes)).astype(np.uint32)
-    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-    at = np.searchsorted(word, np.arange(len(hashes) + 1))
-    for b in np.unique(bucket):
-        lo, hi = np.searchsorted(bucket, [b, b + 1])
-        part = slice(at[lo], at[hi])
-        # A word that is context only asks for nothing.
-        asked = np.flatnonzero(each[lo:hi]) + lo
-        if len(asked):
-            names, place_of = np.unique(hashes[np.concatenate([w[part] for w in before])], return_inverse=True)
-            yield int(b), packed(steps(hashes[asked]), each[asked], steps(names), counts[part].astype(np.uint32),
-                                 *map(steps, np.split(place_of.astype(np.uint32), context_words)))
-
-
-def asked_pairs(request: bytes):
-    """Words, pairs a word, their counts, sorted context keys, the keys of these contexts' parents (None with one
-    word of context), and each pair's context."""
-    words, each, names, counts, *before = unpacked(request)
-    words, names, before = walked(words), walked(names), [walked(b) for b in before]
-    if len(before) == 1:
-        return words, each, counts, names, None, before[0]
-    contexts, at, inside = np.unique(context_keys(names[before[0]], names[before[1]]), return_index=True, return_inverse=True)
-    return words, each, counts, contexts, names[before[1][at]], inside.astype(np.uint32)
-
-
-def batches(docs: DataFrame, id_column: str, text_column: str, buckets: int, batch_tokens: int) -> DataFrame:
+    one, word, two, counts, _ = distinct_pairs(tokens, starts, first, len(hashes), context_words, train)
+    groups = counted_words(tokens, starts, first, hashes)
+    bucket, number = bucket_of(hashes[groups], buckets), np.empty(len(hashes), np.uint32)
+    cuts = np.append(begins(bucket), len(groups))
+    parts = np.append(np.searchsorted(one, groups[cuts[:-1]]), len(one))
+    for lo, hi, *ends in zip(cuts[:-1], cuts[1:], parts[:-1], parts[1:]):
+        group, part = groups[lo:hi], slice(*ends)
+        before, follows = one[part], word[part]
+        rows = begins(before, follows)
+        names = np.unique(np.concatenate([group, follows[rows], *([] if two is None else [two[part]])]))
+        number[names] = np.arange(len(names))
+        more = [] if two is None else [narrow(number[two[part]])]
+        yield int(bucket[lo]), packed(
+            steps(hashes[names]), narrow(number[group]), narrow(np.bincount(np.searchsorted(group, before[rows]), minlength=len(group))),
+            narrow(number[follows[rows]]), narrow(np.diff(np.append(rows, len(before)))), narrow(counts[part]), *more)
+
+
+def batches(docs: DataFrame, id_column: str, text_column: str, batch_tokens: int) -> DataFrame:
     """Kept rows (batch, bucket, data) of ``Batch.close``, with bucket -1."""
     def run(arrow):
         from pyspark import TaskContext
@@ -227,7 +253,7 @@ def batches(docs: DataFrame, id_column: str, text_column: str, buckets: int, bat
 
         def closed():
             return pa.RecordBatch.from_pydict({"batch": pa.array([(task << 32) + number], pa.int64()), "bucket": pa.array([-1], pa.int32()),
-                                               "data": pa.array([batch.close(buckets)], pa.binary())})
+                                               "data": pa.array([batch.close()], pa.binary())})
 
         for part in arrow:
             for uid, doc, held, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -344,6 +370,16 @@ class ByKey:
         return np.where(self.keys[at] == key, self.values[at], 0.0)
 
 
+class Own:
+    """Numbers of a bucket's own restaurants, in their order."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+
+    def __getitem__(self, key):
+        return self.values
+
+
 class Totals:
     """Customers and tables of restaurants, by key, one level after the other; the last is that of no context."""
 
@@ -352,42 +388,62 @@ class Totals:
         self.customers = [ByKey(keys, customers) for keys, customers, _ in levels]
         self.tables = [ByKey(keys, tables) for keys, _, tables in levels]
 
+    @classmethod
+    def of(cls, state: State, root, discounts, types: int) -> Totals:
+        """Of a bucket, whose restaurants are its own but for that of no context, whose totals are given."""
+        out = cls([], discounts, types)
+        *levels, _ = state.totals()
+        levels.append((None, np.array([root[0]]), np.array([root[1]])))
+        out.customers, out.tables = [Own(c) for _, c, _ in levels], [Own(t) for _, _, t in levels]
+        return out
+
 
 class State:
-    """The words of a bucket: pairs of word and context, sorted, with customers and tables at each level."""
+    """The words of a bucket: pairs of word and context, sorted, with customers and tables at each level.
+
+    ``others`` are the customers that other buckets send to the restaurant of no context, word by word.
+    """
 
-    def __init__(self, words, each, context, counts, tables=None, summed=None, parents=None, order=ORDER):
+    def __init__(self, words, each, context, counts, tables=None, parents=None, order=ORDER):
         """``context`` and ``parents`` are the keys of each pair's restaurant and, with two words of context, of its
         parent (by default its last byte)."""
-        self.words, self.each, self.counts = words, each, counts
-        self.word = np.repeat(np.arange(len(words)), each)
+        word = np.repeat(np.arange(len(words)), each)
         context = np.asarray(context, np.uint64)
         contexts, place = np.unique(context, return_inverse=True)
-        above = None
+        keys, at, up = [contexts], [place], []
         if order == 2:
+            # One row per word and parent.
             parents, inside = np.unique(context % np.uint64(256) if parents is None else parents, return_inverse=True)
-            above = np.zeros(len(contexts), np.uint32)
-            above[place] = inside
-        self._seat(contexts, place, parents, above, tables, summed)
+            rows, above = np.unique(word * len(parents) + inside, return_inverse=True)
+            keys.append(parents)
+            at.append(rows % max(1, len(parents)))
+            up.append(above)
+            word = rows // max(1, len(parents))
+        self._seat(words, counts, keys, at, [*up, word], tables)
 
-    def _seat(self, contexts, place, parents, above, tables, summed):
+    def _seat(self, words, counts, keys, at, up, tables=None, summed=None):
         # Of each level: the restaurants' keys, a row's place among them, and its row one level up.
-        self.keys, self.at, self.up, self.above = [contexts], [place], [], above
-        word = self.word
-        if above is not None:
-            # One row per word and parent.
-            rows, up = np.unique(self.word * len(parents) + above[place], return_inverse=True)
-            self.keys.append(parents)
-            self.at.append(rows % max(1, len(parents)))
-            self.up.append(up)
-            word = rows // max(1, len(parents))
-        self.keys.append(np.zeros(1, np.uint64))
-        self.at.append(np.zeros(len(self.words), np.int64))
-        self.up += [word, None]
-        self.summed = np.zeros(len(place)) if summed is None else summed
+        self.words, self.counts, self.others = words, counts, np.zeros(len(words), np.int64)
+        self.keys, self.at, self.up = [*keys, np.zeros(1, np.uint64)], [*at, np.zeros(len(words), np.int64)], [*up, None]
+        self.summed = np.zeros(len(counts)) if summed is None else summed
         # At first each dish has one table.
         self.tables = tables or self.first_tables()
 
+    @classmethod
+    def dealt(cls, words, counts, groups, word, row, context, contexts, **more) -> State:
+        """Of a bucket of words before: ``groups``, how many rows each has; ``word``, what each row's word is; with two
+        words of context ``row``, how many pairs each row has, ``context``, each pair's among those that end in the word
+        before, and ``contexts``, how many these are."""
+        state = cls.__new__(cls)
+        keys, at, up = [np.arange(len(groups))], [np.repeat(np.arange(len(groups)), groups)], [word]
+        if row is not None:
+            first = (np.cumsum(contexts, dtype=np.int64) - contexts)[at[0]]
+            keys, at = [np.arange(int(contexts.sum(dtype=np.int64))), *keys], [np.repeat(first, row) + context, *at]
+            up = [np.repeat(np.arange(len(row)), row), *up]
+        state._seat(words, counts, keys, at, up, **more)
+        state.shape = groups, word, row, context, contexts
+        return state
+
     @property
     def levels(self):
         return range(len(self.keys))
@@ -400,7 +456,8 @@ class State:
 
     def received(self, level, below):
         """Customers of a level: the tables of the level below."""
-        return np.bincount(self.up[level - 1], below, len(self.at[level])).astype(np.int64)
+        own = np.bincount(self.up[level - 1], below, len(self.at[level])).astype(np.int64)
+        return own + self.others if level == self.levels[-1] else own
 
     def customers(self):
         return [self.counts.astype(np.int64), *(self.received(level, self.tables[level - 1]) for level in self.levels[1:])]
@@ -451,8 +508,9 @@ class State:
 
         return base, after
 
-    def sweep(self, totals: Totals, rng: np.random.Generator):
-        for level in self.levels:
+    def sweep(self, totals: Totals, rng: np.random.Generator, levels=None):
+        """Draws the tables of all levels, or of some."""
+        for level in self.levels if levels is None else levels:
             d, customers, before = totals.discounts[level], self.customers()[level], self.tables[level]
             known = totals.tables[level][self.keys[level]]
             # What the level below sent up anew may be fewer customers than there were tables.
@@ -476,54 +534,72 @@ class State:
                 for keys, at, customers, tables in zip(self.keys, self.at, self.customers(), self.tables)]
 
     def data(self) -> bytes:
-        parents = [] if self.above is None else [steps(self.keys[1]), self.above]
-        return packed(steps(self.words), self.each, steps(self.keys[0]), steps(self.at[0].astype(np.uint32)), self.counts,
-                      self.summed.astype(np.float32), *self.tables, *parents)
+        """Of a bucket of words before; what other buckets send is not kept."""
+        groups, word, row, context, contexts = self.shape
+        more = [] if row is None else [*map(narrow, (row, context, contexts))]
+        return packed(steps(self.words), narrow(self.counts), narrow(groups), narrow(word), self.summed.astype(np.float32),
+                      *map(narrow, self.tables), *more)
 
     @classmethod
     def load(cls, data: bytes) -> State:
-        words, each, contexts, at, counts, summed, *more = unpacked(data)
-        parents = above = None
+        words, counts, groups, word, summed, *more = unpacked(data)
+        row = context = contexts = None
         if len(more) > 2:
-            *more, parents, above = more
-            parents = walked(parents)
-        state = cls.__new__(cls)
-        state.words, state.each, state.counts = walked(words), each, counts
-        state.word = np.repeat(np.arange(len(words)), each)
-        state._seat(walked(contexts), walked(at).astype(np.int64), parents, above, more, summed.astype(float))
-        return state
-
-
-def merged(requests: list[bytes]) -> tuple[State, list[np.ndarray]]:
-    """The state of a bucket out of all requests to it, and where the pairs of each request are in it."""
-    parts = [asked_pairs(r) for r in requests]
-    words = np.unique(np.concatenate([p[0] for p in parts]))
-    contexts, at = np.unique(np.concatenate([p[3] for p in parts]), return_index=True)
-    above = None if parts[0][4] is None else np.concatenate([p[4] for p in parts])[at]
-    counts, codes = np.concatenate([p[2] for p in parts]), []
-    parts.reverse()
-    while parts:
-        word, each, _, mine, _, inside = parts.pop()
-        codes.append(np.repeat(np.searchsorted(words, word) * len(contexts), each) + np.searchsorted(contexts, mine)[inside])
-    ends, codes = np.cumsum([len(c) for c in codes])[:-1], np.concatenate(codes)
-    pairs, place = np.unique(codes, return_inverse=True)
-    place = place.astype(np.uint32)
-    del codes
-    word, context = np.divmod(pairs, len(contexts))
-    state = State(words, np.bincount(word, minlength=len(words)).astype(np.uint32), contexts[context],
-                  np.bincount(place, counts, len(pairs)).astype(np.int64), parents=None if above is None else above[context],
-                  order=1 if above is None else 2)
-    return state, np.split(place, ends)
-
-
-# Rows of one table: the state of a bucket (part -1), its messages to the ranges of restaurants (part 0 on), and
+            *more, row, context, contexts = more
+        return cls.dealt(walked(words), counts.astype(np.int64), groups, word.astype(np.int64), row, context, contexts,
+                         tables=[t.astype(np.int64) for t in more], summed=summed.astype(float))
+
+    def counted(self) -> np.ndarray:
+        """Customers who come after each word before."""
+        group = self.at[-2] if len(self.up) == 2 else self.at[1][self.up[0]]
+        return np.bincount(group, self.counts, len(self.shape[0])).astype(np.int64)
+
+
+def merged(requests) -> tuple[State, list[tuple[np.ndarray, np.ndarray]]]:
+    """The state of a bucket out of all requests to it, and where the pairs and words before of each are in it."""
+    parts = [unpacked(r) for r in requests]
+    names = np.unique(np.concatenate([walked(p[0]) for p in parts]))
+    size, rows, groups = np.int64(max(1, len(names))), [], []
+    for p in parts:
+        p[0] = np.searchsorted(names, walked(p[0]))
+        groups.append(p[0][p[1]])
+        rows.append(np.repeat(groups[-1], p[2]) * size + p[0][p[3]])
+    ends = np.cumsum([len(r) for r in rows])[:-1]
+    rows, row_of = np.unique(np.concatenate(rows), return_inverse=True)
+    counts = np.concatenate([p[5] for p in parts])
+    before = np.unique(np.concatenate(groups))
+    group_of, word = np.searchsorted(before, rows // size), rows % size
+    used, word = np.unique(word, return_inverse=True)
+    each = np.bincount(group_of, minlength=len(before))
+    if len(parts[0]) == 6:
+        place, pairs = row_of.astype(np.uint32), len(rows)
+        row = context = contexts = None
+    else:
+        codes = np.concatenate([np.repeat(at, p[4]) * size + p[0][p[6]] for at, p in zip(np.split(row_of, ends), parts)])
+        ends = np.cumsum([len(p[5]) for p in parts])[:-1]
+        del parts, row_of
+        codes, place = np.unique(codes, return_inverse=True)
+        place, pairs = place.astype(np.uint32), len(codes)
+        row, two = np.divmod(codes, size)
+        del codes
+        own, context = np.unique(group_of[row] * size + two, return_inverse=True)
+        contexts = np.bincount(own // size, minlength=len(before))
+        context = context - (np.cumsum(contexts) - contexts)[group_of[row]]
+        row = np.bincount(row, minlength=len(rows))
+    counts = np.bincount(place, counts, pairs).astype(np.int64)
+    state = State.dealt(names[used], counts, each, word, row, context, contexts)
+    return state, list(zip(np.split(place, ends), (np.searchsorted(before, g).astype(np.uint32) for g in groups)))
+
+
+# Rows of one table: the state of a bucket (part -1), its messages to the ranges of words (part 0 on), and
 # at first the places of the pairs that a batch asked for (part -2).
-STATE = ("bucket int, part int, data binary, tokens long, types long, ones array<long>, twos array<long>, "
-         "customers long, tables long, batch long")
-STATE_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()),
-               pa.int64(), pa.int64(), pa.int64())
+STATE = "bucket int, part int, data binary, tokens long, types long, ones array<long>, twos array<long>, batch long"
+STATE_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
 STATE_NAMES = [part.split()[0] for part in STATE.split(", ")]
-MESSAGE = "bucket int, part int, data binary"
+# Answers of a range; the first of them has what the range adds to the restaurant of no context.
+ANSWER = "bucket int, part int, data binary, customers long, tables long, ones long, twos long"
+ANSWER_TYPES = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
+ANSWER_NAMES = [part.split()[0] for part in ANSWER.split(", ")]
 
 
 def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -533,39 +609,51 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _state_rows(bucket: int, state: State, parts: int, asked=()) -> pa.Table:
-    """``asked``: pairs of a batch and the places of what it asked for."""
-    customers, levels = state.customers(), state.totals()
-    known = np.bincount(state.word, state.counts, len(state.words)) > 0
-    rows = [(bucket, -1, state.data(), int(state.counts.sum()), int(known.sum()), [int((c == 1).sum()) for c in customers],
-             [int((c == 2).sum()) for c in customers], int(levels[-1][1][0]), int(levels[-1][2][0]), None)]
-    bounds = [_ranges(keys, parts) for keys, _, _ in levels[:-1]]
-    for part in range(parts):
-        cut = [slice(b[part], b[part + 1]) for b in bounds]
-        if any(c.stop > c.start for c in cut):
-            message = packed(*(a for c, (keys, *sums) in zip(cut, levels) for a in (steps(keys[c]), *(s[c] for s in sums))))
-            rows.append((bucket, part, message, *[None] * 7))
-    rows += [(bucket, -2, packed(steps(places)), *[None] * 6, batch) for batch, places in asked]
+    """``asked``: batches and the places of what they asked for."""
+    customers = state.customers()
+    sent, before = customers.pop() - state.others, state.tables[-1]
+    rows = [(bucket, -1, state.data(), int(state.counts.sum()), int((state.counted() > 0).sum()), [int((c == 1).sum()) for c in customers],
+             [int((c == 2).sum()) for c in customers], None)]
+    bounds = _ranges(state.words, parts)
+    for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if hi > lo:
+            message = packed(steps(state.words[lo:hi]), narrow(sent[lo:hi]), narrow(before[lo:hi]))
+            rows.append((bucket, part, message, *[None] * 5))
+    rows += [(bucket, -2, packed(*map(steps, places)), *[None] * 4, batch) for batch, places in asked]
     return table_of(rows, STATE_TYPES, STATE_NAMES)
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """The messages to one range, answered by the sums over all buckets."""
-    messages = [unpacked(data) for data in table["data"].to_pylist()]
-    for m in messages:
-        m[::3] = map(walked, m[::3])
-    out = [[] for _ in messages]
-    for level in range(0, len(messages[0]), 3):
-        keys = np.unique(np.concatenate([m[level] for m in messages]))
-        sums = np.zeros((2, len(keys)), np.int64)
-        places = [np.searchsorted(keys, m[level]) for m in messages]
-        for at, m in zip(places, messages):
-            # The keys of a message are distinct.
-            sums[0, at] += m[level + 1]
-            sums[1, at] += m[level + 2]
-        for at, answer in zip(places, out):
-            answer += [sums[0, at], sums[1, at]]
-    rows = zip(table["bucket"].to_pylist(), table["part"].to_pylist(), (packed(*o) for o in out))
-    return table_of(rows, (pa.int32(), pa.int32(), pa.binary()), ["bucket", "part", "data"])
+def _root_tables(customers, before, root, discounts, types, rng) -> np.ndarray:
+    """Tables of words in the restaurant of no context, given those of the sweep before."""
+    d, out, stirling = discounts[-1], np.minimum(customers, 1), log_stirling(discounts[-1])
+    for at in range(0, len(out), DRAWS):
+        part = at + np.flatnonzero(customers[at:at + DRAWS] > 1)
+        rate = STRENGTH + d * np.maximum(root[1] - before[part], 0)
+        out[part] = sample_tables(customers[part], rate / (types + 1), d, stirling, rng, lambda who, n: 1 + d * n / rate[who, None])
+    return out
+
+
+def _range_step(number: int, root=None, discounts=None, types: int = 0):
+    """The messages to one range, answered by the sums over all buckets and the tables drawn; at first one a word."""
+    def step(table: pa.Table) -> pa.Table:
+        messages = [unpacked(data.as_buffer()) for data in table["data"]]
+        keys = [walked(m[0]) for m in messages]
+        words = np.unique(np.concatenate(keys))
+        places = [np.searchsorted(words, k) for k in keys]
+        customers, before = np.zeros((2, len(words)), np.int64)
+        for at, (_, sent, tables) in zip(places, messages):
+            # The words of a message are distinct.
+            customers[at] += sent
+            before[at] = tables
+        if root is None:
+            tables = np.minimum(customers, 1)
+        else:
+            tables = _root_tables(customers, before, root, discounts, types, np.random.default_rng([SEED, number, table["part"][0].as_py(), 1]))
+        sums = [int(n) for n in (customers.sum(), tables.sum(), (customers == 1).sum(), (customers == 2).sum())]
+        rows = [(bucket, part, packed(narrow(customers[at]), narrow(tables[at])), *(sums if not i else [None] * 4))
+                for i, (bucket, part, at) in enumerate(zip(table["bucket"].to_pylist(), table["part"].to_pylist(), places))]
+        return table_of(rows, ANSWER_TYPES, ANSWER_NAMES)
+    return tidy(step)
 
 
 def _parted(rows: DataFrame) -> dict[str, DataFrame]:
@@ -574,42 +662,43 @@ def _parted(rows: DataFrame) -> dict[str, DataFrame]:
     return keep_parts(rows.withColumn("kind", kinds), "kind", ("states", "messages", "places"))
 
 
-def _answered(messages: DataFrame) -> DataFrame:
-    """(bucket, part, data): what the ranges answer; the messages are deleted."""
-    out = keep(messages.select("bucket", "part", "data").groupBy("part").applyInArrow(tidy(_summed), MESSAGE))
+def _answered(messages: DataFrame, number: int, *model):
+    """What the ranges answer, and the customers and tables of the restaurant of no context and its dishes ordered once
+    and twice; the messages are deleted."""
+    out = keep(messages.select("bucket", "part", "data").groupBy("part").applyInArrow(_range_step(number, *model), ANSWER))
     release(messages)
-    return out
+    root = [n or 0 for n in out.agg(*(F.sum(c) for c in ANSWER_NAMES[3:])).first()]
+    return out, root[:2], root[2:]
 
 
 def _joined(states: DataFrame, answered: DataFrame) -> DataFrame:
-    """(bucket, part, data) of the states (part -1) with the totals of their restaurants."""
-    return states.select("bucket", "part", "data").union(answered)
+    """(bucket, part, data) of the states (part -1) with what the ranges answer."""
+    return states.select("bucket", "part", "data").union(answered.select("bucket", "part", "data"))
 
 
 def _received(table: pa.Table, root, discounts, types) -> tuple[State, Totals]:
     """A bucket's state and the totals of its restaurants out of the rows of ``_joined``."""
-    rows = sorted(zip(table["part"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[0])
-    state = State.load(rows[0][1])
-    sums = [np.concatenate(a) for a in zip(*(unpacked(data) for _, data in rows[1:]))]
-    sums += [np.array([root[0]]), np.array([root[1]])]
-    return state, Totals(list(zip(state.keys, sums[::2], sums[1::2])), discounts, types)
-
-
-def _model(states: DataFrame, order: int):
-    """Customers and tables of the restaurant of no context, discounts, words and tokens known."""
-    levels = order + 1
-    one = states.agg(*(F.sum(F.col(c)[i]) for c in ("ones", "twos") for i in range(levels)), *(
-        F.sum(c) for c in ("customers", "tables", "types", "tokens"))).first()
+    rows = sorted(zip(table["part"].to_pylist(), table["data"]), key=lambda r: r[0])
+    state = State.load(rows[0][1].as_buffer())
+    if len(rows) > 1:
+        customers, tables = (np.concatenate(a).astype(np.int64) for a in zip(*(unpacked(data.as_buffer()) for _, data in rows[1:])))
+        state.others, state.tables[-1] = customers - state.customers()[-1], tables
+    return state, Totals.of(state, root, discounts, types)
+
+
+def _model(states: DataFrame, order: int, root_ones_twos):
+    """Discounts, words and tokens known."""
+    one = states.agg(*(F.sum(F.col(c)[i]) for c in ("ones", "twos") for i in range(order)), F.sum("types"), F.sum("tokens")).first()
+    ones, twos = ([*one[i * order:(i + 1) * order], root_ones_twos[i]] for i in range(2))
     # The usual estimate from dishes ordered once and twice.
-    discounts = [min(0.95, max(0.1, (a or 0) / ((a or 0) + 2 * (b or 0)))) if a else 0.5
-                 for a, b in zip(one[:levels], one[levels:2 * levels])]
-    customers, tables, types, tokens = (n or 0 for n in one[2 * levels:])
-    return (customers, tables), discounts, types, tokens
+    discounts = [min(0.95, max(0.1, (a or 0) / ((a or 0) + 2 * (b or 0)))) if a else 0.5 for a, b in zip(ones, twos)]
+    types, tokens = (n or 0 for n in one[2 * order:])
+    return discounts, types, tokens
 
 
 def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int = SAMPLES, order: int = ORDER):
-    """States of all buckets with ``samples - 1`` samples summed up and the last one current, the totals of their
-    restaurants, the model's numbers, and the places (bucket, batch, data) of what each batch asked for."""
+    """States of all buckets with ``samples - 1`` samples summed up and the last one current, what the ranges of words
+    answer, the model's numbers, and the places (bucket, batch, data) of what each batch asked for."""
     def merge(table: pa.Table) -> pa.Table:
         # Buffers of the table itself: a list of bytes would be a second copy.
         state, places = merged([data.as_buffer() for data in table["data"]])
@@ -617,8 +706,9 @@ def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int =
         return _state_rows(table["bucket"][0].as_py(), state, parts, zip(table["batch"].to_pylist(), places))
 
     first = _parted(requests.groupBy("bucket").applyInArrow(tidy(merge), STATE))
-    states, messages, asked = first["states"], first["messages"], first["places"].select("bucket", "batch", "data")
-    root, discounts, types, tokens = _model(states, order)
+    states, asked = first["states"], first["places"].select("bucket", "batch", "data")
+    answered, root, ones_twos = _answered(first["messages"], 0)
+    discounts, types, tokens = _model(states, order, ones_twos)
 
     def sweep(root, number: int):
         def step(table: pa.Table) -> pa.Table:
@@ -626,32 +716,30 @@ def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int =
             state, totals = _received(table, root, discounts, types)
             if number >= burn_in:
                 state.summed += state.predictive(totals)[0]
-            state.sweep(totals, np.random.default_rng([SEED, number, bucket]))
+            state.sweep(totals, np.random.default_rng([SEED, number, bucket]), range(order))
             return _state_rows(bucket, state, parts)
         return tidy(step)
 
     for number in range(burn_in + samples - 1):
-        before, answered = states, _answered(messages)
         after = _parted(_joined(states, answered).groupBy("bucket").applyInArrow(sweep(root, number), STATE))
-        states, messages = after["states"], after["messages"]
-        release(before)
+        release(states)
         release(answered)
-        root = _model(states, order)[0]
-    return states, _answered(messages), root, discounts, types, tokens, asked
+        states = after["states"]
+        answered, root, _ = _answered(after["messages"], number, root, discounts, types)
+    return states, answered, root, discounts, types, tokens, asked
 
 
 def answers(asked: DataFrame, states: DataFrame, totals: DataFrame, root, discounts, types: int, samples: int) -> DataFrame:
-    """(batch, bucket, data): for what each batch asked, the averaged probability of its pairs and the words' counts."""
+    """(batch, bucket, data): for what each batch asked, the averaged probability of its pairs and the counts of the words before."""
     def told(asked, known):
         state, totals = _received(known, root, discounts, types)
         mean = np.log10((state.summed + state.predictive(totals)[0]) / samples).astype(np.float32)
-        count = np.bincount(state.word, state.counts, len(state.words)).astype(np.uint64)
+        count = state.counted()
 
         def rows():
             for batch, bucket, data in zip(asked["batch"], asked["bucket"], asked["data"]):
-                place = walked(unpacked(data.as_buffer())[0])
-                # Pairs are sorted by word: a word's count goes once.
-                yield batch.as_py(), bucket.as_py(), packed(mean[place], count[np.unique(state.word[place])])
+                place, group = map(walked, unpacked(data.as_buffer()))
+                yield batch.as_py(), bucket.as_py(), packed(mean[place], narrow(count[group]))
 
         return table_of(rows(), (pa.int64(), pa.int32(), pa.binary()), ["batch", "bucket", "data"])
 
@@ -671,7 +759,7 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     size = docs.agg(F.sum(F.octet_length(whole(text_column)))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     with tidy_shuffles(docs.sparkSession):
-        places = batches(docs, id_column, text_column, buckets, batch_tokens)
+        places = batches(docs, id_column, text_column, batch_tokens)
         ranges = math.ceil(buckets / BUCKETS_A_RANGE)
         states, totals, root, discounts, types, tokens, asked = fit(requests_of(places, buckets, order), ranges, burn_in, samples, order)
         answered = keep(answers(asked, states, totals, root, discounts, types, samples))
@@ -681,18 +769,22 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[0])
         uid, doc, known, held, starts, words, first, hashes = unpacked(rows[0][1])
-        word, *_, place = distinct_pairs(words, starts, first.reshape(-1, 2), walked(hashes), order)
-        model, counts = (np.concatenate(a) for a in zip(*(unpacked(data) for _, data in rows[1:])))
-        counts = counts[np.unique(word, return_inverse=True)[1]]
+        hashes, first = walked(hashes), first.reshape(-1, 2)
+        *_, place = distinct_pairs(words, starts, first, len(hashes), order)
+        model, told = (np.concatenate(a) for a in zip(*(unpacked(data) for _, data in rows[1:])))
+        counts = np.zeros(len(hashes), np.int64)
+        counts[counted_words(words, starts, first, hashes)] = told
+        # Each training text begins and ends once.
+        counts[hashes == NAME_OF_END] = counts[hashes == NAME_OF_START]
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
         lengths = np.diff(np.append(starts, len(place)))
 
-        def add(values):
-            return np.add.reduceat(values[place], starts)
+        def add(values, at=words):
+            return np.add.reduceat(values[at], starts)
 
         return pa.table({
             "uid": uid, "doc_id": pa.array(doc, mask=known == 0), "held_out": held.astype(bool), "n_tokens": lengths,
-            "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": add(model.astype(float))})
+            "n_known": add((counts > 0).astype(np.int64)), "base_score": add(base), "score": add(model.astype(float), place)})
 
     schema = ("uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     together = places.union(answered)
