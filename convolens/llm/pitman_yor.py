@@ -9,13 +9,14 @@ saddle point). Before the draw the dish's own tables leave the restaurants above
 after the one below, from the customers that it has just sent up. "Other tables" are those of the sweep
 before, since all buckets are drawn at once. Predictive probabilities are averaged over the samples.
 
-Words are named by 64-bit hashes. The state is dealt out by the word before, by ranges of the hashes: all contexts
-that end in a word, with their dishes and the parent they share, lie in one bucket, so that both upper levels are
-local and their restaurants need no names. Only the restaurant of no context is spread over the buckets: each tells
+Words are numbered in the order of their 64-bit hashes: each batch of texts tells the ranges of hashes its distinct
+words once, and they answer with the words' places. The state is dealt out by the word before, by ranges of the
+numbers: all contexts that end in a word, with their dishes and the parent they share, lie in one bucket, so that
+both upper levels are local and their restaurants need no names. Only the restaurant of no context is spread over the buckets: each tells
 the ranges of words how many tables it sends up for which word, the ranges add them up, draw the word's tables, and
 answer in the same order. No task and no driver sees all words.
 
-Texts are read once. Each task turns them into kept batches of word numbers and hashes. A batch asks the
+Texts are read once. Each task turns them into kept batches of word numbers. A batch asks the
 buckets for its distinct (word, context) pairs, all at once and only once: the bucket notes where they are
 in its state, and at the end sends their probabilities back, with the counts of the words before: a word is
 counted where it is context, the end token where the beginning is. Counts and answers move, texts do not. A text
@@ -57,7 +58,6 @@ SEED = 31
 # No word holds a space.
 START = b" "
 END = b""
-NAME_OF_START, NAME_OF_END = (np.uint64(xxhash.xxh64_intdigest(w, SEED)) for w in (START, END))
 
 
 @contextmanager
@@ -132,9 +132,18 @@ def begins(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+def gaps(numbers: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers in as few bytes as they need; ``summed_up`` undoes it."""
+    return narrow(np.diff(numbers.astype(np.int64), prepend=0))
+
+
+def summed_up(differences: np.ndarray) -> np.ndarray:
+    return np.cumsum(differences, dtype=np.int64)
+
+
+def edges(words: int, parts: int) -> np.ndarray:
+    """Where each of the equal ranges of word numbers begins."""
+    return np.array([words * part // parts for part in range(parts)], np.int64)
 
 
 # Texts to batches.
@@ -175,13 +184,15 @@ def distinct_pairs(tokens, starts, first, words: int, context_words, train=None)
     return one[at], tokens[at], two[at] if context_words == 2 else None, counts, place
 
 
-def counted_words(tokens, starts, first, hashes) -> np.ndarray:
-    """The words whose counts a batch needs, as words before: its own, the beginning for the end token, and contexts."""
-    asked = np.zeros(len(hashes), bool)
+def counted_words(tokens, first, marks, words: int) -> np.ndarray:
+    """The words whose counts a batch needs, as words before: its own, the beginning for the end token, and contexts.
+
+    ``marks``: the numbers of the beginning and the end.
+    """
+    asked = np.zeros(words, bool)
     asked[tokens] = True
     asked[first[:, 1]] = True
-    asked[hashes == NAME_OF_END] = False
-    asked[hashes == NAME_OF_START] = True
+    asked[marks] = True, False
     return np.flatnonzero(asked)
 
 
@@ -195,7 +206,7 @@ class Numbers(dict):
 
 class Batch:
     def __init__(self):
-        self.vocabulary, self.tokens, self.first, self.starts, self.rows = Numbers({START: 0}), array("i"), [], [], []
+        self.vocabulary, self.tokens, self.first, self.starts, self.rows = Numbers({START: 0, END: 1}), array("i"), [], [], []
 
     def add(self, row, words, context):
         """Words of a row; ``context`` are the two words that stand before the first."""
@@ -205,32 +216,31 @@ class Batch:
         self.first.append([*map(number, context)])
         self.tokens.extend(map(number, words))
 
-    def close(self) -> bytes:
+    def close(self) -> tuple[bytes, np.ndarray]:
         """Row parts, tokens as numbers of words, and the words' hashes, sorted."""
-        words = list(self.vocabulary)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.vocabulary), np.uint64, len(self.vocabulary))
         order = np.argsort(hashes)
-        rank = np.empty(len(words), np.uint32)
-        rank[order] = np.arange(len(words))
+        rank = np.empty(len(hashes), np.uint32)
+        rank[order] = np.arange(len(hashes))
         uid, doc, held = zip(*self.rows)
         known = np.array([d is not None for d in doc], np.uint8)
         doc = np.array([d or 0 for d in doc], np.int64)
         return packed(np.array(uid, np.int64), doc, known, np.array(held, np.uint8), np.array(self.starts, np.int64),
-                      rank[np.frombuffer(self.tokens, np.int32)], rank[np.array(self.first, np.int32)].ravel(), steps(hashes[order]))
+                      rank[np.frombuffer(self.tokens, np.int32)], rank[np.array(self.first, np.int32)].ravel(), rank[:2]), hashes[order]
 
 
-def requested(batch: bytes, buckets: int, context_words: int):
+def requested(batch: bytes, words: int, buckets: int, context_words: int):
     """(bucket, request) for each bucket that a batch asks.
 
-    A request holds the hashes of its words, sorted, and by their numbers: the words before, how many rows each has, a
+    A request holds its words, sorted, and by their numbers: the words before, how many rows each has, a
     row for each word that follows it, how many pairs each has, the pairs' counts, and their words two before.
     """
-    _, _, _, held, starts, tokens, first, hashes = unpacked(batch)
-    hashes, first = walked(hashes), first.reshape(-1, 2)
+    _, _, _, held, starts, tokens, first, marks, numbers = unpacked(batch)
+    numbers, first = summed_up(numbers), first.reshape(-1, 2)
     train = np.repeat(held == 0, np.diff(np.append(starts, len(tokens))))
-    one, word, two, counts, _ = distinct_pairs(tokens, starts, first, len(hashes), context_words, train)
-    groups = counted_words(tokens, starts, first, hashes)
-    bucket, number = bucket_of(hashes[groups], buckets), np.empty(len(hashes), np.uint32)
+    one, word, two, counts, _ = distinct_pairs(tokens, starts, first, len(numbers), context_words, train)
+    groups = counted_words(tokens, first, marks, len(numbers))
+    bucket, place = np.searchsorted(edges(words, buckets), numbers[groups], "right") - 1, np.empty(len(numbers), np.uint32)
     cuts = np.append(begins(bucket), len(groups))
     parts = np.append(np.searchsorted(one, groups[cuts[:-1]]), len(one))
     for lo, hi, *ends in zip(cuts[:-1], cuts[1:], parts[:-1], parts[1:]):
@@ -238,22 +248,27 @@ def requested(batch: bytes, buckets: int, context_words: int):
         before, follows = one[part], word[part]
         rows = begins(before, follows)
         names = np.unique(np.concatenate([group, follows[rows], *([] if two is None else [two[part]])]))
-        number[names] = np.arange(len(names))
-        more = [] if two is None else [narrow(number[two[part]])]
+        place[names] = np.arange(len(names))
+        more = [] if two is None else [narrow(place[two[part]])]
         yield int(bucket[lo]), packed(
-            steps(hashes[names]), narrow(number[group]), narrow(np.bincount(np.searchsorted(group, before[rows]), minlength=len(group))),
-            narrow(number[follows[rows]]), narrow(np.diff(np.append(rows, len(before)))), narrow(counts[part]), *more)
+            gaps(numbers[names]), narrow(place[group]), narrow(np.bincount(np.searchsorted(group, before[rows]), minlength=len(group))),
+            narrow(place[follows[rows]]), narrow(np.diff(np.append(rows, len(before)))), narrow(counts[part]), *more)
 
 
-def batches(docs: DataFrame, id_column: str, text_column: str, batch_tokens: int) -> DataFrame:
-    """Kept rows (batch, bucket, data) of ``Batch.close``, with bucket -1."""
+def batches(docs: DataFrame, id_column: str, text_column: str, ranges: int, batch_tokens: int) -> tuple[DataFrame, int]:
+    """Kept rows (batch, bucket, data) of ``Batch.close`` and the words' numbers, with bucket -1; and how many words there are."""
     def run(arrow):
         from pyspark import TaskContext
         task, number, batch = TaskContext.get().partitionId(), 0, Batch()
 
         def closed():
-            return pa.RecordBatch.from_pydict({"batch": pa.array([(task << 32) + number], pa.int64()), "bucket": pa.array([-1], pa.int32()),
-                                               "data": pa.array([batch.close()], pa.binary())})
+            data, hashes = batch.close()
+            inner = np.array([(part << 64) // ranges for part in range(1, ranges)], np.uint64)
+            cuts = [0, *np.searchsorted(hashes, inner), len(hashes)]
+            rows = [(-1, data), *((part, packed(steps(hashes[lo:hi]))) for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo)]
+            columns = [[(task << 32) + number] * len(rows), *zip(*rows)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))],
+                                              names=["batch", "part", "data"])
 
         for part in arrow:
             for uid, doc, held, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -273,19 +288,44 @@ def batches(docs: DataFrame, id_column: str, text_column: str, batch_tokens: int
         batch = None
         give_back()
 
+    def number(table: pa.Table) -> pa.Table:
+        """The words of a range, numbered from 0, as each batch knows them; the first row tells how many."""
+        hashes = [walked(unpacked(data.as_buffer())[0]) for data in table["data"]]
+        words = np.unique(np.concatenate(hashes))
+        rows = ((batch, part, packed(gaps(np.searchsorted(words, h))), None if i else len(words))
+                for i, (batch, part, h) in enumerate(zip(table["batch"].to_pylist(), table["part"].to_pylist(), hashes)))
+        return table_of(rows, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), ["batch", "part", "data", "words"])
+
     bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("doc"),
         (remainder(id_column) == HELD_OUT).alias("held"), whole(text_column).cast("binary").alias("text"))
-    return keep(rows.mapInArrow(run, "batch long, bucket int, data binary"))
-
-
-def requests_of(places: DataFrame, buckets: int, order: int = ORDER) -> DataFrame:
+    told = keep(rows.mapInArrow(run, "batch long, part int, data binary"))
+    numbers = keep(told.where("part >= 0").groupBy("part").applyInArrow(tidy(number), "batch long, part int, data binary, words long"))
+    sizes = np.zeros(ranges, np.int64)
+    for part, words in numbers.where("words IS NOT NULL").select("part", "words").collect():
+        sizes[part] = words
+    before = np.cumsum(sizes) - sizes
+
+    def join(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["part"].to_pylist(), table["data"]), key=lambda r: r[0])
+        words = np.concatenate([before[part] + summed_up(unpacked(data.as_buffer())[0]) for part, data in rows[1:]])
+        data = packed(*unpacked(rows[0][1].as_buffer()), gaps(words))
+        return table_of([(table["batch"][0].as_py(), -1, data)], (pa.int64(), pa.int32(), pa.binary()), ["batch", "bucket", "data"])
+
+    out = keep(told.where("part = -1").union(numbers.select("batch", "part", "data")).groupBy("batch").applyInArrow(
+        tidy(join), "batch long, bucket int, data binary"))
+    release(told)
+    release(numbers)
+    return out, int(sizes.sum())
+
+
+def requests_of(places: DataFrame, words: int, buckets: int, order: int = ORDER) -> DataFrame:
     """(batch, bucket, data): what each batch asks of the buckets; from the kept batches, so always the same."""
     def run(arrow):
         for part in arrow:
             for number, data in zip(part["batch"], part["data"]):
-                rows = [(number.as_py(), b, request) for b, request in requested(data.as_py(), buckets, order)]
+                rows = [(number.as_py(), b, request) for b, request in requested(data.as_buffer(), words, buckets, order)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                     zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["batch", "bucket", "data"])
                 del rows
@@ -401,7 +441,8 @@ class Totals:
 class State:
     """The words of a bucket: pairs of word and context, sorted, with customers and tables at each level.
 
-    ``others`` are the customers that other buckets send to the restaurant of no context, word by word.
+    ``others`` are the customers that other buckets send to the restaurant of no context, word by word; ``sampled`` has
+    the tables, these and that restaurant's totals of samples before.
     """
 
     def __init__(self, words, each, context, counts, tables=None, parents=None, order=ORDER):
@@ -421,11 +462,11 @@ class State:
             word = rows // max(1, len(parents))
         self._seat(words, counts, keys, at, [*up, word], tables)
 
-    def _seat(self, words, counts, keys, at, up, tables=None, summed=None):
+    def _seat(self, words, counts, keys, at, up, tables=None, sampled=()):
         # Of each level: the restaurants' keys, a row's place among them, and its row one level up.
         self.words, self.counts, self.others = words, counts, np.zeros(len(words), np.int64)
         self.keys, self.at, self.up = [*keys, np.zeros(1, np.uint64)], [*at, np.zeros(len(words), np.int64)], [*up, None]
-        self.summed = np.zeros(len(counts)) if summed is None else summed
+        self.sampled = list(sampled)
         # At first each dish has one table.
         self.tables = tables or self.first_tables()
 
@@ -534,20 +575,28 @@ class State:
                 for keys, at, customers, tables in zip(self.keys, self.at, self.customers(), self.tables)]
 
     def data(self) -> bytes:
-        """Of a bucket of words before; what other buckets send is not kept."""
+        """Of a bucket of words before; what other buckets send now is not kept."""
         groups, word, row, context, contexts = self.shape
         more = [] if row is None else [*map(narrow, (row, context, contexts))]
-        return packed(steps(self.words), narrow(self.counts), narrow(groups), narrow(word), self.summed.astype(np.float32),
-                      *map(narrow, self.tables), *more)
+        samples = [a for tables, others, root in self.sampled for a in (*map(narrow, tables), narrow(others), np.array(root))]
+        return packed(np.array([len(self.tables)]), gaps(self.words), *map(narrow, (self.counts, groups, word)), *more,
+                      *map(narrow, self.tables), *samples)
 
     @classmethod
     def load(cls, data: bytes) -> State:
-        words, counts, groups, word, summed, *more = unpacked(data)
-        row = context = contexts = None
-        if len(more) > 2:
-            *more, row, context, contexts = more
-        return cls.dealt(walked(words), counts.astype(np.int64), groups, word.astype(np.int64), row, context, contexts,
-                         tables=[t.astype(np.int64) for t in more], summed=summed.astype(float))
+        (levels,), words, counts, groups, word, *more = unpacked(data)
+        row, context, contexts = (more.pop(0) for _ in range(3)) if levels == 3 else (None, None, None)
+        tables, *sampled = (more[at:at + levels + 2] for at in (0, *range(levels, len(more), levels + 2)))
+        wide = lambda arrays: [a.astype(np.int64) for a in arrays]
+        return cls.dealt(summed_up(words), *wide((counts, groups, word)), row, context, contexts, tables=wide(tables[:levels]),
+                         sampled=[(wide(s[:levels]), s[levels].astype(np.int64), tuple(s[levels + 1].tolist())) for s in sampled])
+
+    def summed(self, root, discounts, types: int) -> np.ndarray:
+        """Probabilities of the pairs, summed up over the samples before and the current one."""
+        now, out = (self.tables, self.others, root), np.zeros(len(self.counts))
+        for self.tables, self.others, totals in (*self.sampled, now):
+            out += self.predictive(Totals.of(self, totals, discounts, types))[0]
+        return out
 
     def counted(self) -> np.ndarray:
         """Customers who come after each word before."""
@@ -558,10 +607,10 @@ class State:
 def merged(requests) -> tuple[State, list[tuple[np.ndarray, np.ndarray]]]:
     """The state of a bucket out of all requests to it, and where the pairs and words before of each are in it."""
     parts = [unpacked(r) for r in requests]
-    names = np.unique(np.concatenate([walked(p[0]) for p in parts]))
+    names = np.unique(np.concatenate([summed_up(p[0]) for p in parts]))
     size, rows, groups = np.int64(max(1, len(names))), [], []
     for p in parts:
-        p[0] = np.searchsorted(names, walked(p[0]))
+        p[0] = np.searchsorted(names, summed_up(p[0]))
         groups.append(p[0][p[1]])
         rows.append(np.repeat(groups[-1], p[2]) * size + p[0][p[3]])
     ends = np.cumsum([len(r) for r in rows])[:-1]
@@ -602,22 +651,16 @@ ANSWER_TYPES = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
 ANSWER_NAMES = [part.split()[0] for part in ANSWER.split(", ")]
 
 
-def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the equal ranges of keys begins, and the end."""
-    inner = np.array([(number << 64) // parts for number in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
-
-
-def _state_rows(bucket: int, state: State, parts: int, asked=()) -> pa.Table:
-    """``asked``: batches and the places of what they asked for."""
+def _state_rows(bucket: int, state: State, starts, asked=()) -> pa.Table:
+    """``starts``: where the ranges of words begin; ``asked``: batches and the places of what they asked for."""
     customers = state.customers()
     sent, before = customers.pop() - state.others, state.tables[-1]
     rows = [(bucket, -1, state.data(), int(state.counts.sum()), int((state.counted() > 0).sum()), [int((c == 1).sum()) for c in customers],
              [int((c == 2).sum()) for c in customers], None)]
-    bounds = _ranges(state.words, parts)
+    bounds = np.append(np.searchsorted(state.words, starts), len(state.words))
     for part, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
         if hi > lo:
-            message = packed(steps(state.words[lo:hi]), narrow(sent[lo:hi]), narrow(before[lo:hi]))
+            message = packed(gaps(state.words[lo:hi]), narrow(sent[lo:hi]), narrow(before[lo:hi]))
             rows.append((bucket, part, message, *[None] * 5))
     rows += [(bucket, -2, packed(*map(steps, places)), *[None] * 4, batch) for batch, places in asked]
     return table_of(rows, STATE_TYPES, STATE_NAMES)
@@ -637,7 +680,7 @@ def _range_step(number: int, root=None, discounts=None, types: int = 0):
     """The messages to one range, answered by the sums over all buckets and the tables drawn; at first one a word."""
     def step(table: pa.Table) -> pa.Table:
         messages = [unpacked(data.as_buffer()) for data in table["data"]]
-        keys = [walked(m[0]) for m in messages]
+        keys = [summed_up(m[0]) for m in messages]
         words = np.unique(np.concatenate(keys))
         places = [np.searchsorted(words, k) for k in keys]
         customers, before = np.zeros((2, len(words)), np.int64)
@@ -676,14 +719,14 @@ def _joined(states: DataFrame, answered: DataFrame) -> DataFrame:
     return states.select("bucket", "part", "data").union(answered.select("bucket", "part", "data"))
 
 
-def _received(table: pa.Table, root, discounts, types) -> tuple[State, Totals]:
-    """A bucket's state and the totals of its restaurants out of the rows of ``_joined``."""
+def _received(table: pa.Table) -> State:
+    """A bucket's state out of the rows of ``_joined``."""
     rows = sorted(zip(table["part"].to_pylist(), table["data"]), key=lambda r: r[0])
     state = State.load(rows[0][1].as_buffer())
     if len(rows) > 1:
         customers, tables = (np.concatenate(a).astype(np.int64) for a in zip(*(unpacked(data.as_buffer()) for _, data in rows[1:])))
         state.others, state.tables[-1] = customers - state.customers()[-1], tables
-    return state, Totals.of(state, root, discounts, types)
+    return state
 
 
 def _model(states: DataFrame, order: int, root_ones_twos):
@@ -696,14 +739,16 @@ def _model(states: DataFrame, order: int, root_ones_twos):
     return discounts, types, tokens
 
 
-def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int = SAMPLES, order: int = ORDER):
-    """States of all buckets with ``samples - 1`` samples summed up and the last one current, what the ranges of words
+def fit(requests: DataFrame, words: int, parts: int, burn_in: int = BURN_IN, samples: int = SAMPLES, order: int = ORDER):
+    """States of all buckets with ``samples - 1`` samples kept and the last one current, what the ranges of words
     answer, the model's numbers, and the places (bucket, batch, data) of what each batch asked for."""
+    starts = edges(words, parts)
+
     def merge(table: pa.Table) -> pa.Table:
         # Buffers of the table itself: a list of bytes would be a second copy.
         state, places = merged([data.as_buffer() for data in table["data"]])
         give_back()
-        return _state_rows(table["bucket"][0].as_py(), state, parts, zip(table["batch"].to_pylist(), places))
+        return _state_rows(table["bucket"][0].as_py(), state, starts, zip(table["batch"].to_pylist(), places))
 
     first = _parted(requests.groupBy("bucket").applyInArrow(tidy(merge), STATE))
     states, asked = first["states"], first["places"].select("bucket", "batch", "data")
@@ -713,11 +758,11 @@ def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int =
     def sweep(root, number: int):
         def step(table: pa.Table) -> pa.Table:
             bucket = table["bucket"][0].as_py()
-            state, totals = _received(table, root, discounts, types)
+            state = _received(table)
             if number >= burn_in:
-                state.summed += state.predictive(totals)[0]
-            state.sweep(totals, np.random.default_rng([SEED, number, bucket]), range(order))
-            return _state_rows(bucket, state, parts)
+                state.sampled.append((list(state.tables), state.others, root))
+            state.sweep(Totals.of(state, root, discounts, types), np.random.default_rng([SEED, number, bucket]), range(order))
+            return _state_rows(bucket, state, starts)
         return tidy(step)
 
     for number in range(burn_in + samples - 1):
@@ -732,8 +777,8 @@ def fit(requests: DataFrame, parts: int, burn_in: int = BURN_IN, samples: int =
 def answers(asked: DataFrame, states: DataFrame, totals: DataFrame, root, discounts, types: int, samples: int) -> DataFrame:
     """(batch, bucket, data): for what each batch asked, the averaged probability of its pairs and the counts of the words before."""
     def told(asked, known):
-        state, totals = _received(known, root, discounts, types)
-        mean = np.log10((state.summed + state.predictive(totals)[0]) / samples).astype(np.float32)
+        state = _received(known)
+        mean = np.log10(state.summed(root, discounts, types) / samples).astype(np.float32)
         count = state.counted()
 
         def rows():
@@ -759,23 +804,24 @@ def score_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     size = docs.agg(F.sum(F.octet_length(whole(text_column)))).first()[0] or 0
     buckets = max(1, math.ceil(size / bucket_bytes))
     with tidy_shuffles(docs.sparkSession):
-        places = batches(docs, id_column, text_column, batch_tokens)
         ranges = math.ceil(buckets / BUCKETS_A_RANGE)
-        states, totals, root, discounts, types, tokens, asked = fit(requests_of(places, buckets, order), ranges, burn_in, samples, order)
+        places, words = batches(docs, id_column, text_column, ranges, batch_tokens)
+        states, totals, root, discounts, types, tokens, asked = fit(
+            requests_of(places, words, buckets, order), words, ranges, burn_in, samples, order)
         answered = keep(answers(asked, states, totals, root, discounts, types, samples))
         for table in (states, totals, asked):
             release(table)
 
     def score(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["bucket"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[0])
-        uid, doc, known, held, starts, words, first, hashes = unpacked(rows[0][1])
-        hashes, first = walked(hashes), first.reshape(-1, 2)
-        *_, place = distinct_pairs(words, starts, first, len(hashes), order)
+        uid, doc, known, held, starts, words, first, marks, numbers = unpacked(rows[0][1])
+        first = first.reshape(-1, 2)
+        *_, place = distinct_pairs(words, starts, first, len(numbers), order)
         model, told = (np.concatenate(a) for a in zip(*(unpacked(data) for _, data in rows[1:])))
-        counts = np.zeros(len(hashes), np.int64)
-        counts[counted_words(words, starts, first, hashes)] = told
+        counts = np.zeros(len(numbers), np.int64)
+        counts[counted_words(words, first, marks, len(numbers))] = told
         # Each training text begins and ends once.
-        counts[hashes == NAME_OF_END] = counts[hashes == NAME_OF_START]
+        counts[marks[1]] = counts[marks[0]]
         base = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
         lengths = np.diff(np.append(starts, len(place)))
 
