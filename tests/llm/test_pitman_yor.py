@@ -291,3 +291,67 @@ def test_single_customers_are_not_drawn(monkeypatch):
     state = py.State(np.arange(3, dtype=np.uint64), np.array([2, 1, 1]), np.array([1, 2, 1, 3], np.uint16), np.array([1, 5, 0, 1]), order=1)
     state.sweep(py.Totals(state.totals(), (.7, .6), 3), np.random.default_rng(1))
     assert min(drawn) > 1 and state.tables[0][[0, 2, 3]].tolist() == [1, 0, 1] and 1 <= state.tables[0][1] <= 5
+
+
+def test_words_are_exchanged_and_no_contexts(spark, monkeypatch):
+    """A sweep sends the words of a bucket on, of which there are far fewer than contexts of two words."""
+    r, told, real = random.Random(9), [], py.keep_parts
+    docs = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(50))) for i in range(80)]
+
+    def keep_parts(*args):
+        out = real(*args)
+        told.append([bytes(x.data) for x in out["messages"].collect()])
+        return out
+
+    monkeypatch.setattr(py, "keep_parts", keep_parts)
+    got = py.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(2))
+    assert len(told) == 4
+    for messages in told:
+        assert sum(len(py.unpacked(m)[0]) for m in messages) <= 41
+    check(docs, got.collect())
+
+
+@pytest.mark.parametrize("order", [1, 2])
+def test_buckets_count_all_pairs_once(order):
+    """Batches that cut texts, dealt to several buckets, against plain counting; requests name words by number."""
+    r = random.Random(10)
+    texts = [[b"w%d" % int(r.paretovariate(.5) % 5000) for _ in range(r.randrange(1, 90))] for _ in range(200)]
+    slow, cut, batch = Counter(), [], py.Batch()
+    for i, words in enumerate(texts):
+        words, context = [*words, py.END], [py.START, py.START]
+        for at in range(0, len(words), 60):
+            batch.add((i, i, i % 5 == 1), words[at:at + 60], context)
+            context = [*context, *words[at:at + 60]][-2:]
+            if len(batch.tokens) > 900:
+                cut.append(batch)
+                batch = py.Batch()
+        before = [py.START, py.START, *words]
+        for j in range(len(words)):
+            slow[tuple(before[j + 2 - order:j + 3])] += i % 5 != 1
+    cut.append(batch)
+    every = np.unique(np.concatenate([b.close()[1] for b in cut]))
+    name = {int(np.searchsorted(every, np.uint64(py.xxhash.xxh64_intdigest(w, py.SEED)))): w for b in cut for w in b.vocabulary}
+    asked = {}
+    for batch in cut:
+        data, hashes = batch.close()
+        whole = py.packed(*py.unpacked(data), py.gaps(np.searchsorted(every, hashes)))
+        for bucket, request in py.requested(whole, len(every), 7, order):
+            asked.setdefault(bucket, []).append(request)
+    found, words = Counter(), Counter()
+    for requests in asked.values():
+        state, places = py.merged(requests)
+        assert [len(py.unpacked(q)[5]) for q in requests] == [len(p) for p, _ in places]
+        state.sampled.append((list(state.tables), state.others, (5, 4)))
+        again = py.State.load(state.data())
+        assert all((a == b).all() for a, b in zip(state.up[:-1] + state.at, again.up[:-1] + again.at))
+        assert again.sampled[0][2] == (5, 4) and (again.counts == state.counts).all()
+        # Each pair's words: the last one, and by the groups the one before.
+        row = state.up[0] if order == 2 else np.arange(len(state.counts))
+        for c, w in zip(state.counts, state.words[state.up[-2][row]]):
+            found[name[int(w)]] += int(c)
+        words.update(map(int, state.counts))
+    assert words == Counter(slow.values())
+    ends = Counter()
+    for pair, n in slow.items():
+        ends[pair[-1]] += n
+    assert +found == +ends
