@@ -12,9 +12,9 @@ before, since all buckets are drawn at once. Predictive probabilities are averag
 Words are numbered in the order of their 64-bit hashes: each batch of texts tells the ranges of hashes its distinct
 words once, and they answer with the words' places. The state is dealt out by the word before, by ranges of the
 numbers: all contexts that end in a word, with their dishes and the parent they share, lie in one bucket, so that
-both upper levels are local and their restaurants need no names. Only the restaurant of no context is spread over the buckets: each tells
-the ranges of words how many tables it sends up for which word, the ranges add them up, draw the word's tables, and
-answer in the same order. No task and no driver sees all words.
+both upper levels are local and their restaurants need no names. Only the restaurant of no context is spread over
+the buckets: each tells the ranges of words how many tables it sends up for which word, the ranges add them up, draw
+the word's tables, and answer in the same order. No task and no driver sees all words.
 
 Texts are read once. Each task turns them into kept batches of word numbers. A batch asks the
 buckets for its distinct (word, context) pairs, all at once and only once: the bucket notes where they are
@@ -288,7 +288,7 @@ def batches(docs: DataFrame, id_column: str, text_column: str, ranges: int, batc
         batch = None
         give_back()
 
-    def number(table: pa.Table) -> pa.Table:
+    def numbered(table: pa.Table) -> pa.Table:
         """The words of a range, numbered from 0, as each batch knows them; the first row tells how many."""
         hashes = [walked(unpacked(data.as_buffer())[0]) for data in table["data"]]
         words = np.unique(np.concatenate(hashes))
@@ -301,7 +301,7 @@ def batches(docs: DataFrame, id_column: str, text_column: str, ranges: int, batc
         F.monotonically_increasing_id().alias("uid"), F.col(id_column).cast("long").alias("doc"),
         (remainder(id_column) == HELD_OUT).alias("held"), whole(text_column).cast("binary").alias("text"))
     told = keep(rows.mapInArrow(run, "batch long, part int, data binary"))
-    numbers = keep(told.where("part >= 0").groupBy("part").applyInArrow(tidy(number), "batch long, part int, data binary, words long"))
+    numbers = keep(told.where("part >= 0").groupBy("part").applyInArrow(tidy(numbered), "batch long, part int, data binary, words long"))
     sizes = np.zeros(ranges, np.int64)
     for part, words in numbers.where("words IS NOT NULL").select("part", "words").collect():
         sizes[part] = words
